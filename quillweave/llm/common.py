@@ -114,36 +114,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, document's index, length in bytes) of every word of the documents between the offsets.
+def tokens(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = _IS_WORD, change: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, document's index, start, end) of every token of the documents between the offsets.
 
-    A word's hash depends on its bytes alone, so equal words of any documents have equal hashes.
+    A token is a longest run of bytes of one class other than 0; change maps bytes before they are hashed. Its hash
+    depends on its bytes alone, so equal tokens of any documents have equal hashes. Starts and ends are places in data.
     """
     first, last = int(offsets[0]), int(offsets[-1])
     b = data[first:last]
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(b):
-        return none
-    if lower:
-        b = _LOWER[b]
-    is_word = _IS_WORD[b]
-    cut = offsets[1:-1] - first
-    cut = cut[(cut > 0) & (cut < len(b))]
-    starts = is_word.copy()
-    starts[1:] &= ~is_word[:-1]
-    starts[cut] = is_word[cut]
-    ends = is_word.copy()
-    ends[:-1] &= ~is_word[1:]
-    ends[cut - 1] = is_word[cut - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    if not len(s):
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = classes[b].astype(np.int8)
+    edge = np.empty(len(b) + 1, bool)  # whether a token may not span the places before and at it
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[offsets[1:-1] - first] = True
+    s = np.flatnonzero(edge[:-1] & (kind != 0))
+    e = np.flatnonzero(edge[1:] & (kind != 0)) + 1
+    if change is not None:
+        b = change[b]
     p, inv = _powers(len(b) + 1)
     sums = np.empty(len(b) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_CODE[b] * p[: len(b)], out=sums[1:])
     h = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))
-    return h, np.searchsorted(offsets, s + first, side="right") - 1, e - s
+    return h, np.searchsorted(offsets, s + first, side="right") - 1, s + first, e + first
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, document's index, length in bytes) of every word of the documents between the offsets."""
+    h, doc, s, e = tokens(data, offsets, change=_LOWER if lower else None)
+    return h, doc, e - s
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> Iterator[np.ndarray]:

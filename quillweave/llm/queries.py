@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_counts, warc
+from . import gif_media, langid, mixing, packing, quality, token_counts, warc
 from .common import scratch
 
 
@@ -25,16 +25,36 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.media_features(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store starts empty in each run: what is measured is a first count of the corpus."""
     cache = scratch(spark, "token-cache")
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op4_gif_media": op4_gif_media,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
+    "op7_langid": op7_langid,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {

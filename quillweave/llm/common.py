@@ -27,6 +27,12 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, with the package at hand for the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a query's tables below spark.checkpoint.dir, which driver and executors share.
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import scratch, slices, table, utf8
+from .common import arrow, scratch, slices, table, utf8
 
 WIDTH = 64
 #: Rows of a frame: 64 KiB of samples. Longer payloads go on in further frames.
@@ -260,7 +260,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_payloads(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text of docs (doc_id, text) as a GIF; null counts as empty."""
-    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").transform(arrow, _encode, "doc_id long, n_bytes long, media binary")
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def frame_table(media: DataFrame) -> DataFrame:
     A null medium has no frames; what isn't a GIF raises ValueError.
     """
     schema = "doc_id long, frame int, start_ms long, delay_ms int, width int, height int, pixels binary, histogram array<long>"
-    return media.select("doc_id", "media").mapInArrow(_frames, schema)
+    return media.select("doc_id", "media").transform(arrow, _frames, schema)
 
 
 def digest(media: bytes) -> tuple:
@@ -324,4 +324,4 @@ def media_features(docs: DataFrame) -> DataFrame:
     """
     stored = table(store_payloads(docs), f"{scratch(docs.sparkSession, 'gif')}/media")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digest, schema)
+    return stored.select("doc_id", "n_bytes", "media").transform(arrow, _digest, schema)

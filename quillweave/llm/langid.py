@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, scratch, ship, slices, table, utf8
+from .common import arrow, mix, scratch, ship, slices, table, utf8
 
 N = 4
 PLACES = 1 << 20
@@ -127,13 +127,13 @@ def fit(docs: DataFrame, least: float = LEAST, share: float = SHARE, size: int =
         raise ValueError("more than 63 languages")
     if not languages:
         return Filter([], np.zeros(size, np.uint8), np.zeros(0))
-    counts = rows.mapInArrow(_count(languages), "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.transform(arrow, _count(languages), "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     counts = table(counts, f"{home}/counts")
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(totals), "language").select("language", "gram", (F.col("n") / F.col("total")).alias("p"))  # at most 63 rows
     typical = rate.where(F.col("p") >= least).withColumn("most", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= share * F.col("most"))
     masks = typical.groupBy("gram").agg(F.sum(F.expr("shiftleft(1L, language)")).alias("mask"))
-    slots = masks.mapInArrow(_slots(size, hashes), "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    slots = masks.transform(arrow, _slots(size, hashes), "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
     got = slots.toArrow()
     array = np.zeros(size, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages)))
     array[got.column("place").to_numpy()] = got.column("mask").to_numpy()
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model.masks)  # PLACES numbers of 1 to 8 bytes, whatever the corpus
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(_predict(model._replace(masks=model.masks[:0]), shared), schema)
+    return docs.transform(arrow, _predict(model._replace(masks=model.masks[:0]), shared), schema)
 
 
 def fold(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, slices, table, utf8
+from .common import arrow, scratch, slices, table, utf8
 
 SEQUENCE = 2048
 #: Tokens of a unit in which patterns are enumerated.
@@ -285,7 +285,7 @@ def pack(docs: DataFrame, path: str, most: int = SEQUENCE, end: int = 0, unit: i
     spark = docs.sparkSession
     home = scratch(spark, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
-    pieces = table(docs.select("doc_id", "text").mapInArrow(_pieces(path, most, end, keep_ids), schema), f"{home}/pieces")
+    pieces = table(docs.select("doc_id", "text").transform(arrow, _pieces(path, most, end, keep_ids), schema), f"{home}/pieces")
     counts = table(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), f"{home}/counts")
     steps = plan({x.length: x.n for x in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, most, unit, depth)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -293,4 +293,4 @@ def pack(docs: DataFrame, path: str, most: int = SEQUENCE, end: int = 0, unit: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     ranked = ranked.select(*names, (F.col("before") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(steps), schema)
+    return ranked.transform(arrow, _place(steps), schema)

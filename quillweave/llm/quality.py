@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix, scratch, slices, table, tokens, utf8
+from .common import SPACES, arrow, mix, scratch, slices, table, tokens, utf8
 
 BUCKETS = 1 << 16
 #: Labelled rows that are used at most, those of the smallest hashes; bounds what is broadcast.
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
     marks = table(marks.orderBy(F.xxhash64("doc_id")).limit(labelled), f"{home}/labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left")  # at most labelled rows
-    counts = rows.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count(buckets), "bucket long, n long, good long")
+    counts = rows.select("text", F.coalesce("good", F.lit(False)).alias("good")).transform(arrow, _count(buckets), "bucket long, n long, good long")
     got = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toArrow()
     every, good = np.zeros(buckets), np.zeros(buckets)
     every[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
         return Model(np.zeros(buckets), 0.0)
     ratio = np.log((good + 1) / (good.sum() + buckets)) - np.log((every + 1) / (every.sum() + buckets))
     schema = "doc_id long, n_features long, log_weight double, sample_key double, key_order long"
-    scored = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").mapInArrow(_score(Model(ratio, 0.0), 0, 1.0), schema)
+    scored = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").transform(arrow, _score(Model(ratio, 0.0), 0, 1.0), schema)
     means = scored.join(F.broadcast(marks), "doc_id").where("n_features > 0").select("good", (F.col("log_weight") / F.col("n_features")).alias("mean")).toArrow()
     is_good, mean = means.column("good").to_numpy(zero_copy_only=False).astype(bool), means.column("mean").to_numpy()
     return Model(ratio, cut(mean[is_good], mean[~is_good], keep))
@@ -160,7 +160,7 @@ def kth(scores: DataFrame, k: int) -> int:
 def score(docs: DataFrame, model: Model, seed: int = 1, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, n_features, log_weight, sample_key, key_order for every row of docs (doc_id, text)."""
     schema = "doc_id long, n_features long, log_weight double, sample_key double, key_order long"
-    return docs.select("doc_id", "text").mapInArrow(_score(model, seed, temperature), schema)
+    return docs.select("doc_id", "text").transform(arrow, _score(model, seed, temperature), schema)
 
 
 def threshold(scores: DataFrame, k: int | None = None) -> int:
@@ -187,4 +187,4 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int =
     """The rows of docs, with all columns, that resample selects: weighed a second time where they lie, not joined."""
     model = fit(docs, labels)
     scores = table(score(docs, model, seed, temperature), f"{scratch(docs.sparkSession, 'resample')}/scores")
-    return docs.mapInArrow(_score(model, seed, temperature, threshold(scores, k)), docs.schema)
+    return docs.transform(arrow, _score(model, seed, temperature, threshold(scores, k)), docs.schema)

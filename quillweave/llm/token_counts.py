@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table, utf8
+from .common import arrow, scratch, slices, table, utf8
 
 #: Parts that a worker remembers; beyond it forgets all and starts anew.
 MEMO = 1_500_000
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     # The mark of a text's turn is its doc_id alone: texts are read again where they lie, not moved by their digest.
     turns = missing.select(F.coalesce("doc_id", F.lit(-1)).alias("turn")).distinct()
     todo = content.withColumn("turn", F.coalesce("doc_id", F.lit(-1))).join(turns, "turn", "left_semi").select(F.sha2("text", 256).alias("digest"), "text")
-    new = todo.mapInArrow(_encode(path), "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    new = todo.transform(arrow, _encode(path), "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new = new.join(missing.select("digest"), "digest", "left_semi").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     new.write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, table
+from .common import arrow, filesystem, scratch, table
 
 #: Uncompressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 256 << 20
@@ -221,7 +221,7 @@ def _write_arc(folder: str):
 
 def write_arc(pages: DataFrame, folder: str) -> list[str]:
     """ARC archives of every row of pages (page_id, url, html) below folder; their names."""
-    return sorted(x.file for x in pages.select("page_id", "url", "html").mapInArrow(_write_arc(folder), "file string").collect())
+    return sorted(x.file for x in pages.select("page_id", "url", "html").transform(arrow, _write_arc(folder), "file string").collect())
 
 
 def _index(folder: str):
@@ -293,7 +293,7 @@ def convert(spark: SparkSession, folder: str, names: list[str], to: str, min_byt
     """
     home = scratch(spark, "cdx")
     schema = "file string, offset long, row_id long, payload_bytes long, payload_digest string"
-    index = table(_files(spark, names).mapInArrow(_index(folder), schema), f"{home}/index")
+    index = table(_files(spark, names).transform(arrow, _index(folder), schema), f"{home}/index")
     first = F.min(F.struct(F.col("row_id").isNull(), F.col("row_id").alias("ref_row"), F.col("file").alias("ref_file"), F.col("offset").alias("ref_offset")))
     groups = index.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(first.alias("f"), F.count("*").alias("n"))
     groups = groups.where("n > 1").select("payload_digest", "payload_bytes", "f.ref_row", "f.ref_file", "f.ref_offset")
@@ -302,7 +302,7 @@ def convert(spark: SparkSession, folder: str, names: list[str], to: str, min_byt
     ref = [F.when(~F.coalesce(itself, F.lit(True)), F.col(c)).alias(c) for c in ("ref_file", "ref_offset", "ref_row")]
     # One task streams whole archives in order; their number is fixed, or Spark would put small index parts together.
     plan = plan.select("file", "offset", *ref).repartition(max(1, len(names)), "file").sortWithinPartitions("file", "offset")
-    return sorted(x.file for x in plan.mapInArrow(_convert(folder, to), "file string").collect())
+    return sorted(x.file for x in plan.transform(arrow, _convert(folder, to), "file string").collect())
 
 
 def warc_records(read) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -342,7 +342,7 @@ def _read(folder: str):
 def read_warc(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """page_id, url, record_id, date, payload_bytes, payload_digest, record_type, refers_to, file of each record."""
     schema = "page_id long, url string, record_id string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
-    return _files(spark, names).mapInArrow(_read(folder), schema)
+    return _files(spark, names).transform(arrow, _read(folder), schema)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

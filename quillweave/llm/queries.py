@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, langid, mixing, packing, quality, token_counts, warc
+from . import gif_media, langid, mixing, packing, quality, token_counts, topk, warc
 from .common import scratch
 
 
@@ -43,6 +43,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(topk.divisible()))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
+    "op8_topk": op8_topk,
     "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op8_topk": topk.SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, langid, mixing, packing, quality, token_counts, topk, warc
+from . import gif_media, jaccard, langid, mixing, packing, quality, token_counts, topk, warc
 from .common import scratch
 
 
@@ -52,6 +52,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"), k=3, num=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {

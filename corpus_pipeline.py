@@ -8,6 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillweave.llm import jaccard, langid, mixing, packing, quality
 from quillweave.llm.common import scratch, table
@@ -37,11 +38,16 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix emits it."""
-    copies = table(mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies"), f"{scratch(spark, 'mixed')}/copies")
-    # Input that repeats a doc_id has a row of copies for each; they are added up and dealt to one of its rows.
-    copies = copies.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"))
-    out = docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(docs.columns)
+    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies"))
+    copies = table(copies, f"{scratch(spark, 'mixed')}/copies")
+    on = F.col("d.doc_id") == F.col("c.doc_id")
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        # Rows that share a doc_id, or have none, each take one of their shares, in any order.
+        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+        docs, copies = docs.withColumn("turn", turn), copies.withColumn("turn", turn)
+        on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.turn") == F.col("c.turn"))
+    out = docs.alias("d").join(copies.alias("c"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy"))
+    return out.drop("turn", "copy")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

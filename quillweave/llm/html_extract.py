@@ -5,7 +5,7 @@ each style node the number of pages that have it is counted, the pages for each
 children's styles) and, for nodes with text of their own, the pages for each text. A node's presentations are important
 if they differ between pages (their entropy, in units of the largest possible); its texts are if they are not the same
 on page after page (one minus the mean entropy of where a text occurs). A node's importance joins both with that of
-what it contains, less and less with depth. Branches whose texts are all of low importance are noise.
+what it contains, less and less with depth. A branch is noise if its node and all nodes below are of low importance.
 
 Entropy alone can't tell a menu of ever new links from an article, nor a host's only article, copied to two pages, from
 a footer. What authors say therefore comes first: elements and names that say navigation, advert, form, notice or
@@ -221,8 +221,8 @@ def page_has_article(root: Node) -> bool:
     return False
 
 
-def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]], damping: float = DAMPING) -> dict[int, float]:
-    """Importance of each style node of a host.
+def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]], damping: float = DAMPING) -> tuple[dict[int, float], dict[int, float]]:
+    """Importance of each style node of a host, and the largest of it and of all nodes below it.
 
     A node: path, parent's path, bound, pages, sum of pages over presentations and of n log n over them, number of texts
     and sum of log n over them. Nodes of less than PAGES pages are important.
@@ -232,6 +232,7 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
         own[path] = (bound, pages, total, sums, texts, logs)
         below[above].append(path)
     out: dict[int, float] = {}
+    most: dict[int, float] = {}
     order, todo = [], [p for p, above in ((x[0], x[1]) for x in nodes) if above not in own]
     while todo:
         path = todo.pop()
@@ -246,14 +247,15 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
         share = damping ** max(1, len(below[path]))
         held = sum(x * n for x, n in inside) / sum(n for _, n in inside) if inside else 0.0
         out[path] = 0.0 if bound == 2 else 1.0 if bound or pages < PAGES else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
-    return out
+        most[path] = max([out[path], *(most[x] for x in below[path] if x in most)])
+    return out, most
 
 
 def _noise(low: float):
     def run(nodes: pd.DataFrame) -> pd.DataFrame:
         cols = ["path", "above", "bound", "pages", "total", "sums", "texts", "logs"]
-        found = importance(list(nodes[cols].itertuples(index=False, name=None)))
-        return pd.DataFrame({"host": nodes["host"].iloc[0], "noise": [[int(p) for p, x in found.items() if x < low]]})
+        _, most = importance(list(nodes[cols].itertuples(index=False, name=None)))
+        return pd.DataFrame({"host": nodes["host"].iloc[0], "noise": [[int(p) for p, x in most.items() if x < low]]})
 
     return run
 

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Cols = Column | str
 
@@ -81,7 +82,7 @@ def resolve_rooted(base: Cols, href: Cols) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b, h):
         try:

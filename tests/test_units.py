@@ -52,7 +52,7 @@ def test_words(spark):
 
 
 def test_html(spark):
-    page = '<title>One</title><script>var a = "<p>no</p>"</script><p>t<b>w</b>o<br>three<!-- no --></p><A class=x HREF="/l">l</A><a href="/m">m</a>'
+    page = '<title>One</title><script>var a = "<p>no</p>"</script><p>t<b>w</b>o<br>three<!-- no --></p><A class=x HREF="/l">l</A> <a href="/m">m</a>'
     row = spark.createDataFrame([(page,)], "h string").select(text.words(text.html_text("h")).alias("w"), text.html_links("h").alias("l")).first()
     assert row.w == ["one", "two", "three", "l", "m"] and row.l == ["/l", "/m"]
 

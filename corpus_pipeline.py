@@ -27,8 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The filters are learned from the stage's input, from rows that have a language.
     """
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(docs.columns)
+    found = langid.predict(docs, langid.fit(docs), ("language found", "language score"))
+    return found.where((F.col("language found") != "und") & (F.col("language score") >= SURE)).select(docs.columns)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +41,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies"))
     copies = table(copies, f"{scratch(spark, 'mixed')}/copies")
     on = F.col("d.doc_id") == F.col("c.doc_id")
+    rows = docs
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # Rows that share a doc_id, or have none, each take one of their shares, in any order.
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-        docs, copies = docs.withColumn("turn", turn), copies.withColumn("turn", turn)
-        on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.turn") == F.col("c.turn"))
-    out = docs.alias("d").join(copies.alias("c"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy"))
-    return out.drop("turn", "copy")
+        rows, copies = docs.withColumn("mixing turn", turn), copies.withColumn("mixing turn", turn)
+        on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.`mixing turn`") == F.col("c.`mixing turn`"))
+    out = rows.alias("d").join(copies.alias("c"), on)
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("mixing copy")).drop("mixing copy")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def classify(texts: list[str], model: Filter, hashes: int = HASHES) -> tuple[np.
     return np.where(has & bool(model.languages), best, -1), np.where(has, np.clip(score, 0, 1), 0.0)
 
 
-def _predict(model: Filter, shared):
+def _predict(model: Filter, shared, as_names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = model._replace(masks=shared.value)
         names = np.array([*filled.languages, "und"], object)
@@ -167,23 +167,23 @@ def _predict(model: Filter, shared):
                 best, score = classify(texts, filled)
                 part = batch.slice(i, j - i)
                 cols = [part.column(c) for c in part.schema.names]
-                yield pa.record_batch([*cols, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                yield pa.record_batch([*cols, pa.array(names[best], pa.string()), pa.array(score)], [*part.schema.names, *as_names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Filter) -> DataFrame:
+def predict(docs: DataFrame, model: Filter, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns of docs, lang_pred and score, for every row: the language whose corrected count is largest.
 
     score is its share of all languages' counts. A null text, and one without a letter, is und with score 0. A text with
     letters none of whose n-grams is known gets the first language with score 0. Of equal counts the language first in
-    order wins. Columns named lang_pred or score are replaced. An empty table gives an empty result.
+    order wins. names are those of the new columns; columns of docs so named are replaced. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model.masks)  # PLACES numbers of 1 to 8 bytes, whatever the corpus
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", lang_pred string, score double"
-    return docs.transform(arrow, _predict(model._replace(masks=model.masks[:0]), shared), schema)
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", `{names[0]}` string, `{names[1]}` double"
+    return docs.transform(arrow, _predict(model._replace(masks=model.masks[:0]), shared, names), schema)
 
 
 def fold(doc_id: Column) -> Column:

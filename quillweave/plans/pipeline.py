@@ -17,7 +17,9 @@ def page_graph(pages: DataFrame) -> DataFrame:
 
 def index_of_pages(pages: DataFrame, n: int | None = scoring.CORPUS, variant: str = "smooth_inside") -> Index:
     """The index of pages (url, html): normal urls, one of each content. n None: as many documents as the index has."""
-    kept = crawl.content_dedupe(crawl.normalized(pages))
+    # Read twice, for words and for links: written once, with the columns that they need.
+    kept = crawl.content_dedupe(crawl.normalized(pages.select("url", "html")))
+    kept = stored(kept, f"{workspace(pages.sparkSession, 'pages')}/kept")
     return build(crawl.hits(kept), crawl.links(kept), n, variant)
 
 

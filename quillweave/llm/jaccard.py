@@ -6,7 +6,9 @@ at most that with the node's largest counts. Pairs that the bounds leave are ver
 
 One tree over the corpus would not do: random points in many dimensions are all near the same few planes, so that every
 query would go through most leaves and the work would grow with the square of the corpus. Sets are therefore first
-brought together by signatures that any qualifying pair is sure to share, and each connected group of sets gets a tree.
+brought together by signatures that any qualifying pair is sure to share, and the sets of each signature get a tree of
+their points. Pairs that its bounds allow make groups of candidates; only for these are sets built again from the texts
+and links verified, in a second tree for each group.
 
 Signatures: sets of Jaccard similarity t and sizes a, b differ in at most d = (a + b)(1 - t) / (1 + t) shingles. Cut
 by hash into more than d groups, they agree in one group at least; the group's sum of hashes is a signature. Numbers of
@@ -16,8 +18,8 @@ sets so small that groups hold few shingles, sign with their smallest hashes ins
 
 Identical sets are one class, a node of the graph; a class is known by a 64-bit sum of its hashes, so that two of n
 different sets share it with a probability of n * n / 2**65. No link is expanded within a class, no list of pairs is
-made within a group: groups give forests of verified links. Groups beyond LIMIT shingles are cut into tiles, and each
-pair of tiles whose sizes can match is a task's work.
+made within a signature or a group: trees give forests of links. Where one holds too much for a task it is cut into
+tiles, and each pair of tiles whose sizes can match is a task's work.
 """
 
 from __future__ import annotations
@@ -29,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, mix, scratch, shingles, slices, table, utf8, words
+from .common import arrow, batches_of, mix, release, remove, scratch, shingles, slices, table, utf8, words
 
 #: Sets of at most so many shingles sign with a prefix.
 SMALL = 32
-#: Dimensions of a point.
-DIMENSIONS = 64
+#: Least and most dimensions of a point, powers of two.
+DIMENSIONS = (16, 8192)
 LEAF = 16
-#: Shingles of all sets that a task holds for one group.
+#: Rows of a batch where rows hold sets or points, which may be long.
+ROWS = 500
+#: Shingles of all sets that a task holds for one group, where a set counts OWN more; points of one signature likewise.
 LIMIT = 4_000_000
+OWN = 200
 #: Bits of the map of candidates' ids that texts are filtered with before their sets are built again.
 PLACES = 1 << 22
 
@@ -123,9 +128,9 @@ def _sign(k: int, num: int, den: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (sign, class): each class of a sign with the sign's first, but itself."""
-    sign, pivot, last = None, 0, 0
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (sign, class): each class of a sign that has more than one, once."""
+    sign, first, last, alone = None, 0, 0, True
     for batch in batches:
         s, c = batch.column("sign").to_numpy(), batch.column("class").to_numpy()
         if not len(s):
@@ -133,13 +138,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
         new[0] = sign is None or s[0] != sign
+        fresh = new.copy()  # the first row of its class in its sign
+        fresh[1:] |= c[1:] != c[:-1]
+        fresh[0] |= c[0] != last
+        more = fresh & ~new
+        # A sign's first class is told with its second: both then stand in one batch, or the first comes from before.
         start = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-        first = np.where(start >= 0, c[np.maximum(start, 0)], pivot)
-        before = np.concatenate([[last], c[:-1]])
-        on = ~new & (c != before) & (c != first)
-        sign, pivot, last = s[-1], first[-1], c[-1]
-        if on.any():
-            yield pa.record_batch([pa.array(c[on]), pa.array(first[on])], ["a", "b"])
+        run = np.cumsum(new)
+        extra = np.flatnonzero(more)
+        second = extra[np.unique(run[extra], return_index=True)[1]]
+        if not alone:
+            second = second[start[second] >= 0]
+        heads = np.where(start[second] >= 0, c[np.maximum(start[second], 0)], first)
+        if len(extra):
+            yield pa.record_batch([pa.array(np.concatenate([s[second], s[extra]])), pa.array(np.concatenate([heads, c[extra]]))], ["sign", "class"])
+        tail = start[-1]
+        alone = not bool(more[max(tail, 0) :].any()) and (tail >= 0 or alone)
+        first = c[tail] if tail >= 0 else first
+        sign, last = s[-1], c[-1]
 
 
 def components(links: DataFrame, home: str) -> DataFrame:
@@ -222,81 +238,145 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Verified links that connect what all links connect; of two sides, where there are two, links across alone."""
-    root = list(range(len(sets)))
+def point(s: np.ndarray) -> np.ndarray:
+    """A set's counts in groups of four to eight shingles: with fewer groups counts of large sets are all alike."""
+    bits = min(max(len(s) // 4, DIMENSIONS[0]), DIMENSIONS[1]).bit_length() - 1
+    counts = np.diff(np.concatenate([[0], np.searchsorted(s, edges(bits)), [len(s)]]))
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max))
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    points = np.stack([np.diff(np.concatenate([[0], np.searchsorted(s, edges(DIMENSIONS.bit_length() - 1)), [len(s)]])) for s in sets]).astype(np.int32)
-    sizes = np.array([len(s) for s in sets])
-    tree, across, out = RTree(points, sizes), len(np.unique(side)) > 1, []
-    for i in range(len(sets)):
+def coarse(p: np.ndarray, dimensions: int) -> np.ndarray:
+    """The point in fewer groups, each of neighbours."""
+    return p.astype(np.int32).reshape(dimensions, -1).sum(1, dtype=np.int32)
+
+
+def packed(p: np.ndarray) -> bytes:
+    return bytes([p.itemsize]) + p.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1)
+
+
+class Bounds:
+    """Overlap bounds of points of several resolutions: each pair is compared at the finest that both have."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.resolution = np.array([len(p) for p in points])
+        self.kinds = np.unique(self.resolution)
+        self.rows = {d: np.flatnonzero(self.resolution >= d) for d in self.kinds}
+        self.at = {d: np.stack([coarse(points[i], int(d)) for i in self.rows[d]]) for d in self.kinds}
+
+    def of(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.empty(len(others), np.int64)
+        shared = np.minimum(self.resolution[others], self.resolution[i])
+        for d in np.unique(shared):
+            on = shared == d
+            at, rows = self.at[d], self.rows[d]
+            out[on] = np.minimum(at[np.searchsorted(rows, others[on])], at[np.searchsorted(rows, i)]).sum(1)
+        return out
+
+
+def forest(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links connect: pairs that the bounds allow, and that the sets confirm, where given.
+
+    Of two sides, where there are two, links across alone. The tree has all points at the resolution of the coarsest;
+    what it finds is bounded again at the resolution of each pair.
+    """
+    bounds = Bounds(points)
+    base = bounds.at[bounds.kinds[0]]
+    group, tree, across, out = np.arange(len(points)), RTree(base, sizes), len(np.unique(side)) > 1, []
+    for i in range(len(points)):
         if across and side[i]:
             continue
-        near = tree.near(points[i], int(sizes[i]), num, den)
-        for j in (near[side[near] != side[i]] if across else near[near > i]).tolist():
-            a, b = find(i), find(j)
-            if a != b and similar(sets[i], sets[j], num, den):
-                root[max(a, b)] = min(a, b)
+        near = tree.near(base[i], int(sizes[i]), num, den)
+        near = near[side[near] != side[i]] if across else near[near > i]
+        near = near[group[near] != group[i]]
+        if len(bounds.kinds) > 1 and len(near):
+            near = near[bounds.of(i, near) >= needed(sizes[i] + sizes[near], num, den)]
+        if sets is None:
+            for j in near[np.unique(group[near], return_index=True)[1]].tolist():
                 out.append((i, j))
+                group[group == group[j]] = group[i]
+            continue
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            if similar(sets[i], sets[j], num, den):
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+                near = near[group[near] != group[i]]
     return out
 
 
-def _link(num: int, den: int):
+def _link(num: int, den: int, verified: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                names = [x[0] for x in rows]
-                found = forest([np.frombuffer(x[2], np.uint64) for x in rows], np.array([x[1] for x in rows]), num, den)
+                names, side = [x[0] for x in rows], np.array([x[1] for x in rows])
+                sets = [np.frombuffer(x[2], np.uint64) for x in rows] if verified else None
+                points = [point(s) for s in sets] if verified else [unpacked(x[2]) for x in rows]
+                sizes = np.array([int(p.sum(dtype=np.int64)) for p in points])
+                found = forest(points, sizes, side, num, den, sets)
                 if found:
                     yield pa.record_batch([pa.array([names[i] for i, _ in found]), pa.array([names[j] for _, j in found])], ["a", "b"])
 
         for batch in batches:
-            for k, c, side, s in zip(*(batch.column(x).to_pylist() for x in ("task", "class", "side", "hashes"))):
+            for k, c, side, s in zip(*(batch.column(x).to_pylist() for x in ("task", "class", "side", "data"))):
                 if k != key:
                     yield from done()
                     key, rows = k, []
-                rows.append((c, side, s))
+                if not rows or rows[-1][0] != c:  # rows that repeat a doc_id and its text
+                    rows.append((c, side, s))
         yield from done()
 
     return run
 
 
-def _fetch(k: int, shared):
+def _fetch(k: int, shared, points: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column("place").to_numpy()]))
             if not batch.num_rows:
                 continue
-            prints, sizes, sets = [], [], []
+            prints, out = [], []
             for _, s in _sets(batch, k):
                 prints.append(fingerprint(s))
-                sizes.append(len(s))
-                sets.append(s.tobytes())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "class", "size", "hashes"])
+                out.append(packed(point(s)) if points else s.tobytes())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "class", "data"])
 
     return run
 
 
-def _tasks(members: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """task, class, side, hashes: each group that fits a task is one; others are pairs of tiles.
+def fetch(docs: DataFrame, wanted: DataFrame, k: int, points: bool) -> DataFrame:
+    """The columns of wanted (class, doc_id, more) and data: the class' set, or its point, built again from its text.
 
-    A tile is a part, by class, of a group's sets of one range of sizes; only neighbouring ranges can match.
+    Texts are filtered where they lie by a bit map of the wanted ids, of fixed size; what passes by chance is lost in
+    the join, to which sets go and no texts.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int").alias("place")
+    marks = np.zeros(PLACES, bool)
+    marks[wanted.select(place).distinct().toArrow().column("place").to_numpy()] = True  # at most PLACES rows
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    found = docs.select("doc_id", "text", place).transform(arrow, _fetch(k, shared, points), "doc_id long, class long, data binary")
+    same = (F.col("f.class") == F.col("w.class")) & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
+    return found.alias("f").join(wanted.alias("w"), same).select("w.*", "f.data")
+
+
+def _tasks(members: DataFrame, carry: list[str], num: int, den: int, limit: int) -> DataFrame:
+    """task, class, side and carry of members (root, class, size, weight, carry).
+
+    Each root whose weights fit a task is one; others are pairs of tiles. A tile is a part, by class, of a root's sets
+    of one range of sizes; only neighbouring ranges can match.
     """
     band = F.floor(F.log(F.col("size")) / float(np.log(den / num))).cast("int")
-    group = members.groupBy("root").agg(F.sum("size").alias("weight"))
-    rows = members.join(group, "root").withColumn("band", band)
-    whole = rows.where(F.col("weight") <= limit).select(F.concat_ws(":", "root").alias("task"), "class", F.lit(0).alias("side"), "hashes")
-    large = rows.where(F.col("weight") > limit)
-    bands = large.groupBy("root", "band").agg(F.ceil(F.sum("size") * 2 / limit).cast("int").alias("tiles"))
+    root = members.groupBy("root").agg(F.sum("weight").alias("total"))
+    rows = members.join(root, "root").withColumn("band", band)
+    whole = rows.where(F.col("total") <= limit).select(F.concat_ws(":", "root").alias("task"), "class", F.lit(0).alias("side"), *carry)
+    large = rows.where(F.col("total") > limit)
+    bands = large.groupBy("root", "band").agg(F.ceil(F.sum("weight") * 2 / limit).cast("int").alias("tiles"))
     up = bands.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
     down = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     plan = bands.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").na.fill(0, ["above", "below"])
@@ -312,7 +392,7 @@ def _tasks(members: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     same = pairs("tiles", lambda x: task(b, F.least(t, x), b, F.greatest(t, x), t > x))
     above = pairs("above", lambda x: task(b, t, b + 1, x, F.lit(0)))
     below = pairs("below", lambda x: task(b - 1, x, b, t, one))
-    large = large.select("class", "hashes", F.explode(F.concat(same, above, below)).alias("t")).select("t.task", "class", "t.side", "hashes")
+    large = large.select("class", *carry, F.explode(F.concat(same, above, below)).alias("t")).select("t.task", "class", "t.side", *carry)
     return whole.unionByName(large)
 
 
@@ -330,28 +410,36 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int
     docs = docs.select("doc_id", "text")
     signed = table(docs.transform(arrow, _sign(k, num, den), "doc_id long, n_shingles long, class long, signs array<long>"), f"{home}/signed")
     rows = signed.where("n_shingles > 0").select(F.explode("signs").alias("sign"), "class").repartition("sign").sortWithinPartitions("sign", "class")
-    near = rows.transform(arrow, _stars, "a long, b long").distinct()
+    shared = table(rows.transform(arrow, _shared, "sign long, class long"), f"{home}/shared")
+    slim = table(signed.select("doc_id", "n_shingles", "class"), f"{home}/slim")
+    del signed, rows
+    remove(spark, f"{home}/signed")  # signatures, and what was shuffled by them, are no longer needed
+    release(spark)
+    classes = table(slim.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), f"{home}/classes")
+    # Of signatures that have the same classes one is enough.
+    told = shared.groupBy("sign").agg(F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    blocks = shared.join(told.groupBy("x", "y", "n").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi")
+    met = table(shared.select("class").distinct().join(classes, "class"), f"{home}/met")
+    points = table(fetch(docs, met, k, True).dropDuplicates(["class"]), f"{home}/points")
+    members = blocks.join(points, "class").select(F.col("sign").alias("root"), "class", "size", (F.lit(OWN) + F.octet_length("data")).alias("weight"), "data")
+    tasks = _tasks(members, ["data"], num, den, limit).repartition("task").sortWithinPartitions("task", "class")
+    with batches_of(spark, ROWS):
+        near = table(tasks.transform(arrow, _link(num, den, False), "a long, b long").distinct(), f"{home}/allowed")
     groups = table(components(near, f"{home}/near"), f"{home}/groups")
-    classes = table(signed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), f"{home}/classes")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int").alias("place")
-    wanted = table(groups.join(classes, groups["node"] == classes["class"]).select("class", "root", "doc_id"), f"{home}/wanted")
-    marks = np.zeros(PLACES, bool)
-    marks[wanted.select(place).distinct().toArrow().column("place").to_numpy()] = True  # at most PLACES rows
-    shared = spark.sparkContext.broadcast(marks)
-    fetched = docs.select("doc_id", "text", place).transform(arrow, _fetch(k, shared), "doc_id long, class long, size long, hashes binary")
-    same = (F.col("f.class") == F.col("w.class")) & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
-    members = fetched.alias("f").join(wanted.alias("w"), same).select("root", "f.class", "size", "hashes").dropDuplicates(["class"])
-    members = table(members, f"{home}/members")
-    tasks = _tasks(members, num, den, limit).repartition("task").sortWithinPartitions("task")
-    links = tasks.transform(arrow, _link(num, den), "a long, b long")
+    release(spark)
+    wanted = groups.join(classes, groups["node"] == classes["class"]).select("root", "class", "doc_id", "size", (F.col("size") + OWN).alias("weight"))
+    wanted = table(_tasks(table(wanted, f"{home}/wanted"), ["doc_id"], num, den, limit), f"{home}/tasks")
+    verify = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "class")
+    with batches_of(spark, ROWS):
+        links = table(verify.transform(arrow, _link(num, den, True), "a long, b long"), f"{home}/links")
     linked = table(components(links, f"{home}/linked"), f"{home}/roots")
     known = linked.join(classes, linked["node"] == classes["class"]).select("class", "root", "doc_id")
     lowest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     reached = known.join(lowest, "root").select("class", "component_id")
     named = classes.join(reached, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"))
     named = table(named, f"{home}/named")
-    plain = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return signed.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").unionByName(plain)
+    plain = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return slim.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").unionByName(plain)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -224,14 +224,16 @@ def test_tree_finds_what_brute_force_finds():
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(200)]
     sets = [np.array(sorted({x if rng.random() > e else rng.getrandbits(64) for x in base}), np.uint64) for e in (0.01, 0.03, 0.06, 0.2) for _ in range(30)]
-    points = np.stack([jaccard.point(s) for s in sets])
-    tree = jaccard.RTree(points, points.sum(1))
+    points, sizes = [jaccard.point(s) for s in sets], np.array([len(s) for s in sets])
+    assert all(jaccard.unpacked(jaccard.packed(p)).tolist() == p.tolist() and p.sum() == n for p, n in zip(points, sizes))
+    flat = jaccard.Bounds(points).at[16 if min(sizes) < 128 else min(map(len, points))]
+    tree = jaccard.RTree(flat, sizes)
     for i, s in enumerate(sets):
-        near = set(tree.near(points[i], len(s), 90, 100).tolist())
+        near = set(tree.near(flat[i], len(s), 90, 100).tolist())
         assert {j for j, o in enumerate(sets) if jaccard.similar(s, o, 90, 100)} <= near
-    links = jaccard.forest(points, points.sum(1), np.zeros(len(sets), int), 90, 100, sets)
+    links = jaccard.forest(points, sizes, np.zeros(len(sets), int), 90, 100, sets)
     assert links and all(jaccard.similar(sets[i], sets[j], 90, 100) for i, j in links)
-    assert len(links) <= len(jaccard.forest(points, points.sum(1), np.zeros(len(sets), int), 90, 100)) < len(sets)
+    assert len(links) <= len(jaccard.forest(points, sizes, np.zeros(len(sets), int), 90, 100)) < len(sets)
 
 
 def test_shared_signs():

@@ -48,7 +48,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s"]
+        # Matched as they are written, before letters are put in lower case.
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s"]
         self.by_word = True
         self.stems = True
         said, got = self.whole(probes), self.ids([x.encode() for x in probes])
@@ -58,10 +60,18 @@ class WordIds:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Of ASCII words the library sees lower-case letters once, whatever their case and the marks after them."""
+        """Of ASCII words the library sees lower-case letters once, whatever their case and the marks after them.
+
+        Words that hold a special token, in whatever case, it sees as they are.
+        """
         split: dict[bytes, tuple[bytes, ...]] = {}
+        all_low = b" ".join(words).lower()
+        special = [x for x in self.special if x in all_low]
         for w in words:
             low = w.lower() if w.isascii() else w
+            if special and any(x in low for x in special):
+                split[w] = (w,)
+                continue
             m = _STEM.fullmatch(low)
             split[w] = (m[1], m[2]) if m else (low,)
         new = list({x for parts in split.values() for x in parts if x not in self.memo})

@@ -44,6 +44,12 @@ def test_ids_are_the_library_s(texts):
     assert c.by_word and c.ids([t.encode() for t in texts]) == c.whole(texts)
 
 
+def test_special_tokens_in_other_cases():
+    c = packing.coder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|>", "x<|EndOfText|>y", "a <|StartOfText|>, <|startoftext|>. B<|ENDOFTEXT|><|endoftext|>C", "<|END OF<|"]
+    assert c.by_word and c.ids([t.encode() for t in texts]) == c.whole(texts)
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "MEMO", 50)
     monkeypatch.setattr(packing, "MEMO", 50)

@@ -10,7 +10,8 @@ what it contains, less and less with depth. A branch is noise if its node and al
 Entropy alone can't tell a menu of ever new links from an article, nor a host's only article, copied to two pages, from
 a footer. What authors say therefore comes first: elements and names that say navigation, advert, form, notice or
 comment bound a style node's importance by 0, article and main elements theirs by 1, whatever the entropies; where a
-page has an article, that is the page's text. Entropy decides about all other nodes.
+page has an article, that is the page's text. Entropy decides about all other nodes. Names count as whole tokens of
+class and id; they don't count on what is or holds the page's article, and those of a page's frame not inside one.
 """
 
 from __future__ import annotations
@@ -40,27 +41,32 @@ _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"}
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = set(
-    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul button object audio video canvas math label datalist".split()
+    "address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary svg table tbody td template tfoot th thead tr ul button object audio video canvas label datalist".split()
 )
-_NOISE_TAGS = set("head script style textarea title iframe noembed noframes noscript template svg math object audio video canvas select option optgroup datalist button form fieldset nav footer aside dialog menu search input".split())
+_NOISE_TAGS = set("head script style textarea title iframe noembed noframes noscript template svg object audio video canvas select option optgroup datalist button nav footer aside dialog menu search input".split())
 _NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Names that say noise whatever a branch contains.
+#: Noise unless they hold the page's article, as names that say noise are.
+_HOLDERS = {"form", "fieldset"}
+#: Names that say noise.
 _NOISE_NAMES = set("ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promoted comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager skiplink captcha paywall outbrain taboola".split())
 #: Names that also stand on what is around an article: they don't count there.
 _FRAME_NAMES = set("sidebar sidebars nav navbar navigation menu menus topbar toolbar header masthead footer foot banner widget widgets notice notices alert aside search toc tags".split())
-_CLOSES_P = _BLOCKS - {"p", "head", "html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "label", "legend", "svg", "math", "button", "object", "audio", "video", "canvas", "select", "template", "datalist"} | {"p"}
+_CLOSES_P = _BLOCKS - {"p", "head", "html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "label", "legend", "svg", "button", "object", "audio", "video", "canvas", "select", "template", "datalist"} | {"p"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "style", "hard", "soft", "main", "children", "texts")
+    """soft: 1 if its name or tag says what is around an article, 2 if only a part of a name says that or noise."""
 
-    def __init__(self, tag: str, parent: Node | None, name: str, hard: bool, soft: bool, main: bool):
-        self.tag, self.parent, self.hard, self.soft, self.main = tag, parent, hard, soft, main
+    __slots__ = ("tag", "parent", "path", "style", "hard", "named", "soft", "main", "names", "children", "texts")
+
+    def __init__(self, tag: str, parent: Node | None, name: str, hard: bool, named: bool, soft: int, main: bool):
+        self.tag, self.parent, self.hard, self.named, self.soft, self.main = tag, parent, hard, named, soft, main
+        self.names = name.lower().partition(".")[2].rpartition("#")[0]
         self.style = xxhash.xxh64_intdigest(name) >> 1
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}/{name}") >> 1
         self.children: list[Node] = []
@@ -70,15 +76,50 @@ class Node:
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     a = {k.lower(): x or y or z or "" for k, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
     role, said = a.get("role", "").lower(), f"{a.get('class', '')} {a.get('id', '')}"
-    names = {x.lower() for x in _NAME.findall(said)} if said != " " else set()
+    names = set(said.lower().split())
+    parts = {x.lower() for x in _NAME.findall(said)} if names else names
     outside = tag in ("html", "body")
     hard = tag in _NOISE_TAGS or role in _NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
     hard = hard or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
-    hard = hard or (not outside and bool(names & _NOISE_NAMES))
+    named = not outside and (tag in _HOLDERS or bool(names & _NOISE_NAMES))
     main = not hard and (tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower())
     # A header may be a page's, which is noise, or an article's, which holds its title.
-    soft = not outside and not main and (bool(names & _FRAME_NAMES) or tag == "header")
-    return Node(tag, parent, f"{tag}.{' '.join(sorted(said.split()))}#{role}", hard and not outside, soft, main)
+    soft = 0 if outside or main else 1 if names & _FRAME_NAMES or tag == "header" else 2 if parts & (_FRAME_NAMES | _NOISE_NAMES) else 0
+    return Node(tag, parent, f"{tag}.{' '.join(sorted(said.split()))}#{role}", hard and not outside, named, soft, main)
+
+
+def _settle(root: Node, blocks: list[tuple[Node, str]]) -> None:
+    """Lift names from what is or holds a page's article, and let names on the others decide."""
+    held: Counter = Counter()
+    for node, text in blocks:
+        held[node] += len(text)
+    order, tops, todo = [], [], [(root, False, False)]
+    while todo:
+        node, hard, inside = todo.pop()
+        order.append(node)
+        hard |= node.hard
+        if node.main and not inside and not hard:
+            tops.append(node)
+        # A hidden or navigation branch's text isn't text of the page.
+        todo += [(c, hard, inside or node.main) for c in node.children]
+        if hard:
+            held[node] = 0
+    for node in reversed(order):
+        if node.parent:
+            held[node.parent] += held[node]
+    for node in order:  # the text of an article that isn't marked as one, in a wrapper that has a part of a name
+        if node.soft == 2 and 2 * held[node] >= held[root]:
+            node.soft = 0
+    for top in tops:
+        if any(_up(top, "named")) and 2 * held[top] < held[root]:
+            continue
+        up = top
+        while up is not None:  # what is or holds an article isn't noise or a frame, whatever its name
+            up.named, up.soft = False, 0
+            up = up.parent
+    for node in order:
+        if node.named:
+            node.hard, node.main = True, False
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -87,7 +128,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     Inline elements and br don't make nodes; a block ends where a block element starts or ends. White space is one
     space, character references are decoded, comments and what isn't text are left out.
     """
-    root = Node("#page", None, "#page", False, False, False)
+    root = Node("#page", None, "#page", False, False, 0, False)
     here, blocks, run, at, size = root, [], [], 0, len(page)
 
     def flush() -> None:
@@ -154,14 +195,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         node = _open(tag, m[3], here)
         here.children.append(node)
-        if node.main and not any(_up(here, "hard")):
-            up = here
-            while up is not None:  # what holds an article isn't a frame, whatever its name
-                up.soft = False
-                up = up.parent
-        if not (m[3] or "").rstrip().endswith("/") or tag not in ("svg", "math"):
+        if not (m[3] or "").rstrip().endswith("/") or tag != "svg":
             here = node
     flush()
+    _settle(root, blocks)
     return root, blocks
 
 
@@ -171,6 +208,16 @@ def _up(node: Node | None, what: str) -> Iterator[bool]:
         node = node.parent
 
 
+def _in_article(node: Node) -> bool:
+    """Whether a frame's name doesn't count: in an article, or, of a header or in parts, in a main element."""
+    up, header = node.parent, node.tag == "header" or node.soft == 2 or bool({"header", "masthead", "banner"} & set(node.names.split()))
+    while up is not None:
+        if up.main and (header or up.tag != "main"):
+            return True
+        up = up.parent
+    return False
+
+
 def host(url: str | None) -> str:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -291,8 +338,11 @@ def main_text(page: str, noise: frozenset[int] = frozenset()) -> str:
             hard, main, low, up = False, False, False, node
             while up is not None:
                 hard |= up.hard
-                # Inside an article neither names of a page's frame nor the host's other pages count.
-                low |= not main and (up.path in noise or up.soft and not (up.tag == "header" and any(_up(up.parent, "main"))))
+                # Inside an article neither names of a page's frame nor the host's other pages count; main may hold a sidebar.
+                if up.path in noise and not main:
+                    low = True
+                if up.soft and not main and not _in_article(up):
+                    low = True
                 main |= up.main
                 up = up.parent
             known[node] = not hard and not low and (main or not article)

@@ -158,6 +158,17 @@ def test_html_cases():
     assert t("<article>x" + "<div>" * 3000 + "deep") == "x\n\ndeep"
 
 
+def test_html_names_and_articles():
+    t = html_extract.main_text
+    for wrap in ('<div class="layout with-ads">{}</div>', '<div class="has-comments">{}</div>', '<form id=f>{}</form>', '<div class="ads">{}</div>'):
+        assert t(wrap.format('<article class="post category-social"><p>text of it</p></article>') + "<p>x") == "text of it"
+    assert t('<article class="social"><div class="entry-header"><h1>T</h1></div><div class="header">h</div><p>a</article>') == "T\n\nh\n\na"
+    assert t("<article><p>E <math><mi>m</mi><annotation>tex</annotation></math> c</article>") == "E m c"
+    assert t('<div class="has-comments"><div>a long text</div></div><div class="ad">no</div><div class="top-nav">no</div>') == "a long text"
+    page = "<main><p>text</p><div class=sidebar>no</div></main><div class=comments><article>no</article></div>"
+    assert t(page) == "text"
+
+
 def test_html_host():
     assert html_extract.host("https://u@A.b:80/x") == "a.b" and html_extract.host(None) == "" and html_extract.host("x/y") == ""
 

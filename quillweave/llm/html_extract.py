@@ -9,9 +9,12 @@ what it contains, less and less with depth. A branch is noise if its node and al
 
 Entropy alone can't tell a menu of ever new links from an article, nor a host's only article, copied to two pages, from
 a footer. What authors say therefore comes first: elements and names that say navigation, advert, form, notice or
-comment bound a style node's importance by 0, article and main elements theirs by 1, whatever the entropies; where a
-page has an article, that is the page's text. Entropy decides about all other nodes. Names count as whole tokens of
-class and id; they don't count on what is or holds the page's article, and those of a page's frame not inside one.
+comment bound a style node's importance by 0, whatever the entropies. Article and main elements are a prior, that of
+PRIOR pages: of importance 1 for what they hold, 0 for what is around them. Branches and texts inside go if the tree finds
+them unimportant all the same, blocks around them stay if it finds them important and they aren't links. Articles with
+less than a quarter of a page's text are no prior for the rest. Entropy decides about all other nodes. Names count as
+whole tokens of class and id; they don't count on what is or holds the page's article, and those of a page's frame not
+inside one.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from .common import arrow, scratch, table
 LOW = 0.2
 #: Weight of contents against presentation, to the power of the number of presentations.
 DAMPING = 0.9
+#: Importance from which a block around an article is text.
+HIGH = 0.5
+#: Pages that an article element's word counts for.
+PRIOR = 5
 #: Pages of a host from which its texts' entropy says something.
 PAGES = 5
 
@@ -88,10 +95,10 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     return Node(tag, parent, f"{tag}.{' '.join(sorted(said.split()))}#{role}", hard and not outside, named, soft, main)
 
 
-def _settle(root: Node, blocks: list[tuple[Node, str]]) -> None:
+def _settle(root: Node, blocks: list[tuple[Node, str, bool]]) -> None:
     """Lift names from what is or holds a page's article, and let names on the others decide."""
     held: Counter = Counter()
-    for node, text in blocks:
+    for node, text, _ in blocks:
         held[node] += len(text)
     order, tops, todo = [], [], [(root, False, False)]
     while todo:
@@ -122,25 +129,28 @@ def _settle(root: Node, blocks: list[tuple[Node, str]]) -> None:
             node.hard, node.main = True, False
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of a page's block elements and its blocks of text, in order, each with the element it stands in.
+def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
+    """The tree of a page's block elements and its blocks of text, in order, each with the element it stands in
+    and whether half of it is links.
 
     Inline elements and br don't make nodes; a block ends where a block element starts or ends. White space is one
     space, character references are decoded, comments and what isn't text are left out.
     """
     root = Node("#page", None, "#page", False, False, 0, False)
-    here, blocks, run, at, size = root, [], [], 0, len(page)
+    here, blocks, run, at, size, links, linked = root, [], [], 0, len(page), 0, False
 
     def flush() -> None:
+        nonlocal links
         if run:
             text = "".join(run)
             run.clear()
+            part, links = links / max(1, len(text)), 0
             if "&" in text:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
                 here.texts.append(text)
-                blocks.append((here, text))
+                blocks.append((here, text, part >= 0.5))
 
     while at < size:
         start = page.find("<", at)
@@ -149,6 +159,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             break
         if start > at:
             run.append(page[at:start])
+            links += (start - at) * linked
         m = _TOKEN.match(page, start) or _BROKEN.match(page, start)
         if not m:
             run.append("<")
@@ -164,6 +175,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at) if tag != "plaintext" else None
             at = end.end() if end else size
             continue
+        if tag == "a":
+            linked = not m[1]
+            continue
         if tag == "br":
             run.append(" ")
             continue
@@ -226,21 +240,20 @@ def host(url: str | None) -> str:
 def styles(root: Node) -> set[tuple[int, int, int, int]]:
     """(path, parent's path, kind, feature) of a page: kind 0 its presence and bound, 1 a presentation, 2 a text.
 
-    The bound is 2 of what names say is noise, below which nothing is counted, 1 of articles and what they hold, else 0.
+    The bound is 2 of what names say is noise, below which nothing is counted, else 0.
     """
-    out, todo = set(), [(root, False)]
+    out, todo = set(), [root]
     while todo:
-        node, inside = todo.pop()
-        inside |= node.main
+        node = todo.pop()
         above = node.parent.path if node.parent else 0
-        out.add((node.path, above, 0, 2 if node.hard else int(inside)))
+        out.add((node.path, above, 0, 2 if node.hard else 0))
         if node.hard:
             continue
         sequence = [c.style for i, c in enumerate(node.children) if not i or c.style != node.children[i - 1].style]
         out.add((node.path, above, 1, xxhash.xxh64_intdigest(repr(sequence)) >> 1))
         for text in node.texts:
             out.add((node.path, above, 2, xxhash.xxh64_intdigest(text) >> 1))
-        todo += [(c, inside) for c in node.children]
+        todo += node.children
     return out
 
 
@@ -256,18 +269,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*cols, pa.array(n.values(), pa.int64())], ["host", "path", "above", "kind", "feature", "n"])
 
 
-def page_has_article(root: Node) -> bool:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.hard:
-            continue
-        if node.main:
-            return True
-        todo += node.children
-    return False
-
-
 def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]], damping: float = DAMPING) -> tuple[dict[int, float], dict[int, float]]:
     """Importance of each style node of a host, and the largest of it and of all nodes below it.
 
@@ -293,7 +294,7 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
         shown = min(1.0, (log(total) - sums / total) / log(pages)) if pages > 1 and total else 1.0
         share = damping ** max(1, len(below[path]))
         held = sum(x * n for x, n in inside) / sum(n for _, n in inside) if inside else 0.0
-        out[path] = 0.0 if bound == 2 else 1.0 if bound or pages < PAGES else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
+        out[path] = 0.0 if bound else 1.0 if pages < PAGES else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
         most[path] = max([out[path], *(most[x] for x in below[path] if x in most)])
     return out, most
 
@@ -301,14 +302,19 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
 def _noise(low: float):
     def run(nodes: pd.DataFrame) -> pd.DataFrame:
         cols = ["path", "above", "bound", "pages", "total", "sums", "texts", "logs"]
-        _, most = importance(list(nodes[cols].itertuples(index=False, name=None)))
-        return pd.DataFrame({"host": nodes["host"].iloc[0], "noise": [[int(p) for p, x in most.items() if x < low]]})
+        out, most = importance(list(nodes[cols].itertuples(index=False, name=None)))
+        pages = dict(zip(nodes["path"], nodes["pages"]))
+        noise = [int(p) for p, x in most.items() if x < low]
+        boiler = [int(p) for p, x in most.items() if PRIOR + pages[p] * x < low * (PRIOR + pages[p])]
+        sure = [int(p) for p, x in out.items() if pages[p] * x >= HIGH * (PRIOR + pages[p])]
+        return pd.DataFrame({"host": nodes["host"].iloc[0], "noise": [noise], "boiler": [boiler], "sure": [sure]})
 
     return run
 
 
 def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
-    """host, noise: for each host the paths of style nodes of low importance, from its pages (url, html).
+    """host, noise, boiler, sure: for each host the paths of style nodes of low importance, of those of low importance
+    even in an article, with single texts that a host repeats there, and of high importance, from its pages (url, html).
 
     All pages are counted. A host's tree is put together in one task from its styles' sums, not from its pages; styles
     of fewer than PAGES pages are left out there.
@@ -322,46 +328,67 @@ def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
         return F.coalesce(F.sum(F.when(kind == of, what)), F.lit(0))
 
     nodes = counts.groupBy("host", "path", "above").agg(
-        F.max(F.when(kind == 0, F.col("feature"))).alias("bound"), total(0, n).alias("pages"), total(1, n).alias("total"), total(1, n * F.log(n)).alias("sums"), total(2, F.lit(1)).alias("texts"), total(2, F.log(n)).alias("logs")
+        F.when(total(0, F.when(F.col("feature") == 2, n)) * 2 > total(0, n), 2).otherwise(0).alias("bound"), total(0, n).alias("pages"), total(1, n).alias("total"), total(1, n * F.log(n)).alias("sums"), total(2, F.lit(1)).alias("texts"), total(2, F.log(n)).alias("logs")
     )
-    trees = nodes.where(F.col("pages") >= PAGES).groupBy("host").applyInPandas(_noise(low), "host string, noise array<long>")
-    return table(trees.where(F.size("noise") > 0), f"{home}/trees")
+    nodes = table(nodes.where(F.col("pages") >= PAGES), f"{home}/nodes")
+    trees = nodes.groupBy("host").applyInPandas(_noise(low), "host string, noise array<long>, boiler array<long>, sure array<long>")
+    # A text's entropy is judged like a branch's; most pages must have it, as near copies of an article share texts too.
+    often = counts.where((kind == 2) & (n >= 2 * PAGES)).select("host", "path", "feature", "n").join(nodes.where("bound = 0").select("host", "path", "pages"), ["host", "path"])
+    rare = often.where(PRIOR + F.col("pages") * (1 - F.log("n") / F.log("pages")) < low * (PRIOR + F.col("pages"))).where(2 * F.col("n") > F.col("pages"))
+    texts = rare.groupBy("host").agg(F.collect_list(F.col("path").bitwiseXOR(F.col("feature"))).alias("more"))
+    trees = trees.join(texts, "host", "left").withColumn("boiler", F.concat("boiler", F.coalesce("more", F.array().cast("array<long>")))).drop("more")
+    return table(trees, f"{home}/trees")
 
 
-def main_text(page: str, noise: frozenset[int] = frozenset()) -> str:
+def main_text(page: str, noise: frozenset[int] = frozenset(), boiler: frozenset[int] = frozenset(), sure: frozenset[int] = frozenset()) -> str:
     """A page's blocks that are text of its article, joined by an empty line."""
     root, blocks = parse(page)
-    article = page_has_article(root)
-    out, known = [], {}
-    for node, text in blocks:
+    known: dict[Node, tuple[bool, bool, bool, bool, bool]] = {}
+    for node, _, _ in blocks:
         if node not in known:
-            hard, main, low, up = False, False, False, node
+            hard, soft, low, stale, main, up = False, False, False, False, False, node
             while up is not None:
                 hard |= up.hard
-                # Inside an article neither names of a page's frame nor the host's other pages count; main may hold a sidebar.
-                if up.path in noise and not main:
-                    low = True
-                if up.soft and not main and not _in_article(up):
-                    low = True
+                low |= up.path in noise
+                # An article isn't unimportant by what is around it, nor itself: then the page is a copy.
+                stale |= not main and not up.main and up.path in boiler
+                soft |= bool(up.soft) and not main and not _in_article(up)
                 main |= up.main
                 up = up.parent
-            known[node] = not hard and not low and (main or not article)
-        if known[node]:
-            out.append(text)
-    return "\n\n".join(out)
+            known[node] = hard, soft, low, stale, main
+    inside = sum(len(text) for node, text, _ in blocks if known[node][4] and not known[node][0])
+    total = sum(len(text) for node, text, _ in blocks if not any(known[node][:2]) and (known[node][4] or not known[node][2]))
+    article = inside > 0 and 4 * inside >= total
+    out, stay = [], []
+    for node, text, linked in blocks:
+        hard, soft, low, stale, main = known[node]
+        if hard:
+            continue
+        good = node.path in sure and not linked
+        again = bool(boiler) and (node.path ^ (xxhash.xxh64_intdigest(text) >> 1)) in boiler
+        if article and main:
+            if not soft:
+                stay.append(text)
+                if not stale and not again:
+                    out.append((text, True))
+        elif not again and (good and not soft if article else not low and (not soft or good) and not (main and linked)):
+            out.append((text, False))
+    if article and not any(main for _, main in out):
+        return "\n\n".join(stay)
+    return "\n\n".join(text for text, _ in out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            known: dict[str, frozenset[int]] = {}
+            known: dict[str, list[frozenset[int]]] = {}
             texts = []
-            for url, page, noise in zip(*(part.column(c) for c in ("url", "html", "noise"))):
+            for url, page, *trees in zip(*(part.column(c) for c in ("url", "html", "noise", "boiler", "sure"))):
                 name = host(url.as_py())
                 if name not in known:
-                    known[name] = frozenset(noise.as_py() or ())
-                texts.append(main_text(page.as_py() or "", known[name]))
+                    known[name] = [frozenset(x.as_py() or ()) for x in trees]
+                texts.append(main_text(page.as_py() or "", *known[name]))
             cols = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.record_batch(cols, ["page_id", "url", "text", "n_chars"])
 
@@ -375,5 +402,5 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
     """
     name = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     trees = style_trees(pages, low)
-    rows = pages.select("page_id", "url", "html", name.alias("host")).join(trees, "host", "left").select("page_id", "url", "html", "noise")
+    rows = pages.select("page_id", "url", "html", name.alias("host")).join(trees, "host", "left").select("page_id", "url", "html", "noise", "boiler", "sure")
     return rows.transform(arrow, _extract, "page_id long, url string, text string, n_chars long")

@@ -326,6 +326,23 @@ def test_style_tree(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_and_articles(spark):
+    rng = random.Random(2)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    bodies = [(words(30), words(20), words(15), words(3)) for _ in range(40)]
+    page = "<body><div class=x1><a href=/>{3}</a></div><article><p>{0}<p>Read us daily<div class=x2>Follow us</div><p>{1}</article><div class=x3>{2}</div><div class=x4>Imprint</div>"
+    rows = [(i, f"http://x.example/{i}", page.format(*b)) for i, b in enumerate(bodies)]
+    text, card = words(200), "<article><a href=/x>teaser</a></article>"
+    rows += [(100, "http://y.example/", f"<body><div class=body>{text}</div>{card * 3}"), (101, "http://y.example/2", "<article>in</article><div>out</div>")]
+    rows += [(200 + i, f"http://copies.example/{i}", "<article><p>the same</article>") for i in range(40)]
+    by = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == "\n\n".join(b[:3]) for i, b in enumerate(bodies))
+    assert by[100] == text and by[101] == "in" and all(by[200 + i] == "the same" for i in range(40))
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 

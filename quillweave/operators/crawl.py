@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,11 +75,11 @@ def frontier_hosts(urls: DataFrame, shards: int = 100) -> DataFrame:
     return urls.groupBy(U.url_host("url").alias("host")).agg(F.count("*").alias("urls"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_mb: float = 1, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_mb: float = 1, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages reached, urls seen with the round in which they were) from seeds (url) over a table of pages (url, html).
 
     Each round takes the frontier's pages that pass the filters, and their links' targets not seen before are the next
-    frontier; it ends with an empty frontier or after the given rounds. Both results are tables.
+    frontier; it ends with an empty frontier, or after the given rounds if any are given. Both results are tables.
     """
     home = workspace(pages.sparkSession, "crawl")
     store = stored(size_filter(normalized(pages), max_mb), f"{home}/pages")
@@ -85,7 +87,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, m
         store = robots_filter(store, robots)
     frontier = stored(normalized(seeds).select("url").distinct().withColumn("round", F.lit(0)), f"{home}/seen-0")
     seen, reached = frontier, None
-    for i in range(rounds):
+    for i in count() if rounds is None else range(rounds):
         got = stored(store.join(frontier.select("url"), "url", "left_semi"), f"{home}/got-{i}")
         reached = got if reached is None else reached.unionByName(got)
         new = url_dedupe(links(got).select(F.col("dst").alias("url")), seen)

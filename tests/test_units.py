@@ -181,3 +181,9 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()] == [("spark", "http://h:80/a", 2)]
+
+
+def test_crawl_goes_on_until_the_frontier_is_empty(spark):
+    rows = [(f"http://h/{i}", f'<a href="/{i + 1}">x</a>{i}') for i in range(11)]
+    reached, seen = crawl.crawl(spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame([("http://h/0",)], "url string"))
+    assert reached.count() == 11 and seen.agg({"round": "max"}).first()[0] == 11

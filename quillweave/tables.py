@@ -3,24 +3,58 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a query go when it has ended; else they stay until a JVM happens to collect its frames.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
+    """A new folder below spark.checkpoint.dir.
+
+    Where that is unset it is set: on one machine, as in tests, to a temporary folder that goes when Python ends, on a
+    cluster to one in the warehouse, which its machines share.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillweave-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        if spark.sparkContext.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="quillweave-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillweave/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and reads it again."""
-    df.write.mode("overwrite").parquet(path)
+    """Writes df as Parquet and reads it again; what was shuffled for it is freed."""
+    with setting(df.sparkSession, CLEAN, "true"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no frame in use reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)

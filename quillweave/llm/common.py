@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import gc
 import os
-import shutil
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..tables import CLEAN, remove, setting, workspace  # noqa: F401
+from ..tables import stored as table
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: The white space of every contract here: space and the ASCII controls from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+#: Rows, as a power of two, of a part of a file whose counts are read at once.
+PART = 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package; on a cluster it is installed or sent by --py-files."""
+    """Lets Python workers on this machine import the package; on a cluster it is installed or sent by --py-files.
+
+    Rows hold whole texts, so that the session's Arrow batches are bounded by bytes too.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def arrow(df: DataFrame, function, schema) -> DataFrame:
@@ -35,50 +45,89 @@ def arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager:
     """Arrow batches of at most so many rows for what runs inside."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    before = int(spark.conf.get(name))
+    return setting(spark, name, str(min(rows, before) if before > 0 else rows))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's tables below spark.checkpoint.dir, which driver and executors share.
+    """A new folder for a query's tables, which driver and executors share.
 
-    Only where that is unset, as in tests, is a temporary folder taken and set, and removed when Python ends.
-    Tables stay as long as the session: the frames returned to the caller read them.
+    Tables that frames returned to the caller read stay as long as the folder.
     """
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillweave-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillweave/{name}-{uuid.uuid4().hex}"
+    return workspace(spark, name)
 
 
-def table(df: DataFrame, path: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks after them where columns are called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for x in names:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that no returned frame reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
+def placed(docs: DataFrame, home: str) -> tuple[DataFrame, str, str]:
+    """docs and two more columns, their names given: the file in which a row lies, and the row's number in it.
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are gone; else they stay until a JVM happens to collect them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A frame that isn't just a table read from files is written to one first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = table(docs, f"{home}/rows")
+    file, row = fresh(docs.columns, "file", "row")
+    where = docs.metadataColumn("_metadata")
+    return docs.select("*", where["file_path"].alias(file), where["row_index"].alias(row)), file, row
+
+
+def _emit(path: str, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, base = filesystem(path)
+        name, rows, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            part, at = batch.column(width).dictionary_encode(), batch.column(width + 1).to_numpy()
+            code, times = part.indices.to_numpy(), np.zeros(batch.num_rows, np.int64)
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if i == j:
+                    continue
+                if name != (of := part.dictionary[int(code[i])].as_py()):
+                    found = [x.path for x in files.get_file_info(fs.FileSelector(f"{base}/part={of}", allow_not_found=True)) if x.path.endswith(".parquet")]
+                    tables = [pq.read_table(files.open_input_file(x), columns=["row", "n"]) for x in found]
+                    rows, n = (np.concatenate([np.zeros(0, np.int64), *(t.column(c).to_numpy() for t in tables)]) for c in ("row", "n"))
+                    order, name = np.argsort(rows), of
+                    rows, n = rows[order], n[order]
+                if len(rows):
+                    k = np.minimum(np.searchsorted(rows, at[i:j]), len(rows) - 1)
+                    times[i:j] = np.where(rows[k] == at[i:j], n[k], 0)
+            yield batch.select(range(width)).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+
+    return run
+
+
+def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str) -> DataFrame:
+    """The columns of rows but file and row, each row as often as counts (file, row, n) says, 0 if not named there.
+
+    rows come from placed. What is written, and read by the tasks that scan a file, are the counts, in parts of a file
+    of at most 2**PART rows; the rows stay where they lie.
+    """
+    path = f"{home}/counts"
+    part = F.concat_ws("-", F.md5(F.col("file").cast("binary")), F.shiftright("row", PART))
+    counts = counts.select(part.alias("part"), F.col("row").cast("long").alias("row"), F.col("n").cast("long").alias("n"))
+    with setting(rows.sparkSession, CLEAN, "true"):
+        counts.repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+    names = [c for c in rows.columns if c not in (file, row)]
+    at, of = F.col(f"`{row}`"), F.md5(F.col(f"`{file}`").cast("binary"))
+    cells = rows.select(*[F.col(f"`{c}`") for c in names], F.concat_ws("-", of, F.shiftright(at, PART)).alias(file), at.alias(row))
+    return arrow(cells, _emit(path, len(names)), rows.drop(file, row).schema)
 
 
 def filesystem(uri: str):

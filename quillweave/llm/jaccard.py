@@ -6,20 +6,29 @@ at most that with the node's largest counts. Pairs that the bounds leave are ver
 
 One tree over the corpus would not do: random points in many dimensions are all near the same few planes, so that every
 query would go through most leaves and the work would grow with the square of the corpus. Sets are therefore first
-brought together by signatures that any qualifying pair is sure to share, and the sets of each signature get a tree of
-their points. Pairs that its bounds allow make groups of candidates; only for these are sets built again from the texts
-and links verified, in a second tree for each group.
-
-Signatures: sets of Jaccard similarity t and sizes a, b differ in at most d = (a + b)(1 - t) / (1 + t) shingles. Cut
-by hash into more than d groups, they agree in one group at least; the group's sum of hashes is a signature. Numbers of
-groups are powers of two by the larger set's size, and a set signs for every number that a partner's size may ask for.
-Groups in which both are empty say nothing: a set with so many empty groups that they could be all that agree, and
-sets so small that groups hold few shingles, sign with their smallest hashes instead (a prefix filter).
-
-Identical sets are one class, a node of the graph; a class is known by a 64-bit sum of its hashes, so that two of n
-different sets share it with a probability of n * n / 2**65. No link is expanded within a class, no list of pairs is
-made within a signature or a group: trees give forests of links. Where one holds too much for a task it is cut into
-tiles, and each pair of tiles whose sizes can match is a task's work.
+brought together in blocks by signatures that any qualifying pair is sure to share:
+
+* Sets of Jaccard similarity t and sizes a, b differ in at most d = (a + b)(1 - t) / (1 + t) shingles. Cut by hash into
+  more than d groups, they agree in one group at least; the group's sum of hashes is a signature. Numbers of groups are
+  powers of two by the larger set's size, and a set signs for every number that a partner's size may ask for. Groups in
+  which both are empty say nothing: a set with so many empty groups that they could be all that agree signs otherwise.
+* Where groups would hold few shingles, by the similarity or the set's size, sets sign with a prefix: the first
+  n - tn + 1 of their shingles in one order of all shingles. Shingles that many texts repeat come last in it, so that
+  texts which share passages don't share signatures. Any order is exact; repeats are counted on a map of fixed size.
+
+Blocks give links in two steps:
+
+1. In each block the set that shares most signatures is the centre of a star. Pairs of centre and other sets are told
+   once, however many blocks have them, bounded by their points and verified on their sets. What links is one component;
+   a large group of near copies costs its star, and its blocks are done with.
+2. Blocks of several components are left. A component is a node, a box below its members' largest counts; each block gets
+   an R-tree of its nodes, and the pairs that its bounds allow make groups of components. The sets of a group get an
+   R-tree of their points, and pairs of different components that it allows are verified.
+
+Identical sets are one class; a class is known by a 64-bit sum of its hashes, so that two of n different sets share it
+with a probability of n * n / 2**65. No link is expanded within a class, no list of pairs is made within a block or a
+group: trees give forests of links. Where one holds too much for a task it is cut into tiles, and each pair of tiles
+whose sizes can match is a task's work.
 """
 
 from __future__ import annotations
@@ -31,17 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, batches_of, mix, release, remove, scratch, shingles, slices, table, utf8, words
+from .common import arrow, batches_of, emit, mix, placed, remove, scratch, shingles, slices, table, utf8, words
 
 #: Sets of at most so many shingles sign with a prefix.
 SMALL = 32
+#: Shingles that groups must hold on average, or sets sign with a prefix.
+GROUP = 4
+#: Places of the map of repeated shingles, and shingles whose repeats are counted at a time.
+REPEATS, AT_ONCE = 1 << 20, 1 << 21
 #: Least and most dimensions of a point, powers of two.
 DIMENSIONS = (16, 8192)
 LEAF = 16
 #: Rows of a batch where rows hold sets or points, which may be long.
 ROWS = 500
-#: Shingles of all sets that a task holds for one group, where a set counts OWN more; points of one signature likewise.
-LIMIT = 4_000_000
+#: Shingles of all sets that a task holds for one group, where a set counts OWN more; bytes of points likewise.
+LIMIT = 2_000_000
 OWN = 200
 #: Bits of the map of candidates' ids that texts are filtered with before their sets are built again.
 PLACES = 1 << 22
@@ -59,7 +72,7 @@ def needed(total, num: int, den: int):
 
 def level(size: int, num: int, den: int) -> int:
     """0 for prefixes; else the power of two of groups for pairs whose larger set has size shingles."""
-    return 0 if size <= SMALL else max(1, differ(2 * size, num, den).bit_length())
+    return 0 if size <= SMALL or num + den < 4 * GROUP * (den - num) else max(1, differ(2 * size, num, den).bit_length())
 
 
 _EDGES: dict[int, np.ndarray] = {}
@@ -72,13 +85,17 @@ def edges(bits: int) -> np.ndarray:
     return _EDGES[bits]
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of a sorted set of hashes: sets similar enough have one in common at least."""
+def signatures(s: np.ndarray, num: int, den: int, repeats: np.ndarray | None = None) -> np.ndarray:
+    """Of a sorted set of hashes: sets similar enough have one in common at least.
+
+    repeats orders shingles, by the last bits of their hashes, before the hashes do.
+    """
     n = len(s)
     out = []
     most = n * den // num
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
-    prefix = s[: n - -(-n * num // den) + 1]
+    rare = s if repeats is None else s[np.argsort(repeats[(s & np.uint64(len(repeats) - 1)).astype(np.int64)], kind="stable")]
+    prefix = rare[: n - -(-n * num // den) + 1]
     for lv in range(level(n, num, den), level(most, num, den) + 1):
         salt = np.uint64((lv + 1) << 48)
         if lv:
@@ -106,7 +123,44 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + x, s
 
 
-def _sign(k: int, num: int, den: int):
+def _repeat(k: int):
+    """Counts of shingles that several of a task's different sets have, among AT_ONCE shingles, by their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, held, size = np.zeros(REPEATS, np.int64), set(), [], 0
+
+        def count() -> None:
+            hashes, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            more = n > 1
+            np.add.at(total, (hashes[more] & np.uint64(REPEATS - 1)).astype(np.int64), n[more])
+            held.clear()
+
+        for batch in batches:
+            for _, s in _sets(batch, k):
+                f = fingerprint(s)
+                if f not in seen:
+                    seen.add(f)
+                    held.append(s)
+                    size += len(s)
+                if size >= AT_ONCE:
+                    count()
+                    size = 0
+        count()
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+    return run
+
+
+def repeated(docs: DataFrame, k: int) -> np.ndarray:
+    """How often texts repeat the shingles of each place, on a scale of 8 steps for a power of two."""
+    got = docs.select("doc_id", "text").transform(arrow, _repeat(k), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most REPEATS rows
+    out = np.zeros(REPEATS, np.uint8)
+    out[got.column("place").to_numpy()] = np.minimum(255, 8 * np.log2(1 + got.column("n").to_numpy().astype(float)))
+    return out
+
+
+def _sign(k: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: copies sign once in it
         for batch in batches:
@@ -117,13 +171,14 @@ def _sign(k: int, num: int, den: int):
                 prints.append(f)
                 if len(s) and f not in seen:
                     seen.add(f)
-                    signs.append(signatures(s, num, den).view(np.int64))
+                    signs.append(signatures(s, num, den, shared.value).view(np.int64))
                     at.append(at[-1] + len(signs[-1]))
                 else:
                     at.append(at[-1])
             flat = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64))
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)]
-            yield pa.record_batch(cols, ["doc_id", "n_shingles", "class", "signs"])
+            names = [x for x in batch.schema.names if x != "text"]
+            cols = [batch.column(x) for x in names]
+            yield pa.record_batch([*cols, pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], [*names, "n_shingles", "class", "signs"])
 
     return run
 
@@ -163,6 +218,7 @@ def components(links: DataFrame, home: str) -> DataFrame:
 
     Large and small stars in turn (Kiveris and others, 2014), each round a written table, until nothing changes.
     """
+    spark = links.sparkSession
     now = table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{home}/links-0")
     mark, number = None, 0
     while True:
@@ -175,6 +231,8 @@ def components(links: DataFrame, home: str) -> DataFrame:
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         number += 1
         now = table(small, f"{home}/links-{number}")
+        remove(spark, f"{home}/links-{number - 1}")
+        remove(spark, f"{home}/large-{number - 1}")
         old, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24)), F.bit_xor(F.xxhash64("b", "a"))).first())
         if mark == old:
             break
@@ -182,13 +240,16 @@ def components(links: DataFrame, home: str) -> DataFrame:
 
 
 class RTree:
-    """Points of group counts below nodes of at most LEAF points or two nodes, with the largest counts of all below."""
+    """Boxes of group counts and of ranges of sizes below nodes of at most LEAF boxes or two nodes.
+
+    A box is known by its largest counts: those of a set, or the largest of several sets'.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.points, self.low, self.high = points, low, high
         # Halves by the dimension of the widest spread, sizes among them, down to leaves: each leaf is a range of order.
         order, todo, leaves = np.arange(len(points)), [(0, len(points))], []
-        both = np.column_stack([sizes, points])
+        both = np.column_stack([high, points])
         while todo:
             a, b = todo.pop()
             if b - a <= LEAF:
@@ -201,35 +262,38 @@ class RTree:
         leaves.sort()
         self.order = order
         self.bounds = np.array([*(a for a, _ in leaves), len(points)])
-        top = np.maximum.reduceat(points[order], self.bounds[:-1]), np.minimum.reduceat(sizes[order], self.bounds[:-1]), np.maximum.reduceat(sizes[order], self.bounds[:-1])
-        self.levels = [top]
+        self.levels = [(np.maximum.reduceat(points[order], self.bounds[:-1]), np.minimum.reduceat(low[order], self.bounds[:-1]), np.maximum.reduceat(high[order], self.bounds[:-1]))]
         while len(self.levels[-1][0]) > 1:
-            high, low, up = self.levels[-1]
-            pairs = np.arange(0, len(high), 2)
-            self.levels.append((np.maximum.reduceat(high, pairs), np.minimum.reduceat(low, pairs), np.maximum.reduceat(up, pairs)))
+            most, least, up = self.levels[-1]
+            pairs = np.arange(0, len(most), 2)
+            self.levels.append((np.maximum.reduceat(most, pairs), np.minimum.reduceat(least, pairs), np.maximum.reduceat(up, pairs)))
 
-    def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Points whose overlap bound allows the similarity, those of the largest bounds first."""
-        least, most = -(-size * num // den), size * den // num
+    def near(self, point: np.ndarray, low: int, high: int, num: int, den: int) -> np.ndarray:
+        """Boxes whose sizes and overlap bound allow the similarity with one of this box, largest bounds first."""
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, low, up = self.levels[depth]
+            most, least, up = self.levels[depth]
             if depth < len(self.levels) - 1:
                 nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
-                nodes = nodes[nodes < len(high)]
-            fits = (up[nodes] >= least) & (low[nodes] <= most)
-            nodes = nodes[fits]
-            bound = np.minimum(high[nodes], point).sum(1)
-            nodes = nodes[bound >= needed(size + np.maximum(low[nodes], least), num, den)]
+                nodes = nodes[nodes < len(most)]
+            nodes = nodes[allowed(most[nodes], least[nodes], up[nodes], point, low, high, num, den)[0]]
             if not len(nodes):
                 return nodes
         places = np.concatenate([self.order[self.bounds[x] : self.bounds[x + 1]] for x in nodes])
-        bound = np.minimum(self.points[places], point).sum(1)
-        fits = (bound >= needed(size + self.sizes[places], num, den)) & (self.sizes[places] >= least) & (self.sizes[places] <= most)
+        fits, bound = allowed(self.points[places], self.low[places], self.high[places], point, low, high, num, den)
         places, bound = places[fits], bound[fits]
         return places[np.argsort(-bound, kind="stable")]
 
 
+def allowed(points, lows, highs, point, low, high, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the boxes may hold a set similar to one of the box of point, bound of the overlap)."""
+    fits = (highs * den >= low * num) & (lows * num <= high * den)
+    bound = np.minimum(points, point).sum(1, dtype=np.int64)
+    # The least sizes that can match: neither is below the other's times the similarity.
+    least = np.maximum(low, -(-lows * num // den)) + np.maximum(lows, -(-low * num // den))
+    return fits & (bound >= needed(least, num, den)), bound
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -241,7 +305,11 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def point(s: np.ndarray) -> np.ndarray:
     """A set's counts in groups of four to eight shingles: with fewer groups counts of large sets are all alike."""
     bits = min(max(len(s) // 4, DIMENSIONS[0]), DIMENSIONS[1]).bit_length() - 1
-    counts = np.diff(np.concatenate([[0], np.searchsorted(s, edges(bits)), [len(s)]]))
+    return narrow(np.diff(np.concatenate([[0], np.searchsorted(s, edges(bits)), [len(s)]])))
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in as few bytes as hold the largest."""
     return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max))
 
 
@@ -277,23 +345,27 @@ class Bounds:
         return out
 
 
-def forest(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def forest(points: list[np.ndarray], low: np.ndarray, high: np.ndarray, side: np.ndarray, known: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links connect: pairs that the bounds allow, and that the sets confirm, where given.
 
-    Of two sides, where there are two, links across alone. The tree has all points at the resolution of the coarsest;
-    what it finds is bounded again at the resolution of each pair.
+    Rows of one number in known are connected already. Of two sides, where there are two, links across alone. The tree
+    has all points at the resolution of the coarsest; what it finds is bounded again at the resolution of each pair.
     """
     bounds = Bounds(points)
     base = bounds.at[bounds.kinds[0]]
-    group, tree, across, out = np.arange(len(points)), RTree(base, sizes), len(np.unique(side)) > 1, []
-    for i in range(len(points)):
-        if across and side[i]:
-            continue
-        near = tree.near(base[i], int(sizes[i]), num, den)
-        near = near[side[near] != side[i]] if across else near[near > i]
+    group, across, out = np.unique(known, return_inverse=True)[1], len(np.unique(side)) > 1, []
+    tree, least = RTree(base, low, high), None
+    # A pair is found from one of its ends: the largest of the groups needn't ask.
+    asks = side == 0 if across else group != np.argmax(np.bincount(group)) if len(group) > group.max() + 1 else np.ones(len(group), bool)
+    asked = np.zeros(len(group), bool)
+    for i in np.flatnonzero(asks):
+        near = tree.near(base[i], int(low[i]), int(high[i]), num, den)
+        near = near[side[near] != side[i]] if across else near[~asked[near]]
+        asked[i] = True
         near = near[group[near] != group[i]]
         if len(bounds.kinds) > 1 and len(near):
-            near = near[bounds.of(i, near) >= needed(sizes[i] + sizes[near], num, den)]
+            least = np.maximum(low[i], -(-low[near] * num // den)) + np.maximum(low[near], -(-low[i] * num // den))
+            near = near[bounds.of(i, near) >= needed(least, num, den)]
         if sets is None:
             for j in near[np.unique(group[near], return_index=True)[1]].tolist():
                 out.append((i, j))
@@ -308,32 +380,89 @@ def forest(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, num: i
     return out
 
 
+def _found(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
 def _link(num: int, den: int, verified: bool):
+    """Forests of rows (task, class, side, known, low, high, data) in order of task, side and class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                names, side = [x[0] for x in rows], np.array([x[1] for x in rows])
-                sets = [np.frombuffer(x[2], np.uint64) for x in rows] if verified else None
-                points = [point(s) for s in sets] if verified else [unpacked(x[2]) for x in rows]
-                sizes = np.array([int(p.sum(dtype=np.int64)) for p in points])
-                found = forest(points, sizes, side, num, den, sets)
-                if found:
-                    yield pa.record_batch([pa.array([names[i] for i, _ in found]), pa.array([names[j] for _, j in found])], ["a", "b"])
+            if len({x[2] for x in rows}) > 1:  # not all connected already
+                side, known, low, high = (np.array([x[i] for x in rows]) for i in (1, 2, 3, 4))
+                sets = [np.frombuffer(x[5], np.uint64) for x in rows] if verified else None
+                points = [point(s) for s in sets] if verified else [unpacked(x[5]) for x in rows]
+                yield _found([(rows[i][0], rows[j][0]) for i, j in forest(points, low, high, side, known, num, den, sets)])
 
         for batch in batches:
-            for k, c, side, s in zip(*(batch.column(x).to_pylist() for x in ("task", "class", "side", "data"))):
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("task", "class", "side", "known", "low", "high", "data"))):
                 if k != key:
                     yield from done()
                     key, rows = k, []
-                if not rows or rows[-1][0] != c:  # rows that repeat a doc_id and its text
-                    rows.append((c, side, s))
+                if not rows or rows[-1][:2] != tuple(row[:2]):  # rows that repeat a doc_id and its text
+                    rows.append(tuple(row))
         yield from done()
 
     return run
 
 
+def _bounded(num: int, den: int):
+    """Of pairs and their points, those whose bound allows the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for total, a, b in zip(*(batch.column(x).to_pylist() for x in ("total", "data_a", "data_b"))):
+                a, b = unpacked(a), unpacked(b)
+                d = min(len(a), len(b))
+                keep.append(int(np.minimum(coarse(a, d), coarse(b, d)).sum()) >= needed(total, num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compare(num: int, den: int):
+    """Of rows (task, class, side, data) in order of task and side: the sets that match their task's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None
+        for batch in batches:
+            found = []
+            for k, c, side, s in zip(*(batch.column(x).to_pylist() for x in ("task", "class", "side", "data"))):
+                if not side:
+                    if k != key:
+                        key, first = k, (c, np.frombuffer(s, np.uint64))
+                elif k == key and similar(first[1], np.frombuffer(s, np.uint64), num, den):
+                    found.append((first[0], c))
+            yield _found(found)
+
+    return run
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One box around each root's rows (root, low, high, data) where they follow each other."""
+    names = ["root", "low", "high", "data"]
+    now = None
+    for batch in batches:
+        out = []
+        for root, low, high, data in zip(*(batch.column(x).to_pylist() for x in names)):
+            if now is None or now[0] != root:
+                if now is not None:
+                    out.append((*now[:3], packed(narrow(now[3]))))
+                now = [root, low, high, unpacked(data)]
+                continue
+            p = unpacked(data)
+            d = min(len(p), len(now[3]))
+            now[1:] = min(now[1], low), max(now[2], high), np.maximum(coarse(p, d), coarse(now[3], d))
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
+    if now is not None:
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((*now[:3], packed(narrow(now[3]))), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
+
+
 def _fetch(k: int, shared, points: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -366,16 +495,19 @@ def fetch(docs: DataFrame, wanted: DataFrame, k: int, points: bool) -> DataFrame
 
 
 def _tasks(members: DataFrame, carry: list[str], num: int, den: int, limit: int) -> DataFrame:
-    """task, class, side and carry of members (root, class, size, weight, carry).
+    """task, class, side and carry of members (root, class, low, high, weight, carry).
 
     Each root whose weights fit a task is one; others are pairs of tiles. A tile is a part, by class, of a root's sets
-    of one range of sizes; only neighbouring ranges can match.
+    of one range of sizes; only neighbouring ranges can match. A box of several ranges is in a tile of each.
     """
-    band = F.floor(F.log(F.col("size")) / float(np.log(den / num))).cast("int")
+
+    def band(size: str):
+        return F.floor(F.log(F.col(size)) / float(np.log(den / num))).cast("int")
+
     root = members.groupBy("root").agg(F.sum("weight").alias("total"))
-    rows = members.join(root, "root").withColumn("band", band)
+    rows = members.join(root, "root")
     whole = rows.where(F.col("total") <= limit).select(F.concat_ws(":", "root").alias("task"), "class", F.lit(0).alias("side"), *carry)
-    large = rows.where(F.col("total") > limit)
+    large = rows.where(F.col("total") > limit).withColumn("band", F.explode(F.sequence(band("low"), band("high"))))
     bands = large.groupBy("root", "band").agg(F.ceil(F.sum("weight") * 2 / limit).cast("int").alias("tiles"))
     up = bands.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
     down = bands.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
@@ -396,62 +528,125 @@ def _tasks(members: DataFrame, carry: list[str], num: int, den: int, limit: int)
     return whole.unionByName(large)
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
+def _told(blocks: DataFrame, member: str) -> DataFrame:
+    """Blocks (sign, member) of several members; of those with the same members one."""
+    told = blocks.groupBy("sign").agg(F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y"), F.count("*").alias("n")).where("n > 1")
+    return blocks.join(told.groupBy("x", "y", "n").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi")
 
-    Rows link whose sets have a Jaccard similarity of at least num / den; component_id is the smallest doc_id that links
-    reach from the row. A set: distinct k-word shingles, words lower-cased in A-Z; with fewer words the whole sequence
-    as one; without words, null among them, none, linked with nothing. Repeated rows link as copies do; a row without
-    doc_id links, but its null is never the smallest while others have one. An empty table gives an empty result. Other
-    columns are ignored.
-    """
+
+def _blocks(docs: DataFrame, k: int, num: int, den: int, home: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: docs without text but with n_shingles and class; classes (class, doc_id, size); blocks (sign, class)."""
     spark = docs.sparkSession
-    home = scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
-    signed = table(docs.transform(arrow, _sign(k, num, den), "doc_id long, n_shingles long, class long, signs array<long>"), f"{home}/signed")
+    shared = spark.sparkContext.broadcast(repeated(docs, k))
+    kept = [x for x in docs.schema if x.name != "text"]
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in kept) + ", n_shingles long, class long, signs array<long>"
+    signed = table(docs.transform(arrow, _sign(k, num, den, shared), schema), f"{home}/signed")
     rows = signed.where("n_shingles > 0").select(F.explode("signs").alias("sign"), "class").repartition("sign").sortWithinPartitions("sign", "class")
-    shared = table(rows.transform(arrow, _shared, "sign long, class long"), f"{home}/shared")
-    slim = table(signed.select("doc_id", "n_shingles", "class"), f"{home}/slim")
-    del signed, rows
-    remove(spark, f"{home}/signed")  # signatures, and what was shuffled by them, are no longer needed
-    release(spark)
+    met = table(rows.transform(arrow, _shared, "sign long, class long"), f"{home}/shared")
+    slim = table(signed.drop("signs"), f"{home}/slim")
+    remove(spark, f"{home}/signed")
     classes = table(slim.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), f"{home}/classes")
-    # Of signatures that have the same classes one is enough.
-    told = shared.groupBy("sign").agg(F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"), F.count("*").alias("n"))
-    blocks = shared.join(told.groupBy("x", "y", "n").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi")
-    met = table(shared.select("class").distinct().join(classes, "class"), f"{home}/met")
-    points = table(fetch(docs, met, k, True).dropDuplicates(["class"]), f"{home}/points")
-    members = blocks.join(points, "class").select(F.col("sign").alias("root"), "class", "size", (F.lit(OWN) + F.octet_length("data")).alias("weight"), "data")
-    tasks = _tasks(members, ["data"], num, den, limit).repartition("task").sortWithinPartitions("task", "class")
+    blocks = table(_told(met, "class"), f"{home}/blocks")
+    remove(spark, f"{home}/shared")
+    return slim, classes, blocks
+
+
+def _stars(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
+    """Links (a, b) of the blocks' centres with other sets of their blocks."""
+    known = blocks.join(met.select("class", "size", "n"), "class")
+    centre = known.groupBy("sign").agg(F.max(F.struct("n", "class", "size")).alias("c")).select("sign", F.col("c.class").alias("a"), F.col("c.size").alias("size_a"))
+    pairs = known.join(centre, "sign").where((F.col("class") != F.col("a")) & (F.least("size", "size_a") * den >= F.greatest("size", "size_a") * num))
+    pairs = pairs.select("a", F.col("class").alias("b")).distinct()
+    ends = [points.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("data").alias(f"data_{x}")) for x in "ab"]
+    both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total"), "data_a", "data_b")
+    with batches_of(docs.sparkSession, ROWS):
+        pairs = table(both.transform(arrow, _bounded(num, den), "a long, b long"), f"{home}/pairs")
+    # A star of more than a task holds is dealt to several tasks, each with its centre.
+    others = pairs.join(met.select(F.col("class").alias("b"), "doc_id", "size"), "b")
+    parts = others.groupBy("a").agg(F.ceil(F.sum(F.col("size") + OWN) / limit).cast("int").alias("parts"))
+    others = others.join(parts, "a").select(F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), "parts")).alias("task"), "a", F.col("b").alias("class"), F.lit(1).alias("side"), "doc_id")
+    others = table(others, f"{home}/others")
+    centres = others.select("task", "a").distinct().join(met.select(F.col("class").alias("a"), "doc_id"), "a").select("task", F.col("a").alias("class"), F.lit(0).alias("side"), "doc_id")
+    wanted = table(others.drop("a").unionByName(centres), f"{home}/rays")
+    sets = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "side")
+    with batches_of(docs.sparkSession, ROWS):
+        return table(sets.transform(arrow, _compare(num, den), "a long, b long").distinct(), f"{home}/stars")
+
+
+def _rest(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, roots: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
+    """Links (a, b) that connect, with the components in roots (node, root), what all links in blocks connect."""
+    spark = docs.sparkSession
+    of = roots.withColumnRenamed("node", "class")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(of, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+    left = table(_told(rooted(blocks).select("sign", "root").distinct(), "root"), f"{home}/left")
+    inner = rooted(points).join(left.select("root").distinct(), "root", "left_semi")
+    inner = inner.select("root", F.col("size").alias("low"), F.col("size").alias("high"), "data", F.pmod(F.xxhash64("class"), F.lit(16)).alias("part"))
+    schema = "root long, low long, high long, data binary"
+    with batches_of(spark, ROWS):
+        half = inner.repartition("root", "part").sortWithinPartitions("root").drop("part").transform(arrow, _boxes, schema)
+        boxes = table(half.repartition("root").sortWithinPartitions("root").transform(arrow, _boxes, schema), f"{home}/boxes")
+    members = left.join(boxes, "root").select(F.col("sign").alias("root"), F.col("root").alias("class"), F.col("root").alias("known"), "low", "high", (F.lit(OWN) + F.octet_length("data")).alias("weight"), "data")
+    tasks = _tasks(members, ["known", "low", "high", "data"], num, den, limit).repartition("task").sortWithinPartitions("task", "side", "class")
     with batches_of(spark, ROWS):
         near = table(tasks.transform(arrow, _link(num, den, False), "a long, b long").distinct(), f"{home}/allowed")
-    groups = table(components(near, f"{home}/near"), f"{home}/groups")
-    release(spark)
-    wanted = groups.join(classes, groups["node"] == classes["class"]).select("root", "class", "doc_id", "size", (F.col("size") + OWN).alias("weight"))
-    wanted = table(_tasks(table(wanted, f"{home}/wanted"), ["doc_id"], num, den, limit), f"{home}/tasks")
-    verify = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "class")
+    groups = components(near, f"{home}/near")
+    groups = table(groups.select(F.col("node").alias("known"), F.col("root").alias("group")), f"{home}/groups")
+    wanted = rooted(met).withColumnRenamed("root", "known").join(groups, "known")
+    wanted = wanted.select(F.col("group").alias("root"), "class", "doc_id", "known", F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") + OWN).alias("weight"))
+    wanted = table(_tasks(table(wanted, f"{home}/wanted"), ["doc_id", "known", "low", "high"], num, den, limit), f"{home}/tasks")
+    verify = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "side", "class")
     with batches_of(spark, ROWS):
-        links = table(verify.transform(arrow, _link(num, den, True), "a long, b long"), f"{home}/links")
+        return table(verify.transform(arrow, _link(num, den, True), "a long, b long"), f"{home}/links")
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
+    """docs (doc_id, text, more) without text, with n_shingles, component, component_id.
+
+    component is one number for all rows that links connect, null for empty sets.
+    """
+    slim, classes, blocks = _blocks(docs, k, num, den, home)
+    met = table(blocks.groupBy("class").agg(F.count("*").alias("n")).join(classes, "class"), f"{home}/met")
+    points = table(fetch(docs, met, k, True).dropDuplicates(["class"]).select("class", "size", "data"), f"{home}/points")
+    stars = _stars(docs, blocks, met, points, k, num, den, limit, home)
+    roots = table(components(stars, f"{home}/star-links"), f"{home}/star-roots")
+    links = _rest(docs, blocks, met, points, roots, k, num, den, limit, home)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
     linked = table(components(links, f"{home}/linked"), f"{home}/roots")
     known = linked.join(classes, linked["node"] == classes["class"]).select("class", "root", "doc_id")
     lowest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    reached = known.join(lowest, "root").select("class", "component_id")
-    named = classes.join(reached, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    reached = known.join(lowest, "root").select("class", F.col("root").alias("component"), "component_id")
+    named = classes.join(reached, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     named = table(named, f"{home}/named")
-    plain = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return slim.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").unionByName(plain)
+    full = slim.where("n_shingles > 0").join(named, "class").drop("class")
+    plain = slim.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")).drop("class")
+    return full.unionByName(plain)
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, with all columns, without those that link to one of a smaller doc_id.
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id stay, but where they link to one that has one.
+    Rows link whose sets have a Jaccard similarity of at least num / den; component_id is the smallest doc_id that links
+    reach from the row. A set: distinct k-word shingles, words lower-cased in A-Z; with fewer words the whole sequence
+    as one; without words, null among them, none, linked with nothing. A very long text is one set like others, hashed in
+    one piece. Repeated rows link as copies do; a row without doc_id links, but its null is never the smallest while
+    others have one. An empty table gives an empty result. Other columns, of whatever name, are ignored.
+    """
+    found = _classes(docs.select("doc_id", "text"), k, num, den, limit, scratch(docs.sparkSession, "jaccard"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
+    """The rows of docs, with all columns, one of each group of rows that links connect, and all without words.
+
+    The row of the smallest doc_id stays, nulls last; of rows that share it the first where they lie. Other columns, of
+    whatever name, are kept as they are; an empty table gives an empty result.
     """
     home = scratch(docs.sparkSession, "keep-one")
-    found = table(join(docs, k, num, den), f"{home}/found")
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if twice.isEmpty():
-        return out
-    twice = table(twice, f"{home}/twice")
-    return out.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    rows, file, row = placed(docs, home)
+    found = _classes(rows.select("doc_id", "text", F.col(f"`{file}`").alias("file"), F.col(f"`{row}`").alias("row")), k, num, den, limit, home)
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("x"))
+    stay = first.select("x.file", "x.row").unionByName(found.where("component is null").select("file", "row"))
+    return emit(rows, file, row, stay.withColumn("n", F.lit(1)), home)

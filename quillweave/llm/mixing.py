@@ -3,8 +3,7 @@
 Every document of a source has the same expected number of copies, its source's target over the source's size.
 Documents are laid on a line in order of size, one random offset is added, and a document is emitted once for each
 whole number that its stretch of the line crosses: each gets floor or ceil of the expectation, and neighbours in size
-balance each other, so that the words taken stay within about one document of the target. Of a few offsets drawn for
-a source, that whose words come nearest to the target is used, which matters where one document is much of a source.
+balance each other, so that the words taken stay within about one document of the target.
 
 Ranks come from a range partitioning by (source, size, doc_id) and a sum over the partitions before, never from a
 window over a source: a source with a third of all rows is spread like any other.
@@ -21,13 +20,9 @@ from pyspark.sql.window import Window
 from .common import WORD, scratch, table
 
 
-#: Offsets drawn for each source.
-DRAWS = 16
-
-
-def offset(seed: str, draw: int, source: str | None) -> float:
-    """A random offset of the source, in [0, 1): 32 bits of the MD5 of seed, draw and name."""
-    return int(hashlib.md5(f"{seed}{draw}{':' if source is None else '/' + source}".encode()).hexdigest()[:8], 16) / 4294967296.0
+def offset(seed: str, source: str | None) -> float:
+    """The random offset of the source, in [0, 1): 32 bits of the MD5 of seed and name."""
+    return int(hashlib.md5(f"{seed}{':' if source is None else '/' + source}".encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> list[tuple[str | None, float]]:
@@ -49,17 +44,18 @@ def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float
     return [(name, out[name] if name in out else (total - capped) / weight * w) for name, _, w in rows]
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
 
-    A null or empty text has size 0 and takes its place on the line like others; null is a source of its own, last in
-    order; an empty table gives an empty result. Repeated rows are separate documents, those of equal doc_id and size
-    interchangeable. Other columns of docs are ignored. The driver gets one row per source.
+    A null or empty text has size 0 and takes its place on the line like others, a very long one is counted whole; null
+    is a source of its own, last in order; an empty table gives an empty result. Repeated rows are separate documents,
+    those of equal doc_id and size interchangeable. Columns of docs in keep are returned too, others of whatever name
+    are ignored. The driver gets one row per source.
     """
     spark = docs.sparkSession
     home = scratch(spark, "mix")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = table(sized, f"{home}/sized")
     by = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()]
     line = sized.repartitionByRange(*by).sortWithinPartitions(*by).select("*", key.alias("key"), F.monotonically_increasing_id().alias("at"))
@@ -68,20 +64,13 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int
     parts = table(parts, f"{home}/parts")
     sums = [(x.key, x.source, x.words) for x in parts.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("words")).collect()]
     target = {("n" if name is None else "s" + name): t for name, t in targets([x[1:] for x in sums], weights, share, cap)}
-    plan = spark.createDataFrame([(k, size, target[k], target[k] / size if size else 0.0, [offset(seed, d, name) for d in range(DRAWS)]) for k, name, size in sums], "key string, source_size long, target double, rate double, us array<double>")
+    plan = spark.createDataFrame([(k, size, target[k], target[k] / size if size else 0.0, offset(seed, name)) for k, name, size in sums], "key string, source_size long, target double, rate double, u double")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = parts.select("key", "part", (before - F.col("lo")).alias("shift"))
-    line = table(line.join(start, ["key", "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("at", "part", "shift"), f"{home}/ranked")
-
-    def copies(u):
-        return (F.floor(u + F.col("rate") * (F.col("rank") + 1)) - F.floor(u + F.col("rate") * F.col("rank"))).cast("long")
-
-    taken = line.join(plan, "key").groupBy("key").agg(F.max("target").alias("target"), F.array(*[F.sum(copies(F.col("us")[d]) * F.col("size")) for d in range(DRAWS)]).alias("taken"))
-    away = F.transform("taken", lambda t: F.abs(t - F.col("target")))
-    best = table(taken.select("key", (F.array_position(away, F.array_min(away)) - 1).cast("int").alias("draw")), f"{home}/draws")
-    plan = plan.join(best, "key").select("key", "source_size", "target", "rate", F.col("us")[F.col("draw")].alias("u"))
-    out = line.join(plan, "key").withColumn("copies", copies(F.col("u")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = line.join(start, ["key", "part"]).withColumn("rank", F.col("at") + F.col("shift")).join(plan, "key")
+    copies = F.floor(F.col("u") + F.col("rate") * (F.col("rank") + 1)) - F.floor(F.col("u") + F.col("rate") * F.col("rank"))
+    out = out.withColumn("copies", copies.cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 SQL = r"""
@@ -109,14 +98,8 @@ WITH sized AS (
          row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) - 1 AS r
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 ), drawn AS (
-  SELECT source, draw, ('0x' || substr(md5('mix' || draw || CASE WHEN source IS NULL THEN ':' ELSE '/' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM plan, range(16) d(draw)
-), tried AS (
-  SELECT d.source, draw, any_value(u) AS u, abs(sum((floor(u + rate * (r + 1)) - floor(u + rate * r))::BIGINT * size) - any_value(target)) AS away
-  FROM ranked k JOIN drawn d ON k.source IS NOT DISTINCT FROM d.source GROUP BY d.source, draw
-), best AS (
-  SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, draw) = 1
+  SELECT source, ('0x' || substr(md5('mix' || CASE WHEN source IS NULL THEN ':' ELSE '/' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM plan
 )
 SELECT doc_id, size, source_size, target, (floor(u + rate * (r + 1)) - floor(u + rate * r))::BIGINT * size AS taken
-FROM ranked k JOIN best b ON k.source IS NOT DISTINCT FROM b.source
+FROM ranked k JOIN drawn d ON k.source IS NOT DISTINCT FROM d.source
 """

@@ -30,11 +30,16 @@ SEQUENCE = 2048
 UNIT = 8
 #: Documents in a pattern.
 DEPTH = 3
-#: Words that a worker remembers; beyond it forgets all and starts anew.
-MEMO = 1_000_000
+#: Bytes of words and ids that a worker remembers, about; beyond it forgets all and starts anew.
+MEMO = 48 << 20
 _STEM = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
 
 
+def weight(word: bytes) -> int:
+    """Bytes of memory that a word and its ids take, about: two objects, an entry of a dictionary, an id for four letters."""
+    return 200 + 2 * len(word)
+
+
 class WordIds:
     """The ids of texts, little-endian unsigned 32-bit, as a tokenizers file gives them, looked up word by word.
 
@@ -48,13 +53,14 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
         # Matched as they are written, before letters are put in lower case.
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s"]
         self.by_word = True
         self.stems = True
         said, got = self.whole(probes), self.ids([x.encode() for x in probes])
-        self.by_word, self.memo = said == got, {}
+        self.by_word, self.memo, self.held = said == got, {}, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -75,9 +81,12 @@ class WordIds:
             m = _STEM.fullmatch(low)
             split[w] = (m[1], m[2]) if m else (low,)
         new = list({x for parts in split.values() for x in parts if x not in self.memo})
-        if len(self.memo) + len(new) + len(words) > MEMO:
+        size = sum(map(weight, split)) + sum(map(weight, new))
+        if self.held + size > MEMO:
             self.memo.clear()
+            self.held = 0
             new = list({x for parts in split.values() for x in parts})
+        self.held += size
         self.memo.update(zip(new, self.whole([x.decode() for x in new])))
         for w, parts in split.items():
             self.memo[w] = b"".join([self.memo[x] for x in parts])

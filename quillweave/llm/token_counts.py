@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow, scratch, slices, table, utf8
 
-#: Parts that a worker remembers; beyond it forgets all and starts anew.
-MEMO = 1_500_000
+#: Bytes of parts that a worker remembers, about; beyond it forgets all and starts anew.
+MEMO = 64 << 20
 _PART = re.compile(rb" +[^ \n]*|\n[^ \n]*")
 
 
@@ -35,6 +35,7 @@ class Counter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.memo: dict[bytes, int] = {}
+        self.held = 0
         self.by_part = not any("▁" in p.lstrip("▁") or "\n" in p or " " in p for p in pieces)
         probes = ["", " ", "\n", "a b", "a  b", "\na\nb", " a\n b ", "A b\té \r\n▁x", "é ﬁ １ Ω"]
         self.by_part = self.by_part and self.count([x.encode() for x in probes]) == self.whole(probes)
@@ -55,8 +56,11 @@ class Counter:
     def learn(self, parts: list[bytes]) -> None:
         """The library puts a space before what it encodes, which makes a piece of its own before a line end."""
         n = self.whole([(x[1:] if x[:1] == b" " else x).decode() for x in parts])
-        if len(self.memo) + len(parts) > MEMO:
+        size = sum(map(len, parts)) + 130 * len(parts)  # an object and an entry of a dictionary each
+        if self.held + size > MEMO:
             self.memo.clear()
+            self.held = 0
+        self.held += size
         self.memo.update((x, k - (x[:1] == b"\n") + (x == b" ")) for x, k in zip(parts, n))
 
     def count(self, texts: list[bytes]) -> list[int]:

@@ -268,6 +268,28 @@ def test_jaccard(spark, docs, k, num, limit):
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Copies of which most are similar to the original alone, copies without an original, and texts that share passages."""
+    rng = random.Random(11)
+    rows, word = [], lambda: rng.choice("abcdefgh") + str(rng.randint(0, 999))
+    passage = [word() for _ in range(60)]
+    base, lost = ([word() for _ in range(120)] for _ in range(2))
+    rows.append(base)
+    for text, n, changes in ((base, 1500, 2), (lost, 300, 3)):
+        for _ in range(n):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = word()
+            rows.append(copy)
+    rows += [[*(word() for _ in range(rng.randint(0, 40))), *passage, *(word() for _ in range(rng.randint(0, 40)))] for _ in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_components(rows, 5, 80, 100)
+    for limit in (jaccard.LIMIT, 20_000):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, 5, 80, 100, limit).collect()} == want
+
+
 def test_jaccard_cases(spark, odd_docs):
     got = jaccard.join(odd_docs, 3, 90).collect()
     assert len(got) == odd_docs.count()
@@ -276,6 +298,12 @@ def test_jaccard_cases(spark, odd_docs):
     assert by[None].component_id is None
     kept = jaccard.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(x.doc_id for x in kept.select("doc_id").collect() if x.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8]
+    # Rows without ids, and ids with several texts: one row of each group stays, and nothing else goes.
+    texts = ["a b c d e f g", "a b c d e f g", "h i j k l m n", "o p q", "h i j k l m n", None, None]
+    for ids in ([None] * 7, [1] * 7, [4, 4, None, 4, 4, 4, None]):
+        rows = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, file int").repartition(3)
+        left = jaccard.keep_one(rows).collect()
+        assert sorted(str(x.text) for x in left) == sorted(str(x) for x in [texts[0], texts[2], texts[3], None, None])
     assert jaccard.join(odd_docs.limit(0)).count() == 0
 
 

@@ -226,6 +226,7 @@ def test_products_are_exact():
 
 def test_signatures_meet():
     rng = random.Random(5)
+    order = np.random.default_rng(5).integers(0, 4, 1 << 10).astype(np.uint8)
     for num in (80, 90):
         for _ in range(600):
             n = rng.choice([1, 2, 5, 10, 20, 31, 33, 36, 40, 60, 100, 300, 1500])
@@ -235,6 +236,7 @@ def test_signatures_meet():
             b = np.unique(np.concatenate([rng.sample(a.tolist(), max(1, n - gone)), [rng.getrandbits(64) for _ in range(more)]]).astype(np.uint64)) if more else np.array(sorted(rng.sample(a.tolist(), max(1, n - gone))), np.uint64)
             if jaccard.similar(a, b, num, 100):
                 assert np.intersect1d(jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)).size
+                assert np.intersect1d(jaccard.signatures(a, num, 100, order), jaccard.signatures(b, num, 100, order)).size
 
 
 def test_tree_finds_what_brute_force_finds():
@@ -244,13 +246,39 @@ def test_tree_finds_what_brute_force_finds():
     points, sizes = [jaccard.point(s) for s in sets], np.array([len(s) for s in sets])
     assert all(jaccard.unpacked(jaccard.packed(p)).tolist() == p.tolist() and p.sum() == n for p, n in zip(points, sizes))
     flat = jaccard.Bounds(points).at[16 if min(sizes) < 128 else min(map(len, points))]
-    tree = jaccard.RTree(flat, sizes)
+    tree = jaccard.RTree(flat, sizes, sizes)
     for i, s in enumerate(sets):
-        near = set(tree.near(flat[i], len(s), 90, 100).tolist())
+        near = set(tree.near(flat[i], len(s), len(s), 90, 100).tolist())
         assert {j for j, o in enumerate(sets) if jaccard.similar(s, o, 90, 100)} <= near
-    links = jaccard.forest(points, sizes, np.zeros(len(sets), int), 90, 100, sets)
+    # Boxes around two sets each are allowed wherever one of their sets is similar to one of the other's.
+    high, low, up = np.maximum(flat[::2], flat[1::2]), np.minimum(sizes[::2], sizes[1::2]), np.maximum(sizes[::2], sizes[1::2])
+    boxes = jaccard.RTree(high, low, up)
+    for i in range(len(high)):
+        near = set(boxes.near(high[i], int(low[i]), int(up[i]), 90, 100).tolist())
+        assert {j for j in range(len(high)) if any(jaccard.similar(sets[x], sets[y], 90, 100) for x in (2 * i, 2 * i + 1) for y in (2 * j, 2 * j + 1))} <= near
+    none, each = np.zeros(len(sets), int), np.arange(len(sets))
+    links = jaccard.forest(points, sizes, sizes, none, each, 90, 100, sets)
     assert links and all(jaccard.similar(sets[i], sets[j], 90, 100) for i, j in links)
-    assert len(links) <= len(jaccard.forest(points, sizes, np.zeros(len(sets), int), 90, 100)) < len(sets)
+    assert len(links) <= len(jaccard.forest(points, sizes, sizes, none, each, 90, 100)) < len(sets)
+    # Of rows connected already, only links between their groups.
+    some = jaccard.forest(points, sizes, sizes, none, np.where(each < 30, 0, each), 90, 100, sets)
+    assert some and not any(i < 30 and j < 30 for i, j in some)
+
+
+def test_boxes_hold_their_points():
+    rng = np.random.default_rng(1)
+    rows = []
+    for root in (3, 3, 3, 8, 9, 9):
+        s = np.unique(rng.integers(0, 1 << 63, rng.integers(40, 300), dtype=np.uint64) * np.uint64(2))
+        rows.append((root, len(s), len(s), jaccard.packed(jaccard.point(s))))
+    batches = [pa.record_batch([pa.array(x, t) for x, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["root", "low", "high", "data"]) for part in (rows[:2], rows[2:])]
+    got = [x for b in jaccard._boxes(iter(batches)) for x in b.to_pylist()]
+    assert [x["root"] for x in got] == [3, 8, 9]
+    for x in got:
+        box = jaccard.unpacked(x["data"])
+        mine = [r for r in rows if r[0] == x["root"]]
+        assert (x["low"], x["high"]) == (min(r[1] for r in mine), max(r[1] for r in mine))
+        assert all((jaccard.coarse(jaccard.unpacked(r[3]), len(box)) <= box).all() for r in mine)
 
 
 def test_shared_signs():

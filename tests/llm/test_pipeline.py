@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import SF, _check_packing, brute_components, clashing, odd_docs, same_texts  # noqa: F401
 
 from quillweave.llm import mixing
@@ -44,3 +45,6 @@ def test_odd_rows(spark, odd_docs):  # noqa: F811
     for x in mixing.mix_sources(odd_docs).collect():
         want[x.doc_id] += x.copies
     assert Counter(x.doc_id for x in mixed) == +want
+    names = odd_docs.withColumns({"mixing copy": F.lit(1), "row": F.lit("x"), "File": F.lit(2), "n": F.lit(3)})
+    for stage in (corpus_pipeline.duplicate_stage, corpus_pipeline.mixing_stage):
+        assert stage(spark, names, SF).columns == names.columns and stage(spark, names, SF).count()

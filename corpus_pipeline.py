@@ -8,10 +8,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillweave.llm import jaccard, langid, mixing, packing, quality
-from quillweave.llm.common import scratch, table
+from quillweave.llm.common import emit, placed, scratch, table
 
 #: Least share of a text's corrected n-gram hits that its language must have.
 SURE = 0.4
@@ -37,18 +36,15 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix emits it."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies"))
-    copies = table(copies, f"{scratch(spark, 'mixed')}/copies")
-    on = F.col("d.doc_id") == F.col("c.doc_id")
-    rows = docs
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        # Rows that share a doc_id, or have none, each take one of their shares, in any order.
-        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-        rows, copies = docs.withColumn("mixing turn", turn), copies.withColumn("mixing turn", turn)
-        on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.`mixing turn`") == F.col("c.`mixing turn`"))
-    out = rows.alias("d").join(copies.alias("c"), on)
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("mixing copy")).drop("mixing copy")
+    """Each document as often as the mix emits it; a null text, or one without words, has size 0 and its place too.
+
+    Rows are told apart by where they lie, so that repeated rows and rows without doc_id each get their own copies.
+    """
+    home = scratch(spark, "mixed")
+    rows, file, row = placed(docs, home)
+    named = rows.select("doc_id", "text", "source", F.col(f"`{file}`").alias("file"), F.col(f"`{row}`").alias("row"))
+    counts = mixing.mix_sources(named, keep=("file", "row")).where("copies > 0").select("file", "row", F.col("copies").alias("n"))
+    return emit(rows, file, row, counts, home)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 A text's count is stored under the digests of its content and of the tokenizer's file. A run joins the digests of its
 texts with the store, encodes one text for each digest that is missing, and appends the new counts: equal texts are
-encoded once, and a second run over a grown corpus encodes only what is new.
+encoded once, and a second run over a grown corpus encodes only what is new. The row of a missing digest is known by the
+file and place where it lies, so that texts aren't moved, and rows that share a doc_id or have none are told apart.
+
+Content is normalised before it is digested by taking null for empty and nothing else: the counts have to be those of
+the texts as they are, and no change of letters or white space leaves all of a tokenizer's counts as they were.
 
 Encoding is the library's, word by word: where no piece of the vocabulary spans the start of a space or a line end,
 a text's pieces are those of its parts, so that counts of parts seen before are looked up. ``Counter`` checks this on
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, scratch, slices, table, utf8
+from .common import arrow, emit, placed, scratch, slices, table, utf8
 
 #: Bytes of parts that a worker remembers, about; beyond it forgets all and starts anew.
 MEMO = 64 << 20
@@ -114,8 +118,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text); new counts are appended to cache.
 
     cache is a folder in shared storage: Parquet of (tokenizer, digest, n_tokens), made where it is missing. The file
-    of the tokenizer is at path on every machine. A null text counts as empty and has no tokens; equal texts share one
-    cache entry; repeated rows are kept; an empty table gives an empty result. Other columns are ignored.
+    of the tokenizer is at path on every machine. A null text counts as empty and has no tokens; a very long one is
+    encoded whole; equal texts are encoded once and share one cache entry; repeated rows are kept; an empty table gives
+    an empty result. Other columns, of whatever name, are ignored.
     """
     spark = docs.sparkSession
     home = scratch(spark, "tokens")
@@ -126,18 +131,15 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     if not files.exists(jvm):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(cache)
     text = F.coalesce("text", F.lit(""))
-    content = docs.select("doc_id", text.alias("text"))
-    digests = table(content.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), f"{home}/digests")
+    rows, file, row = placed(docs, home)
+    rows = rows.select("doc_id", text.alias("text"), file, row)
+    n_bytes, digest = F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    digests = table(rows.select("doc_id", n_bytes, digest, F.col(file).alias("file"), F.col(row).alias("row")), f"{home}/digests")
     stored = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    # Of each missing digest the smallest doc_id is encoded; a doc_id with several texts is looked at for each of them.
-    missing = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    missing = table(missing, f"{home}/missing")
-    # The mark of a text's turn is its doc_id alone: texts are read again where they lie, not moved by their digest.
-    turns = missing.select(F.coalesce("doc_id", F.lit(-1)).alias("turn")).distinct()
-    todo = content.withColumn("turn", F.coalesce("doc_id", F.lit(-1))).join(turns, "turn", "left_semi").select(F.sha2("text", 256).alias("digest"), "text")
-    new = todo.transform(arrow, _encode(path), "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    new = new.join(missing.select("digest"), "digest", "left_semi").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
-    new.write.mode("append").parquet(cache)
+    missing = digests.groupBy("digest").agg(F.min(F.struct("file", "row")).alias("at")).join(stored, "digest", "left_anti")
+    todo = emit(rows, file, row, missing.select("at.file", "at.row", F.lit(1).alias("n")), home)
+    new = todo.select(digest, "text").transform(arrow, _encode(path), "digest string, n_tokens long")
+    new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = digests.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

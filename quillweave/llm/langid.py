@@ -2,7 +2,8 @@
 
 For each language the filter holds the character n-grams that are typical of it: frequent enough, and not far more
 frequent in another language. All languages share one array: a place has a bit for each language, so the AND of an
-n-gram's places is the set of all languages that may contain it. A text's hits are counted for each language, freed of
+n-gram's places is the set of all languages that may contain it; beyond 63 languages a place has several words of bits.
+A text's hits are counted for each language, freed of
 the hits that its share of set bits makes by chance, and the largest count decides.
 
 Least frequency bounds what the filter holds, whatever the corpus' size: at 1e-5, at most 100,000 n-grams a language.
@@ -25,6 +26,8 @@ N = 4
 PLACES = 1 << 20
 HASHES = 3
 LEAST = 1e-5
+#: Languages of a word of bits.
+WORD = 63
 #: Share of an n-gram's largest frequency in any language from which a language has it.
 SHARE = 0.4
 _LETTERS: list[np.ndarray] = []
@@ -32,7 +35,7 @@ _LETTERS: list[np.ndarray] = []
 
 class Filter(NamedTuple):
     languages: list[str]  # of bits 0, 1, ...
-    masks: np.ndarray  # of PLACES
+    masks: np.ndarray  # of PLACES, a row of words for each 63 languages
     chance: np.ndarray  # of a false hit, for each language
 
 
@@ -108,54 +111,60 @@ def _slots(size: int, hashes: int):
         for batch in batches:
             g = batch.column("gram").to_numpy().view(np.uint64)
             for k in range(hashes):
-                yield pa.record_batch([pa.array(places(g, k, size).astype(np.int64)), batch.column("mask")], ["place", "mask"])
+                yield pa.record_batch([pa.array(places(g, k, size).astype(np.int64)), batch.column("word"), batch.column("mask")], ["place", "word", "mask"])
 
     return run
 
 
 def fit(docs: DataFrame, least: float = LEAST, share: float = SHARE, size: int = PLACES, hashes: int = HASHES) -> Filter:
-    """The filter of docs (text, lang), of which rows without either are left out; at most 63 languages.
+    """The filter of docs (text, lang), of which rows without either are left out.
 
     All rows are counted; an n-gram enters a language if its frequency there is at least least, and at least share
-    times its largest in any. The driver gets at most size places.
+    times its largest in any; with least 0 all do. The driver gets the languages' names and at most size places, of 8
+    bytes for each 63 languages.
     """
     spark = docs.sparkSession
     home = scratch(spark, "langid")
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    languages = sorted(x.lang for x in rows.select("lang").distinct().limit(64).collect())
-    if len(languages) > 63:
-        raise ValueError("more than 63 languages")
+    languages = sorted(x.lang for x in rows.select("lang").distinct().collect())
     if not languages:
-        return Filter([], np.zeros(size, np.uint8), np.zeros(0))
+        return Filter([], np.zeros((size, 1), np.uint8), np.zeros(0))
+    wide = -(-len(languages) // WORD)
     counts = rows.transform(arrow, _count(languages), "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     counts = table(counts, f"{home}/counts")
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(totals), "language").select("language", "gram", (F.col("n") / F.col("total")).alias("p"))  # at most 63 rows
+    rate = counts.join(F.broadcast(totals), "language").select("language", "gram", (F.col("n") / F.col("total")).alias("p"))  # a row for each language
     typical = rate.where(F.col("p") >= least).withColumn("most", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= share * F.col("most"))
-    masks = typical.groupBy("gram").agg(F.sum(F.expr("shiftleft(1L, language)")).alias("mask"))
-    slots = masks.transform(arrow, _slots(size, hashes), "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    word = F.floor(F.col("language") / WORD).cast("int").alias("word")
+    masks = typical.groupBy("gram", word).agg(F.sum(F.expr(f"shiftleft(1L, language % {WORD})")).alias("mask"))
+    slots = masks.transform(arrow, _slots(size, hashes), "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
     got = slots.toArrow()
-    array = np.zeros(size, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages)))
-    array[got.column("place").to_numpy()] = got.column("mask").to_numpy()
-    chance = np.array([((array >> array.dtype.type(i)) & array.dtype.type(1)).mean() for i in range(len(languages))]) ** hashes
+    array = np.zeros((size, wide), next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(len(languages), WORD)))
+    array[got.column("place").to_numpy(), got.column("word").to_numpy()] = got.column("mask").to_numpy()
+    chance = np.array([has(array[:, i // WORD], i).mean() for i in range(len(languages))]) ** hashes
     return Filter(languages, array, chance)
 
 
+def has(mask: np.ndarray, language: int) -> np.ndarray:
+    """Whether the words of bits, those of the language, have it."""
+    return ((mask >> mask.dtype.type(language % WORD)) & mask.dtype.type(1)).astype(bool)
+
+
 def classify(texts: list[str], model: Filter, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     """(language's number, -1 where there is no letter; score) of each text."""
-    h, doc, has = grams(texts)
-    mask = np.full(len(h), np.iinfo(model.masks.dtype).max, model.masks.dtype)
+    h, doc, lettered = grams(texts)
+    mask = np.full((len(h), model.masks.shape[1]), np.iinfo(model.masks.dtype).max, model.masks.dtype)
     for k in range(hashes):
         mask &= model.masks[places(h, k, len(model.masks)).astype(np.int64)]
     total = np.bincount(doc, minlength=len(texts))
     n = max(1, len(model.languages))
     hits = np.zeros((len(texts), n))
     for i in range(len(model.languages)):
-        raw = np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) == 1], minlength=len(texts))
+        raw = np.bincount(doc[has(mask[:, i // WORD], i)], minlength=len(texts))
         hits[:, i] = np.maximum(0, (raw - total * model.chance[i]) / max(1e-9, 1 - model.chance[i]))
     best = hits.argmax(1)
     score = hits[np.arange(len(texts)), best] / np.maximum(hits.sum(1), 1e-9)
-    return np.where(has & bool(model.languages), best, -1), np.where(has, np.clip(score, 0, 1), 0.0)
+    return np.where(lettered & bool(model.languages), best, -1), np.where(lettered, np.clip(score, 0, 1), 0.0)
 
 
 def _predict(model: Filter, shared, as_names: tuple[str, str]):
@@ -177,11 +186,11 @@ def predict(docs: DataFrame, model: Filter, names: tuple[str, str] = ("lang_pred
 
     score is its share of all languages' counts. A null text, and one without a letter, is und with score 0. A text with
     letters none of whose n-grams is known gets the first language with score 0. Of equal counts the language first in
-    order wins. names are those of the new columns; columns of docs so named are replaced. An empty table gives an empty result.
+    order wins. Very long texts count whole; repeated rows are kept. names are those of the new columns; columns of docs so named are replaced. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     docs = docs.drop(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(model.masks)  # PLACES numbers of 1 to 8 bytes, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model.masks)  # PLACES rows of words, whatever the corpus
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", `{names[0]}` string, `{names[1]}` double"
     return docs.transform(arrow, _predict(model._replace(masks=model.masks[:0]), shared, names), schema)
 

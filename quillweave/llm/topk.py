@@ -32,33 +32,27 @@ SCALE = 1024
 CELLS = 1 << 21
 
 
-def quantised(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of valid vectors, their components as floor(scale * x)); all valid ones must have one length.
+def quantised(vectors: pa.Array, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of valid vectors: (their positions, their components as floor(scale * x)).
 
-    A vector that is null, or holds a null or a number that isn't finite, is left out.
+    A vector that is null or empty, or holds a null or a number that isn't finite, is left out.
     """
-    at, rows = [], []
-    for i, x in enumerate(vectors):
-        if not x.is_valid or x.values.null_count:
-            continue
-        v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(v).all():
-            at.append(i)
-            rows.append(v)
-    if len({len(v) for v in rows}) > 1:
-        raise ValueError("vectors of several lengths")
-    return np.array(at, np.int64), np.floor(np.stack(rows) * scale) if rows else np.zeros((0, 0))
-
-
-def fast(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
-    """quantised, without a loop where no vector is null or shorter than another."""
-    if len(vectors) and not vectors.null_count:
-        flat, sizes = vectors.flatten(), np.diff(vectors.offsets.to_numpy())
-        if not flat.null_count and (sizes == sizes[0]).all() and sizes[0]:
-            v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-            good = np.isfinite(v).all(1)
-            return np.flatnonzero(good), np.floor(v[good] * scale)
-    return quantised(vectors, scale)
+    if not len(vectors):
+        return []
+    first = vectors.offsets.to_numpy()
+    sizes, flat = np.diff(first), vectors.values
+    sizes = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    good = flat.is_valid().to_numpy(zero_copy_only=False)
+    x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    out = []
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        cells = first[at][:, None] + np.arange(n)
+        v = x[cells]
+        fit = good[cells].all(1) & np.isfinite(v).all(1)
+        if fit.any():
+            out.append((at[fit], np.floor(v[fit] * scale)))
+    return out
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,34 +91,35 @@ def _emit(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _scan(shared, k: int, lists: int, scale: int, resolve):
-    """resolve(query's place, scores of each list (lists x rows), row ids) gives the rows whose totals matter."""
+    """resolve(the query's cutoff, scores of each list (lists x rows)) gives the rows whose totals matter.
+
+    shared holds for each length of vectors the queries' ids, their vectors and, where known, their cutoffs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value[:2]
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            at, rows = fast(batch.column("vector"), scale)
-            if not len(at):
-                continue
-            if rows.shape[1] != queries.shape[1]:
-                raise ValueError("vectors of several lengths")
-            names = batch.column("id").take(pa.array(at)).to_numpy()
-            parts = _blocks(rows.shape[1], lists)
-            step = max(1, CELLS // (len(rows) * len(parts)))
-            for i in range(0, len(queries), step):
-                local = np.stack([product(queries[i : i + step, p], rows[:, p]) for p in parts], 1)
-                for j in range(local.shape[0]):
-                    q = int(ids[i + j])
-                    places = resolve(i + j, local[j], names)
-                    places = places[names[places] != q]
-                    if not len(places):
-                        continue
-                    total = local[j][:, places].sum(0)
-                    got = names[places]
-                    if q in kept:
-                        got, total = np.concatenate([kept[q][0], got]), np.concatenate([kept[q][1], total])
-                    order = best(total, got, k)
-                    kept[q] = got[order], total[order]
+            for at, rows in quantised(batch.column("vector"), scale):
+                if rows.shape[1] not in shared.value:
+                    continue
+                ids, queries, cutoffs = shared.value[rows.shape[1]]
+                names = batch.column("id").take(pa.array(at)).to_numpy()
+                parts = _blocks(rows.shape[1], lists)
+                step = max(1, CELLS // (len(rows) * len(parts)))
+                for i in range(0, len(queries), step):
+                    local = np.stack([product(queries[i : i + step, p], rows[:, p]) for p in parts], 1)
+                    for j in range(local.shape[0]):
+                        q = int(ids[i + j])
+                        places = resolve(None if cutoffs is None else int(cutoffs[i + j]), local[j])
+                        places = places[names[places] != q]
+                        if not len(places):
+                            continue
+                        total = local[j][:, places].sum(0)
+                        got = names[places]
+                        if q in kept:
+                            got, total = np.concatenate([kept[q][0], got]), np.concatenate([kept[q][1], total])
+                        order = best(total, got, k)
+                        kept[q] = got[order], total[order]
         if kept:
             yield _emit([(q, i, s) for q, (i, s) in kept.items()])
 
@@ -132,7 +127,7 @@ def _scan(shared, k: int, lists: int, scale: int, resolve):
 
 
 def _gather(shared, k: int, lists: int, scale: int):
-    def resolve(q: int, local: np.ndarray, names: np.ndarray) -> np.ndarray:
+    def resolve(cutoff: None, local: np.ndarray) -> np.ndarray:
         n = min(k + 1, local.shape[1])  # one more, for the query's own row
         return np.unique(np.argpartition(local, local.shape[1] - n, axis=1)[:, local.shape[1] - n :])
 
@@ -140,8 +135,7 @@ def _gather(shared, k: int, lists: int, scale: int):
 
 
 def _collect(shared, k: int, lists: int, scale: int):
-    def resolve(q: int, local: np.ndarray, names: np.ndarray) -> np.ndarray:
-        cutoff = int(shared.value[2][q])
+    def resolve(cutoff: int, local: np.ndarray) -> np.ndarray:
         places = np.flatnonzero((local * local.shape[0] >= cutoff).any(0))
         return places[local[:, places].sum(0) >= cutoff]
 
@@ -152,9 +146,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
     """query_id, rank, vec_id, score: each query's k rows of the largest inner products, ties to smaller vec_id.
 
     vectors and queries have vec_id and embedding, an array of numbers whose components count as floor(scale * x). A
-    query's own vec_id is no candidate. Rows whose vec_id or vector is null, or whose vector holds a null or a number
-    that isn't finite, take no part; vectors of several lengths raise ValueError; a query without candidates has no
-    rows. Repeated queries count once; repeated candidates each. Other columns are ignored.
+    query's own vec_id is no candidate. Rows whose vec_id or vector is null, or whose vector is empty or holds a null or
+    a number that isn't finite, take no part; a query's candidates are the vectors of its length; a query without
+    candidates has no rows. Repeated queries count once; repeated candidates each. Other columns, of whatever name, are
+    ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     home = scratch(spark, "topk")
@@ -170,20 +165,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
             break
         ids = part.column("id").to_numpy()
         after = int(ids[-1])
-        at, matrix = fast(part.column("vector").combine_chunks(), scale)
-        if not len(at):
+        spaces = {m.shape[1]: (ids[at], m, None) for at, m in quantised(part.column("vector").combine_chunks(), scale)}
+        if not spaces:
             continue
-        ids = ids[at]
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast(spaces)
         seen = rows.transform(arrow, _gather(shared, k, lists, scale), _SCHEMA)
         seen = table(seen.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), f"{home}/gathered-{number}")
-        lowest = seen.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k).toArrow()
-        cutoff = np.full(len(ids), -(1 << 62), np.int64)  # with fewer than k rows all are sufficient
-        cutoff[np.searchsorted(ids, lowest.column("query_id").to_numpy())] = lowest.column("score").to_numpy()
-        shared = spark.sparkContext.broadcast((ids, matrix, cutoff))
+        lowest = seen.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
+        lowest = {x.query_id: x.score for x in lowest.select("query_id", "score").collect()}
+        # With fewer than k rows all are sufficient.
+        cutoffs = {n: (i, m, np.array([lowest.get(int(x), -(1 << 62)) for x in i], np.int64)) for n, (i, m, _) in spaces.items()}
+        shared.destroy()
+        shared = spark.sparkContext.broadcast(cutoffs)
         got = rows.transform(arrow, _collect(shared, k, lists, scale), _SCHEMA)
         got = got.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k)
         got = table(got.select("query_id", "rank", "vec_id", "score"), f"{home}/found-{number}")
+        shared.destroy()
         out = got if out is None else out.unionByName(got)
         number += 1
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

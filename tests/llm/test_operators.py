@@ -115,6 +115,11 @@ def test_token_counts(spark, odd_docs, docs):
     texts = {x.text or "" for df in (odd_docs, docs) for x in same_texts(df)}
     assert stored.count() == stored.select("digest").distinct().count() == len(texts)
     assert token_counts.count_tokens(odd_docs.limit(0), PIECES, cache).count() == 0
+    # Of equal texts one is encoded, whatever their ids: each text that is encoded is a row of the store.
+    many = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("all the same")).otherwise(F.concat(F.lit("word "), F.col("id") % 10)).alias("text"))
+    cache = scratch(spark, "cache")
+    assert token_counts.count_tokens(many.repartition(7), PIECES, cache).count() == 2000
+    assert spark.read.parquet(cache).count() == 6
 
 
 def test_quality(spark, odd_docs):
@@ -129,10 +134,12 @@ def test_quality(spark, odd_docs):
     assert again == {i: x.selected for i, x in got.items()}
     picked = quality.select(clashing(many), labels)
     assert picked.columns == clashing(many).columns and {x.doc_id for x in picked.select("doc_id").collect()} == {i for i, x in got.items() if x.selected}
-    # k rows, those of the largest keys.
-    ten = [x for x in quality.resample(many, labels, k=10, temperature=1.0).collect() if x.selected]
-    keys = sorted((x.sample_key for x in quality.resample(many, labels, k=10, temperature=1.0).collect()), reverse=True)
-    assert sorted((x.sample_key for x in ten), reverse=True) == keys[:10]
+    # k rows, those of the largest keys, which aren't those above the cut.
+    for k, share in ((10, None), (600, None), (None, 0.7)):
+        rows = quality.resample(many, labels, k=k, share=share).collect()
+        n = k or round(0.7 * sum(x.n_features > 0 for x in rows))
+        assert sorted((x.sample_key for x in rows if x.selected), reverse=True) == sorted((x.sample_key for x in rows), reverse=True)[:n]
+        assert any(x.above_cut and not x.selected for x in rows)
     odd_labels = clashing(spark.createDataFrame([(0, 1), (0, 0), (4, 0), (None, 1), (6, None), (99, 1)], "doc_id long, quality int"))
     out = quality.resample(odd_docs, odd_labels).collect()
     assert len(out) == odd_docs.count() and not any(x.selected for x in out if x.doc_id in (1, 2, 3))
@@ -140,6 +147,43 @@ def test_quality(spark, odd_docs):
     assert quality.resample(odd_docs.limit(0), odd_labels).count() == 0
 
 
+def test_quality_weights(spark):
+    """Against two dictionaries of counts, and draws against the weights."""
+    rng = random.Random(5)
+    good = [" ".join(rng.choice("the a cat dog sat on mat runs, 12 NOT and _x é".split()) for _ in range(rng.randint(3, 30))) for _ in range(40)]
+    bad = [" ".join(rng.choice("BUY now now !!! $$$ 99 cheap the http://x.y click".split()) for _ in range(rng.randint(3, 30))) for _ in range(20)]
+    texts = dict(enumerate([*good, *bad, "", None, "  "]))
+    marks = {i: int(i < 40) for i in range(0, 60, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    model = quality.fit(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int"), buckets=1 << 22)
+
+    def grams(text):
+        raw = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\t-\r]+", (text or "").encode())
+        low = [re.sub(rb"[0-9]", b"0", x.lower()) for x in raw]
+        said = [b"<again>" if x in low[max(0, i - 2) : i] else b"<capitals>" if len(raw[i]) > 1 and re.fullmatch(rb"[A-Z]+", raw[i]) else x for i, x in enumerate(low)]
+        return [(x,) for x in said] + list(zip(said[:-1], said[1:]))
+
+    every, best = Counter(x for t in texts.values() for x in grams(t)), Counter(x for i, q in marks.items() if q for x in grams(texts[i]))
+    ratio = {x: np.log((best[x] + 1) / (best.total() + (1 << 22))) - np.log((n + 1) / (every.total() + (1 << 22))) for x, n in every.items()}
+    got = {x.doc_id: x for x in quality.score(docs, model).collect()}
+    for i, t in texts.items():
+        g = grams(t)
+        want = (np.mean([ratio[x] for x in g]) - model.cut) * quality.LENGTH if g else 0.0
+        assert got[i].n_features == len(g) and abs(got[i].log_weight - want) < 1e-6 * (1 + abs(want))
+    # One text drawn, many times: as often as its share of all weights.
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(6)), pa.array(good[:6])], ["doc_id", "text"])
+    flat = model._replace(log_ratio=model.log_ratio / 40)
+    drawn, weight = Counter(), None
+    for seed in range(6000):
+        (out,) = quality._score(flat, seed * 7919 + 1, 1.0)(iter([batch]))
+        weight = out.column("log_weight").to_numpy()
+        drawn[int(np.argmax(out.column("sample_key").to_numpy()))] += 1
+    share = np.exp(weight - weight.max()) / np.exp(weight - weight.max()).sum()
+    assert all(abs(drawn[i] / 6000 - share[i]) < 0.03 for i in range(6)) and len(drawn) > 2
+
+
 def test_quality_kth(spark):
     rng = random.Random(1)
     values = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(300)] + [5, 5, 5, -(1 << 63), (1 << 63) - 1]
@@ -167,6 +211,33 @@ def test_language(spark, odd_docs):
     assert {x.lang_pred for x in unlearned} == {"und"}
 
 
+def test_many_languages(spark):
+    """More languages than a word has bits, against sets of n-grams."""
+    rng = random.Random(8)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(30)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(words[name]) for _ in range(25)), name) for i, name in enumerate(sorted(words) * 6)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = {x.doc_id: x for x in langid.predict(docs, langid.fit(docs)).collect()}
+
+    def grams(text):
+        t = " " + " ".join(text.split()) + " "
+        return [t[k : k + 4] for k in range(len(t) - 3)]
+
+    n = defaultdict(Counter)
+    for _, t, name in rows:
+        n[name].update(grams(t))
+    rate = {name: {g: x / c.total() for g, x in c.items()} for name, c in n.items()}
+    most = Counter()
+    for r in rate.values():
+        for g, p in r.items():
+            most[g] = max(most[g], p)
+    holds = {name: {g for g, p in r.items() if p >= langid.LEAST and p >= langid.SHARE * most[g]} for name, r in rate.items()}
+    for i, t, name in rows:
+        hits = {x: sum(g in held for g in grams(t)) for x, held in holds.items()}
+        best = max(sorted(hits), key=hits.get)
+        assert got[i].lang_pred == best == name and abs(got[i].score - hits[best] / sum(hits.values())) < 0.02
+
+
 def test_top_k(spark):
     duck = oracle.connect(SF)
     assert oracle.spark_rows(queries.op8_topk(spark, SF)) == oracle.duck_rows(duck, topk.SQL)
@@ -181,6 +252,10 @@ def test_top_k(spark):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     for block in (4096, 2):
         assert sorted(map(tuple, topk.search(vectors, vectors.where("vec_id % 10 = 0"), k=5, block=block).collect())) == sorted(want)
+    # Empty vectors take no part; vectors of other lengths have no product with these.
+    mixed = vectors.unionByName(clashing(spark.createDataFrame([(70, []), (71, [5.0, 5.0]), (72, [4.0, 1.0]), (80, [9.0, 9.0])], "vec_id long, embedding array<double>")))
+    pairs = [(80, 1, 71, 5120 * 9216 * 2), (80, 2, 72, 5120 * 9216)]
+    assert sorted(map(tuple, topk.search(mixed, mixed.where("vec_id % 10 = 0"), k=5).collect())) == sorted(want + pairs)
     few = vectors.where("vec_id < 3")
     assert topk.search(few, few, k=5).count() == 6
     assert topk.search(vectors.limit(0), vectors).count() == 0 == topk.search(vectors, vectors.limit(0)).count()

@@ -22,7 +22,7 @@ def test_stages(spark):
         assert set(has) <= had
         if k == 0:
             good = [i for i, q in labels.items() if q]
-            assert sum(i in has for i in good) >= 0.97 * len(good) and sum(i in has for i, q in labels.items() if not q) <= 2
+            assert sum(i in has for i in good) >= 0.97 * len(good) and sum(i in has for i, q in labels.items() if not q) <= 0.05 * (len(labels) - len(good)) + 2
         elif k == 1:
             assert len(has) >= 0.99 * len(had)
         elif k == 2:
@@ -46,5 +46,9 @@ def test_odd_rows(spark, odd_docs):  # noqa: F811
         want[x.doc_id] += x.copies
     assert Counter(x.doc_id for x in mixed) == +want
     names = odd_docs.withColumns({"mixing copy": F.lit(1), "row": F.lit("x"), "File": F.lit(2), "n": F.lit(3)})
+    # Too short to tell, and no languages to learn from: nothing speaks against these.
+    short = spark.createDataFrame([(1, "A.", "en"), (2, "the cat sat on the mat", "en"), (3, "12", "en"), (4, "zzqqx vvkkw xxqqj wwvvk", None)], "doc_id long, text string, lang string")
+    assert {x.doc_id for x in corpus_pipeline.language_stage(spark, short, SF).collect()} == {1, 2}
+    assert corpus_pipeline.language_stage(spark, short.withColumn("lang", F.lit(None).cast("string")), SF).count() == 4
     for stage in (corpus_pipeline.duplicate_stage, corpus_pipeline.mixing_stage):
         assert stage(spark, names, SF).columns == names.columns and stage(spark, names, SF).count()

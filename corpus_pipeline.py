@@ -10,28 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.llm import jaccard, langid, mixing, packing, quality
-from quillweave.llm.common import emit, placed, scratch, table
+from quillweave.llm.common import emit, fresh, placed, scratch, table
 
 #: Least share of a text's corrected n-gram hits that its language must have.
 SURE = 0.4
+#: Letters below which a text says too little to be rejected for its language.
+SHORT = 8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects; those that it rejects go."""
+    """Documents that importance resampling selects; those that it rejects go.
+
+    A null or empty text, or one without tokens, goes; rows equal in doc_id and text stay or go together; very long
+    texts count whole. All columns are kept, whatever their names; an empty table gives an empty result.
+    """
     return quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is plain; those without a letter or of no clear language go.
+    """Documents whose language is plain; those without a letter, null among them, or of no clear language go.
 
-    The filters are learned from the stage's input, from rows that have a language.
+    The filters are learned from the stage's input, from rows that have a language; if none has, all rows stay. Texts of
+    fewer than SHORT letters, too short to tell, stay. Repeated rows are judged alike, very long texts whole. All columns
+    are kept, whatever their names; an empty table gives an empty result.
     """
-    found = langid.predict(docs, langid.fit(docs), ("language found", "language score"))
-    return found.where((F.col("language found") != "und") & (F.col("language score") >= SURE)).select(docs.columns)
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = langid.predict(docs, model, (lang, score))
+    short = F.regexp_count("text", F.lit(r"\p{L}")) < SHORT
+    return found.where((F.col(lang) != "und") & ((F.col(score) >= SURE) | short)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words, null among them, are no duplicates of each other and stay; of repeated rows one stays; very
+    long texts are compared whole. All columns are kept, whatever their names; an empty table gives an empty result.
+    """
     return jaccard.keep_one(docs)
 
 
@@ -48,7 +65,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 tokens."""
+    """Where each piece of each document lies in sequences of 2048 tokens.
+
+    A null or empty text is the end id alone, a very long one several pieces; repeated rows are packed each; other
+    columns, of whatever name, are left out; an empty table gives an empty result.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -1,4 +1,7 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line.
+
+index_stats is the first to ask for the index of the pages: it builds and stores it, searches and lookups read it.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import time
 from quillweave.queries import QUERIES
 from quillweave.session import session
 
-HEADLINE = ["word_count", "hits_pages", "tf", "df", "tfidf", "links_distinct", "graph_counts", "pagerank_pages", "pagerank_supply_graph", "search_single_term", "content_dedupe", "url_normalize", "map_reduce_generic"]
+HEADLINE = ["word_count", "hits_pages", "tf", "df", "tfidf", "links_distinct", "graph_counts", "pagerank_pages", "pagerank_supply_graph", "index_stats", "search_single_term", "search_topk", "lookup_idf", "content_dedupe", "url_normalize", "map_reduce_generic"]
 
 
 def main() -> None:

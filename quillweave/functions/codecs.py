@@ -38,7 +38,8 @@ def display_date(seconds: Column | str) -> Column:
     return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(_col(seconds)), "EST5EDT"), "yyyy-MM-dd'T'hh:mm:ss")
 
 
-# The form of a channel's name, and of its path specification: steps, then at most one test of the text.
+# The form of a channel's name, and of its path specification: steps, then at most one test of the text. The
+# class is written out, for DuckDB's expressions have none within another.
 CHANNEL_NAME = r"^[_.a-zA-Z0-9-]+$"
 XPATH = r"^(/[_.a-zA-Z0-9-]+)+(\[(text\(\)=\"[^\"]+\"|contains\(text\(\),\"[^\"]+\"\))\])?$"
 
@@ -48,8 +49,13 @@ def channel_name_valid(x: Column | str) -> Column:
 
 
 def xpath_compact(x: Column | str) -> Column:
-    """A specification without the white space and plus signs outside quotes."""
-    return F.regexp_replace(_col(x), r"[\s+](?=([^\"]*\"[^\"]*\")*[^\"]*$)", "")
+    """A specification without the white space and plus signs outside quotes.
+
+    Cut at the quotes, the last part is outside and every second one before it; a first quote without a partner is so too.
+    """
+    parts = F.split(_col(x), '"', -1)
+    n = F.size(parts)
+    return F.array_join(F.transform(parts, lambda p, i: F.when((n - i) % 2 == 1, F.regexp_replace(p, r"[\s+]", "")).otherwise(p)), '"')
 
 
 def xpath_valid(x: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,14 +60,34 @@ def robots_filter(pages: DataFrame, robots: DataFrame, agent: str = R.AGENT) ->
 def hits(pages: DataFrame, html: str | None = "html", text: str | None = None, stop_words=X.STOP_WORDS) -> DataFrame:
     """word, url for each occurrence of an indexed word."""
     body = F.col(text) if text else X.html_text(html)
-    return pages.select("url", F.explode(X.split_words(body)).alias("raw")).select(X.clean_word("raw").alias("word"), "url").where(F.col("word").isNotNull() & ~X.is_stop_word("word", stop_words))
+    # The outer form, or the plan makes the words a second time to leave out pages without any.
+    return pages.select("url", F.explode_outer(X.words(body, stop_words)).alias("word")).select("word", "url").where(F.col("word").isNotNull())
 
 
-def links(pages: DataFrame, html: str = "html", any_form: bool = True) -> DataFrame:
+def links(pages: DataFrame, html: str = "html") -> DataFrame:
     """src, dst of each link, under normal urls, with repeats; links that can't be parsed are dropped."""
-    resolve = U.resolve_any if any_form else U.resolve_rooted
-    found = pages.select(F.col("url").alias("src"), F.explode(X.html_links(html)).alias("href"))
-    return found.select("src", U.normalize_url(resolve("src", "href")).alias("dst")).where(F.col("dst").isNotNull())
+    found = pages.select(F.col("url").alias("src"), F.explode_outer(X.html_links(html)).alias("href")).where(F.col("href").isNotNull())
+    found = found.select("src", U.resolve_any("src", X.decoded("href")).alias("dst"))
+    return found.select("src", U.normalize_url("dst").alias("dst")).where(F.col("dst").isNotNull())
+
+
+def word_pages(pages: DataFrame, html: str | None = "html", text: str | None = None, stop_words=X.STOP_WORDS) -> DataFrame:
+    """word, url once for each word of each row of pages: where a url has one row, the hits without repeats."""
+    body = F.col(text) if text else X.html_text(html)
+    return pages.select("url", F.explode_outer(F.array_distinct(X.words(body, stop_words))).alias("word")).select("word", "url").where(F.col("word").isNotNull())
+
+
+def next_fetch(log: DataFrame, robots: DataFrame, agent: str = R.AGENT) -> DataFrame:
+    """host, next_seconds: when each host of log (host, seconds) may be fetched again by its policy's crawl delay."""
+    last = log.groupBy("host").agg(F.max("seconds").alias("last"))
+    rules = R.policies(robots, agent).select("host", "delay")
+    return last.join(rules, "host", "left").select("host", (F.col("last") + F.coalesce("delay", F.lit(0))).alias("next_seconds"))
+
+
+def counted(rows: DataFrame, name: str):
+    """(rows, observation): the number of rows that pass, known as count when an action on them has ended."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("count")), seen
 
 
 def frontier_hosts(urls: DataFrame, shards: int = 100) -> DataFrame:

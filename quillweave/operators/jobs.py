@@ -54,8 +54,8 @@ def run_named(name: str, df: DataFrame, **settings) -> DataFrame:
 
 
 def of_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """key, value of lines: jobs don't look at the key, which stays empty."""
-    return lines.select(F.lit("").alias("key"), F.col(column).alias("value"))
+    """key, value of lines: jobs don't look at the key, which stays empty. A null isn't a line."""
+    return lines.where(F.col(column).isNotNull()).select(F.lit("").alias("key"), F.col(column).alias("value"))
 
 
 def _word_count() -> Job:
@@ -65,13 +65,13 @@ def _word_count() -> Job:
 def _term_frequency() -> Job:
     def split(k, v):
         t = v.split()
-        return [(f"{t[0]} {t[1]}", "1")]
+        return [(f"{t[0]} {t[1]}", "1")] if len(t) > 1 else []  # not a hit
 
     return Job(split, lambda k, values: [(k, str(log(1 + sum(map(int, values)))))])
 
 
 def _inverse_document_frequency(n: int = 1_000_000) -> Job:
-    return Job(lambda k, v: [(v.split()[0], "1")], lambda k, values: [(k, str(log(1.0 * n / (1 + sum(map(int, values)))) + 1))])
+    return Job(lambda k, v: [(w, "1") for w in v.split()[:1]], lambda k, values: [(k, str(log(1.0 * n / (1 + sum(map(int, values)))) + 1))])
 
 
 JOBS: dict[str, Callable[..., Job]] = {"WordCount": _word_count, "TermFrequency": _term_frequency, "InverseDocumentFrequency": _inverse_document_frequency}

@@ -11,6 +11,8 @@ from .functions import codecs, text, urls
 from .functions.robots import AGENT
 from .operators import crawl, graph, index, jobs, repository, scoring, search
 from .plans import pipeline
+from .sources import textio
+from .tables import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +54,7 @@ def _supply_links(spark, d):
 
 
 def _page_links(spark, d):
-    return crawl.links(_kept(spark, d), any_form=False)
+    return crawl.links(_kept(spark, d))
 
 
 # SQL of the same sources.
@@ -70,7 +72,21 @@ NORMAL = f"""
   normal AS (SELECT * EXCLUDE (cut, rest, address), scheme || '://' || host || ':' || port || path AS normal_url FROM n4 WHERE port IS NOT NULL)"""
 KEPT = f"""raw_urls AS (SELECT page_id, url, html FROM pages), {NORMAL},
   kept AS (SELECT min(normal_url) AS url, html FROM normal GROUP BY html)"""
-_TEXT = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?i)</?(?:{text.INLINE})\b[^>]*>', '', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _decoded(x: str) -> str:
+    """The references that the pages hold."""
+    for name, char in text.COMMON.items():
+        x = f"replace({x}, '&{name};', {_lit(char)})" if name != "amp" else f"regexp_replace({x}, '&amp;?', '&', 'g')"
+    return x
+
+
+_SHOWN = f"regexp_replace(html, {_lit(text.HIDDEN)}, ' ', 'g')"
+_TEXT = f"replace({_decoded(f"regexp_replace(regexp_replace({_SHOWN}, {_lit(text.BLOCK_TAG)}, ' ', 'g'), {_lit(text.TAG)}, '', 'g')")}, chr(160), ' ')"
 
 
 def _hits_sql(rows: str) -> str:
@@ -82,8 +98,10 @@ HITS = f"{KEPT}, {_hits_sql(f'SELECT url, {_TEXT} AS body FROM kept')}"
 DOC_HITS = _hits_sql("SELECT doc_id::VARCHAR AS url, text AS body FROM documents")
 TF = f"{HITS}, tf AS (SELECT word, url, ln(1 + count(*)) AS tf FROM hits GROUP BY word, url), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)"
 DOC_TF = f"{DOC_HITS}, tf AS (SELECT word, url, ln(1 + count(*)) AS tf FROM hits GROUP BY word, url), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)"
-_HREF = """(?i)<a\\b[^>]*\\bhref="([^"]*)\""""
-LINKS = f"""{KEPT}, found AS (SELECT url AS src, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href FROM kept),
+_HREF = _decoded(f"regexp_replace(quoted, {_lit(text.QUOTED)}, '\\1\\2')")
+# Hrefs relative to a page's folder have no form here: the pages have none.
+LINKS = f"""{KEPT}, quotes AS (SELECT url AS src, unnest(regexp_extract_all({_SHOWN}, {_lit(text.LINK)}, 1)) AS quoted FROM kept),
+  found AS (SELECT src, {_HREF} AS href FROM quotes),
   absolute AS (SELECT src, CASE WHEN regexp_matches(trim(href), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(href)
     WHEN starts_with(trim(href), '//') THEN regexp_extract(src, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || trim(href)
     WHEN starts_with(trim(href), '/') THEN regexp_extract(src, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || trim(href) END AS url FROM found),
@@ -129,7 +147,7 @@ def tf(spark, d):
 
 
 def _doc_df(spark, d):
-    return scoring.document_frequency(scoring.term_frequency(crawl.hits(_documents(spark, d), text="text")))
+    return scoring.document_frequency(crawl.word_pages(_documents(spark, d), text="text"))
 
 
 @query(f"WITH {DOC_TF} SELECT word, df FROM df")
@@ -198,8 +216,21 @@ def _found_sql(word: str, top: bool = False) -> str:
     return f"WITH {PAGE_INDEX}, h AS ({hit}) {score}" + (" ORDER BY tf * ln(5000::DOUBLE / (1 + df) + 1) * rank DESC, url LIMIT 100" if top else "")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The stored index of a folder's pages, built and saved when a session first asks for it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORED:
+        path = f"{workspace(spark, 'saved')}/index"
+        index.save(pipeline.index_of_pages(_pages(spark, d)), path)
+        _STORED[key] = path
+    return index.load(spark, _STORED[key])
+
+
 def _search(spark, d, text_: str, **how):
-    return search.search(pipeline.index_of_pages(_pages(spark, d)), text_, **how).withColumn("score", F.round("score", 6))
+    return search.search(_index(spark, d), text_, **how).withColumn("score", F.round("score", 6))
 
 
 @query(_found_sql(TERM))
@@ -224,10 +255,6 @@ def search_no_match(spark, d):
     return _search(spark, d, NO_MATCH)
 
 
-def _index(spark, d):
-    return pipeline.index_of_pages(_pages(spark, d))
-
-
 @query(f"WITH {TF} SELECT word, url FROM tf")
 def inverted_index_dump(spark, d):
     return index.dump(_index(spark, d))
@@ -247,9 +274,9 @@ def lookup_idf(spark, d):
 
 @query(f"WITH {PAGE_RANKS} SELECT url, round(rank, 6) AS rank FROM ranks WHERE url = (SELECT min(url) FROM ranks)")
 def lookup_pagerank(spark, d):
-    ranks = graph.page_rank(_page_links(spark, d))
-    first = ranks.agg(F.min("url")).first()[0]
-    return ranks.where(F.col("url") == first).withColumn("rank", F.round("rank", 6))
+    i = _index(spark, d)
+    first = i.rank.agg(F.min("url")).first()[0]
+    return index.lookup_rank(i, first or "").withColumn("rank", F.round("rank", 6))
 
 
 @query(f"WITH {KEPT} SELECT url, html FROM kept WHERE url = (SELECT min(url) FROM kept)")
@@ -320,12 +347,17 @@ def channel_name_valid(spark, d):
     return names.select("source", codecs.channel_name_valid("source").alias("valid"))
 
 
-@query()
+_SPEC = """CASE p_partkey % 4 WHEN 0 THEN '/a/' || b || '[text() = "x +y"]' WHEN 1 THEN ' /a /' || b || '[contains(text(), "x")]' WHEN 2 THEN 'a//' || b ELSE '/a/' || b || '["x' END"""
+
+
+@query(rf"""WITH specs AS (SELECT p_partkey, regexp_replace(p_brand, '[^a-zA-Z0-9]', '', 'g') AS b, {_SPEC} AS spec FROM part),
+  parts AS (SELECT *, string_split(spec, '"') AS p FROM specs),
+  plain AS (SELECT *, array_to_string([CASE WHEN (len(p) - i) % 2 = 0 THEN regexp_replace(x, '[\s+]', '', 'g') ELSE x END FOR x, i IN p], '"') AS compact FROM parts)
+  SELECT p_partkey, spec, compact, regexp_matches(compact, {_lit(codecs.XPATH)}) AS valid FROM plain""")
 def xpath_valid(spark, d):
-    """Path specifications made of part names; the look-ahead is beyond DuckDB's expressions."""
+    """Path specifications made of part names."""
     names = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.regexp_replace("p_brand", r"[^a-zA-Z0-9]", "").alias("b"))
-    spec = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/a/"), "b", F.lit('[text() = "x y"]'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("/a/"), "b", F.lit('[contains(text(), "x")]'))).otherwise(F.concat(F.lit("a//"), "b"))
-    return names.select("p_partkey", spec.alias("spec"), codecs.xpath_valid(spec).alias("valid"))
+    return names.selectExpr("p_partkey", f"{_SPEC} AS spec").select("p_partkey", "spec", codecs.xpath_compact("spec").alias("compact"), codecs.xpath_valid("spec").alias("valid"))
 
 
 @query("SELECT text AS key, count(*)::VARCHAR AS value FROM documents GROUP BY text")
@@ -360,3 +392,220 @@ def credential_check(spark, d):
     users = part.select("username", codecs.sha256_upper("p_brand").alias("password"))
     given = part.select("username", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lit("?")).alias("password"))
     return repository.credentials(users, given)
+
+
+# Files: each query writes a relation as text and reads it again.
+
+
+def _round_trip(spark, rows: DataFrame, name: str, pattern: str = "") -> DataFrame:
+    path = f"{workspace(spark, name)}/{name}"
+    textio.write_relation(rows, name, path)
+    return textio.read_relation(spark, name, path + pattern)
+
+
+@query(f"WITH {DOC_HITS} SELECT word, url FROM hits")
+def hits_files(spark, d):
+    return _round_trip(spark, crawl.hits(_documents(spark, d), text="text"), "hits")
+
+
+@query(f"WITH {LINKS} SELECT DISTINCT src, dst FROM links")
+def links_files(spark, d):
+    """Read by a pattern, as shards are."""
+    return _round_trip(spark, graph.distinct_edges(_page_links(spark, d)), "links", "/part-*")
+
+
+@query(f"WITH {TF} SELECT word, url, round(tf, 9) AS tf FROM tf")
+def tfs_files(spark, d):
+    return _round_trip(spark, _index(spark, d).tf, "tfs").withColumn("tf", F.round("tf", 9))
+
+
+@query(f"WITH {TF} SELECT word, round(ln(5000::DOUBLE / (1 + df) + 1), 9) AS idf FROM df")
+def idfs_files(spark, d):
+    return _round_trip(spark, _index(spark, d).idf, "idfs").withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH {PAGE_RANKS} SELECT url, round(rank, 6) AS rank FROM ranks")
+def prs_files(spark, d):
+    return _round_trip(spark, _index(spark, d).rank, "prs").withColumn("rank", F.round("rank", 6))
+
+
+@query("SELECT source || ' ' || lang AS value, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL")
+def lines_files(spark, d):
+    path = workspace(spark, "lines")
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source is not null and lang is not null")
+    docs.select(F.concat_ws(" ", "source", "lang").alias("value")).write.text(path)
+    return textio.read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH raw_urls AS (SELECT url FROM pages), {NORMAL} SELECT DISTINCT normal_url AS url FROM normal")
+def seeds(spark, d):
+    path = workspace(spark, "seeds")
+    _pages(spark, d).select(F.col("url").alias("value")).where("value is not null").write.text(path)
+    return textio.read_seeds(spark, path)
+
+
+@query(f"SELECT unnest([{_STOP}]) AS word")
+def stop_words(spark, d):
+    path = workspace(spark, "stop-words")
+    spark.createDataFrame([(x,) for x in text.STOP_WORDS], "value string").write.text(path)
+    return spark.createDataFrame([(x,) for x in textio.read_stop_words(spark, path)], "word string")
+
+
+@query("SELECT n_name || ' ' || count(*) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def job_output(spark, d):
+    """A job's result as lines of key and value."""
+    nations = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = workspace(spark, "job")
+    textio.write_pairs(jobs.run_named("WordCount", jobs.of_lines(nations, "n_name")), path)
+    return textio.read_lines(spark, path)
+
+
+@query("SELECT least(10, count(*)) AS n FROM documents")
+def output_sample(spark, d):
+    return textio.preview(_documents(spark, d)).agg(F.count("*").alias("n"))
+
+
+# The stored index and the repository.
+
+
+@query(f"WITH {TF} SELECT url FROM tf WHERE word = '{TERM}'")
+def hits_of_word(spark, d):
+    return index.hits_of(_index(spark, d), TERM).select("url")
+
+
+@query(f"WITH {TF} SELECT word, count(*) AS n FROM tf GROUP BY word")
+def index_words(spark, d):
+    return index.words(_index(spark, d)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KEPT} SELECT url, octet_length(encode(html)) AS bytes FROM kept")
+def documents_dump(spark, d):
+    return repository.dump(_kept(spark, d))
+
+
+def _part_store(spark, d):
+    """Parts as documents, brands as channels, each part matching its brand."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    url = F.concat(F.lit("http://parts:80/"), "p_partkey")
+    return part.select(url.alias("url"), F.col("p_name").alias("html"), F.col("p_brand").alias("channel"))
+
+
+@query("SELECT 'http://parts:80/' || p_partkey AS url, p_name AS html FROM part WHERE p_brand = 'Brand#13'")
+def channel_documents(spark, d):
+    rows = _part_store(spark, d)
+    return repository.channel_documents(rows.select("url", "channel"), rows.select("url", "html"), "Brand#13").select("url", "html")
+
+
+@query("SELECT p_brand AS channel FROM part WHERE p_partkey = 7")
+def matched_channels(spark, d):
+    rows = _part_store(spark, d)
+    return repository.matched_channels(rows.select("channel").distinct(), rows.where("url = 'http://parts:80/7'"))
+
+
+@query("SELECT p_brand AS channel, count(*) AS n FROM part WHERE p_brand = 'Brand#13' GROUP BY p_brand")
+def channel_lookup(spark, d):
+    return repository.channel(_part_store(spark, d), "Brand#13").groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'http://parts:80/' || p_partkey AS url, p_brand AS channel FROM part")
+def repeated_matches(spark, d):
+    """Put three times, the first time in part: each match is stored once."""
+    path, rows = workspace(spark, "repository"), _part_store(spark, d).select("url", "channel")
+    repository.put(rows.where(F.crc32("url") % 2 == 0), path, "matches")
+    for _ in range(2):
+        repository.put_matches(rows, path)
+    return spark.read.parquet(f"{path}/matches").select("url", "channel")
+
+
+def _users(spark, d):
+    customer = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), "c_custkey").alias("username"), F.col("c_name").alias("password"), "c_custkey")
+    path = workspace(spark, "repository")
+    repository.put(customer.drop("c_custkey"), path, "users")
+    repository.put(customer.where("c_custkey % 2 = 0").select("username", F.lit("new").alias("password")), path, "users")
+    return repository.load(spark, path, "users")
+
+
+@query("SELECT 'u' || c_custkey AS username, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS password FROM customer")
+def users_put(spark, d):
+    """A later put of a user replaces an earlier one."""
+    return _users(spark, d)
+
+
+@query("SELECT 'u4' AS username, 'new' AS password")
+def user_lookup(spark, d):
+    return repository.user(_users(spark, d), "u4")
+
+
+# Crawl control, dates, parts of urls and counters.
+
+
+@query("SELECT o_orderkey FROM orders WHERE CASE o_orderkey % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE CASE WHEN o_orderkey % 2 = 0 THEN 200 ELSE 500 END END = 200")
+def status_filter(spark, d):
+    o = F.col("o_orderkey")
+    status = F.when(o % 5 == 0, 200).when(o % 5 == 1, 404).otherwise(299 + o % 5)
+    log = spark.read.parquet(f"{d}/orders.parquet").select(o, status.alias("status"), F.when(o % 2 == 0, 200).otherwise(500).alias("status_after"))
+    return crawl.status_filter(log).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def type_filter(spark, d):
+    o = F.col("o_orderkey")
+    kind = F.when(o % 3 == 0, "text/html; charset=utf-8").when(o % 3 == 1, "application/pdf").otherwise("text/plain")
+    return crawl.type_filter(spark.read.parquet(f"{d}/orders.parquet").select(o, kind.alias("content_type"))).select("o_orderkey")
+
+
+@query("SELECT 'h' || o_custkey AS host, max(o_orderkey) + CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 7 ELSE 0 END AS next_seconds FROM orders GROUP BY o_custkey")
+def next_fetch(spark, d):
+    """Hosts of even customers have a crawl delay, the others no policy."""
+    log = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("h"), "o_custkey").alias("host"), F.col("o_orderkey").alias("seconds"))
+    rules = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0")
+    rules = rules.select(F.concat(F.lit("h"), "c_custkey").alias("host"), F.concat(F.lit("User-agent: *\nCrawl-delay: "), F.col("c_custkey") % 7).alias("text"))
+    return crawl.next_fetch(log, rules)
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds FROM orders")
+def http_date(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.date_format(F.col("o_orderdate").cast("date"), "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT")).alias("said"))
+    return orders.select("o_orderkey", F.unix_timestamp(codecs.http_date("said")).alias("seconds"))
+
+
+@query("SELECT o_orderkey, strftime(make_timestamp((1700000000 + o_orderkey % 1000000 - 18000) * 1000000), '%Y-%m-%dT%I:%M:%S') AS shown FROM orders")
+def display_date(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", codecs.display_date(F.lit(1700000000) + F.col("o_orderkey") % 1000000).alias("shown"))
+
+
+@query(f"WITH raw_urls AS (SELECT page_id, url FROM pages), {NORMAL} SELECT page_id, 'https://' || host || ':443' || path AS url FROM normal")
+def url_with_part(spark, d):
+    pages = _pages(spark, d).select("page_id", urls.with_part("url", scheme=F.lit("https"), port=F.lit(443)).alias("url"))
+    return pages.where("url is not null")
+
+
+@query(f"WITH raw_urls AS (SELECT url FROM pages), {NORMAL} SELECT host, 1 AS shards, true AS in_range FROM normal GROUP BY host")
+def host_shard(spark, d):
+    """All urls of a host are in one shard of a hundred."""
+    rows = _pages(spark, d).select(urls.url_host("url").alias("host")).where("host is not null").withColumn("shard", urls.host_shard("host"))
+    return rows.groupBy("host").agg(F.count_distinct("shard").cast("int").alias("shards"), (F.min("shard").between(0, 99) & F.max("shard").between(0, 99)).alias("in_range"))
+
+
+@query(f"WITH {HITS} SELECT (SELECT count(*) FROM kept) AS documents, (SELECT count(*) FROM hits) AS hits")
+def crawl_counters(spark, d):
+    """Documents and hits, counted as they pass."""
+    pages, documents = crawl.counted(_kept(spark, d), "documents")
+    found, n = crawl.counted(crawl.hits(pages), "hits")
+    found.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(documents.get["count"], n.get["count"])], "documents long, hits long")
+
+
+_RELATIVE = """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'x.html' WHEN 1 THEN './y?q=1' WHEN 2 THEN '../z' ELSE '#top' END AS href,
+  normal_url AS base FROM normal"""
+
+
+@query(rf"""WITH raw_urls AS (SELECT page_id, url FROM pages), {NORMAL}, rel AS ({_RELATIVE}),
+  cut AS (SELECT *, regexp_extract(base, '^(https?://[^/]*)', 1) AS origin, regexp_replace(regexp_extract(base, '^https?://[^/]*(/.*)', 1), '[^/]*\z', '') AS folder,  FROM rel)
+  SELECT page_id, CASE page_id % 4 WHEN 0 THEN origin || folder || 'x.html' WHEN 1 THEN origin || folder || 'y?q=1'
+    WHEN 2 THEN origin || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/\z', '') END || 'z' ELSE base || '#top' END AS url FROM cut""")
+def relative_hrefs(spark, d):
+    """Hrefs relative to a page's folder."""
+    pages = _pages(spark, d).select("page_id", urls.normalize_url("url").alias("base")).where("base is not null")
+    pages = pages.selectExpr("page_id", "base", "CASE page_id % 4 WHEN 0 THEN 'x.html' WHEN 1 THEN './y?q=1' WHEN 2 THEN '../z' ELSE '#top' END AS href")
+    return pages.select("page_id", urls.resolve_any("base", "href").alias("url"))

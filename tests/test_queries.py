@@ -18,11 +18,6 @@ def test_same_rows_as_sql(spark, duck, name):
     assert oracle.spark_rows(QUERIES[name](spark, SF)) == oracle.duck_rows(duck, SQL[name])
 
 
-def test_paths_without_sql(spark):
-    rows = QUERIES["xpath_valid"](spark, SF).collect()
-    assert all(x.valid == (x.p_partkey % 3 < 2) for x in rows)
-
-
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,48 @@ def test_crawl_goes_on_until_the_frontier_is_empty(spark):
     rows = [(f"http://h/{i}", f'<a href="/{i + 1}">x</a>{i}') for i in range(11)]
     reached, seen = crawl.crawl(spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame([("http://h/0",)], "url string"))
     assert reached.count() == 11 and seen.agg({"round": "max"}).first()[0] == 11
+
+
+def test_text_as_a_parser_gives_it(spark):
+    cases = {
+        "<p>caf&eacute; r&amp;d &#97;bc &amp;lt; x</p>": "café r&d abc &lt; x",
+        "foo&nbsp;bar": "foo bar",
+        "<td>one</td><td>two</td><b>th</b>ree<time>s</time>": "one two threes",
+        "a<!-- hidden <p>x -->b<SCRIPT>if (a < b) c()</SCRIPT >c<style>p{}</style>d": "a b c d",
+        "<a title='x > y' href=/z>text</a> 1 < 2": "text 1 < 2",
+        "end <!-- never closed <p>x": "end",
+        "end <script>never closed": "end",
+        "&copy; &middot; &quot;q&quot; &lt;b&gt; &bogus; R&D": '© · "q" <b> &bogus; R&D',
+        "cut <a class=\"x\" hre": "cut",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "h string").select("h", text.html_text("h").alias("t")).collect()
+    assert {x.h: " ".join(x.t.split()) for x in rows} == cases
+
+
+def test_links_as_a_parser_gives_them(spark):
+    page = """<a href="/a">1</a><A class=x HREF='/b?x=1&amp;y=2'>2</A><a href=/c>3</a><a  title="a > b" href = "/d">4</a>
+      <!-- <a href="/no">x</a> --><script>s = '<a href="/no">'</script><a data-href="/no">x</a><abbr href="/no">x</abbr>
+      <a name=x>5</a><a title='href="/no"' href="e.html">6</a><a\nhref="../f">7</a><a href="it's">8</a><a href="">9</a>"""
+    pages = spark.createDataFrame([("http://h:80/x/y", page)], "url string, html string")
+    hrefs = pages.select(text.html_links("html").alias("l")).first().l
+    assert hrefs == ["/a", "/b?x=1&amp;y=2", "/c", "/d", "e.html", "../f", "it's", ""]
+    assert [x.dst.removeprefix("http://h:80") for x in crawl.links(pages).collect()] == ["/a", "/b", "/c", "/d", "/x/e.html", "/f", "/x/it's", "/x/y"]
+
+
+def test_words_are_cleaned_whole(spark):
+    line = " The U.S. cat, CAT,dog x-ray 9th Ké ... , end.  a\tfoo\x0bbar"
+    found = spark.createDataFrame([(line,)], "t string").select(text.words("t").alias("w")).first().w
+    each = [re.sub("[,.]", "", x).lower() for x in re.split(r"[ \t\n\x0b\f\r]+", line)]
+    assert found == [x for x in each if re.fullmatch("[a-z]+", x) and x not in text.STOP_WORDS] == ["us", "cat", "catdog", "foo", "bar"]
+
+
+def test_lines_that_are_no_hits(spark):
+    lines = spark.createDataFrame([("a u",), ("a u",), ("alone",), ("",), (None,)], "value string")
+    assert {x.key: float(x.value) for x in jobs.run_named("TermFrequency", jobs.of_lines(lines)).collect()} == {"a u": math.log(3)}
+    assert {x.key for x in jobs.run_named("InverseDocumentFrequency", jobs.of_lines(lines)).collect()} == {"a", "alone"}
+
+
+def test_compact_paths(spark):
+    specs = {'/a [text() = "x + y"]': '/a[text()="x + y"]', "": "", ' a+"b c"+"d ': ' a+"bc"+"d', '" x" y "z ': '"x" y "z', '"': '"'}
+    got = spark.createDataFrame([(x,) for x in specs], "s string").select("s", codecs.xpath_compact("s").alias("c")).collect()
+    assert {x.s: x.c for x in got} == specs

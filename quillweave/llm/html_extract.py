@@ -41,8 +41,8 @@ DAMPING = 0.9
 HIGH = 0.5
 #: Pages that an article element's word counts for.
 PRIOR = 5
-#: Pages of a host from which its texts' entropy says something.
-PAGES = 5
+#: Pages that speak against noise anywhere, and from how many on a style can be noise for all that: 1 / (1 + 5) < LOW.
+AGAINST, PAGES = 1, 5
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -62,6 +62,7 @@ _NOISE_NAMES = set("ad ads adv advert adverts advertisement advertising advertor
 #: Names that also stand on what is around an article: they don't count there.
 _FRAME_NAMES = set("sidebar sidebars nav navbar navigation menu menus topbar toolbar header masthead footer foot banner widget widgets notice notices alert aside search toc tags".split())
 _CLOSES_P = _BLOCKS - {"p", "head", "html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "label", "legend", "svg", "button", "object", "audio", "video", "canvas", "select", "template", "datalist"} | {"p"}
+_P_SCOPE = {"p", "button", "td", "th", "caption", "table", "object", "template"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
@@ -69,7 +70,7 @@ _WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class Node:
     """soft: 1 if its name or tag says what is around an article, 2 if only a part of a name says that or noise."""
 
-    __slots__ = ("tag", "parent", "path", "style", "hard", "named", "soft", "main", "names", "children", "texts")
+    __slots__ = ("tag", "parent", "path", "style", "hard", "named", "soft", "main", "names", "children", "texts", "tags", "scope")
 
     def __init__(self, tag: str, parent: Node | None, name: str, hard: bool, named: bool, soft: int, main: bool):
         self.tag, self.parent, self.hard, self.named, self.soft, self.main = tag, parent, hard, named, soft, main
@@ -78,6 +79,9 @@ class Node:
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}/{name}") >> 1
         self.children: list[Node] = []
         self.texts: list[str] = []
+        # What is open here, and the innermost element that an open p doesn't reach beyond: no walk up is needed for them.
+        self.tags: frozenset[str] = frozenset((tag,)) if parent is None else parent.tags if tag in parent.tags else parent.tags | {tag}
+        self.scope: Node = self if parent is None or tag in _P_SCOPE else parent.scope
 
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
@@ -185,19 +189,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
             continue
         flush()
         if m[1]:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None:
-                here = up.parent or root
+            if tag in here.tags:
+                while here.tag != tag:
+                    here = here.parent
+                here = here.parent or root
             continue
-        if tag in _CLOSES_P:
-            up = here
-            while up.parent is not None and up.tag not in ("p", "button", "td", "th", "caption", "table", "object", "template"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if tag in _SAME:
+        if tag in _CLOSES_P and here.scope.tag == "p":
+            here = here.scope.parent
+        if tag in _SAME and not here.tags.isdisjoint(_SAME[tag]):
             up, found = here, None
             while up.parent is not None and up.tag not in _WALLS[tag]:
                 if up.tag in _SAME[tag]:
@@ -222,14 +221,23 @@ def _up(node: Node | None, what: str) -> Iterator[bool]:
         node = node.parent
 
 
-def _in_article(node: Node) -> bool:
-    """Whether a frame's name doesn't count: in an article, or, of a header or in parts, in a main element."""
-    up, header = node.parent, node.tag == "header" or node.soft == 2 or bool({"header", "masthead", "banner"} & set(node.names.split()))
-    while up is not None:
-        if up.main and (header or up.tag != "main"):
-            return True
-        up = up.parent
-    return False
+def _flags(root: Node, noise: frozenset[int], boiler: frozenset[int]) -> dict[Node, tuple[bool, bool, bool, bool, bool]]:
+    """Of each element: whether it or what holds it is hard, a frame, noise or stale, and whether it is in an article.
+
+    A frame's name doesn't count in an article; that of a header, or in parts, not in a main element either. An article
+    isn't stale by what is around it, nor itself: then the page is a copy.
+    """
+    out, todo = {}, [(root, (False, False, False, False, False), False)]
+    while todo:
+        node, (hard, soft, low, stale, main), article = todo.pop()
+        header = node.tag == "header" or node.soft == 2 or bool({"header", "masthead", "banner"} & set(node.names.split()))
+        framed = bool(node.soft) and not (article or (header and main))
+        soft = framed or (soft and not node.main)
+        stale = not node.main and (stale or node.path in boiler)
+        out[node] = flags = hard or node.hard, soft, low or node.path in noise, stale, main or node.main
+        article |= node.main and node.tag != "main"
+        todo += [(c, flags, article) for c in node.children]
+    return out
 
 
 def host(url: str | None) -> str:
@@ -273,7 +281,7 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
     """Importance of each style node of a host, and the largest of it and of all nodes below it.
 
     A node: path, parent's path, bound, pages, sum of pages over presentations and of n log n over them, number of texts
-    and sum of log n over them. Nodes of less than PAGES pages are important.
+    and sum of log n over them.
     """
     own, below = {}, defaultdict(list)
     for path, above, bound, pages, total, sums, texts, logs in nodes:
@@ -294,7 +302,7 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
         shown = min(1.0, (log(total) - sums / total) / log(pages)) if pages > 1 and total else 1.0
         share = damping ** max(1, len(below[path]))
         held = sum(x * n for x, n in inside) / sum(n for _, n in inside) if inside else 0.0
-        out[path] = 0.0 if bound else 1.0 if pages < PAGES else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
+        out[path] = 0.0 if bound else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
         most[path] = max([out[path], *(most[x] for x in below[path] if x in most)])
     return out, most
 
@@ -304,7 +312,7 @@ def _noise(low: float):
         cols = ["path", "above", "bound", "pages", "total", "sums", "texts", "logs"]
         out, most = importance(list(nodes[cols].itertuples(index=False, name=None)))
         pages = dict(zip(nodes["path"], nodes["pages"]))
-        noise = [int(p) for p, x in most.items() if x < low]
+        noise = [int(p) for p, x in most.items() if AGAINST + pages[p] * x < low * (AGAINST + pages[p])]
         boiler = [int(p) for p, x in most.items() if PRIOR + pages[p] * x < low * (PRIOR + pages[p])]
         sure = [int(p) for p, x in out.items() if pages[p] * x >= HIGH * (PRIOR + pages[p])]
         return pd.DataFrame({"host": nodes["host"].iloc[0], "noise": [noise], "boiler": [boiler], "sure": [sure]})
@@ -317,7 +325,7 @@ def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
     even in an article, with single texts that a host repeats there, and of high importance, from its pages (url, html).
 
     All pages are counted. A host's tree is put together in one task from its styles' sums, not from its pages; styles
-    of fewer than PAGES pages are left out there.
+    of fewer than PAGES pages, which can't be noise, are left out there.
     """
     home = scratch(pages.sparkSession, "styles")
     counts = pages.select("url", "html").transform(arrow, _count, "host string, path long, above long, kind int, feature long, n long")
@@ -343,19 +351,7 @@ def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
 def main_text(page: str, noise: frozenset[int] = frozenset(), boiler: frozenset[int] = frozenset(), sure: frozenset[int] = frozenset()) -> str:
     """A page's blocks that are text of its article, joined by an empty line."""
     root, blocks = parse(page)
-    known: dict[Node, tuple[bool, bool, bool, bool, bool]] = {}
-    for node, _, _ in blocks:
-        if node not in known:
-            hard, soft, low, stale, main, up = False, False, False, False, False, node
-            while up is not None:
-                hard |= up.hard
-                low |= up.path in noise
-                # An article isn't unimportant by what is around it, nor itself: then the page is a copy.
-                stale |= not main and not up.main and up.path in boiler
-                soft |= bool(up.soft) and not main and not _in_article(up)
-                main |= up.main
-                up = up.parent
-            known[node] = hard, soft, low, stale, main
+    known = _flags(root, noise, boiler)
     inside = sum(len(text) for node, text, _ in blocks if known[node][4] and not known[node][0])
     total = sum(len(text) for node, text, _ in blocks if not any(known[node][:2]) and (known[node][4] or not known[node][2]))
     article = inside > 0 and 4 * inside >= total
@@ -398,7 +394,7 @@ def extract(pages: DataFrame, low: float = LOW) -> DataFrame:
 
     Null and empty html give an empty text; html without elements is one block. Pages of a null url, or one without a
     host, share a tree. Repeated rows are kept and weigh each; an empty table gives an empty result; other columns are
-    ignored. n_chars counts code points.
+    ignored, whatever their names. n_chars counts code points. Very long and deeply nested pages take time in proportion.
     """
     name = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     trees = style_trees(pages, low)

@@ -263,17 +263,23 @@ def store_payloads(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").transform(arrow, _encode, "doc_id long, n_bytes long, media binary")
 
 
+def timed(media: bytes) -> Iterator[tuple[int, int, Frame, np.ndarray]]:
+    """(number, start in ms, frame, colour histogram of the composed picture) of each frame of a GIF."""
+    start = 0
+    for k, f in enumerate(frames(media)):
+        yield k, start, f, histogram(f.canvas)
+        start += f.delay_ms
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "pixels", "histogram"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
     for batch in batches:
         for doc, media in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-            start = 0
             if (raw := media.as_py()) is None:
                 continue
-            for k, f in enumerate(frames(raw)):
-                row = (doc, k, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas).tolist())
-                start += f.delay_ms
+            for k, start, f, colours in timed(raw):
+                row = (doc, k, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), colours.tolist())
                 yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
 
@@ -291,16 +297,15 @@ def digest(media: bytes) -> tuple:
 
     The payload is read from the composed pictures, whose grey is the sample.
     """
-    sha, n, tail, hist, delay, count = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
-    for f in frames(media):
-        rows = f.box[3]
-        part = f.canvas[:rows, :, 0].tobytes()
+    sha, n, tail, colours, end, count = hashlib.sha256(), 0, b"", np.zeros(3 * BINS, np.int64), 0, 0
+    for k, start, f, seen in timed(media):
+        part = f.canvas[: f.box[3], :, 0].tobytes()
         sha.update(part)
         n += len(part)
         tail = part[-64:]
-        hist += np.bincount(f.samples.ravel(), minlength=256).reshape(BINS, -1).sum(1)
-        delay, count = delay + f.delay_ms, count + 1
-    feature = f"frames={count};ms={delay};grey=" + ",".join(map(str, hist.tolist()))
+        colours += seen
+        end, count = start + f.delay_ms, k + 1
+    feature = f"frames={count};ms={end};rgb=" + ",".join(map(str, colours.tolist()))
     return n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
@@ -319,8 +324,9 @@ def media_features(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text) as a GIF in a table, reads the table back and describes what it holds.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; feature has the
-    number of frames, their time and the samples' histogram. A null text is empty: 64 zeros. Equal texts give equal
-    values, repeated rows are kept, an empty table gives an empty result, other columns are ignored.
+    number of frames, their time and the colours' histogram, of the timed frames' composed pictures. A null text is empty:
+    64 zeros; a very long one is several frames. Equal texts give equal values, repeated rows are kept, an empty table
+    gives an empty result, other columns, of whatever name, are ignored.
     """
     stored = table(store_payloads(docs), f"{scratch(docs.sparkSession, 'gif')}/media")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

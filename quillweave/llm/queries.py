@@ -26,7 +26,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_pages(_read(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op3_warc": warc.SQL,
     "op8_topk": topk.SQL,
+    "op10_jaccard": jaccard.SQL,
 }

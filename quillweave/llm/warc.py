@@ -350,9 +350,24 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload; a null or empty url is about:blank; white space in urls is escaped. A null
     page_id comes last among equal payloads and gives null. Repeated rows are separate records: the first response,
-    the others revisit it. An empty table gives an empty result. Other columns are ignored.
+    the others revisit it. A very long page is one record. An empty table gives an empty result. Other columns, of
+    whatever name, are ignored.
     """
     spark, home = pages.sparkSession, scratch(pages.sparkSession, "warc")
     arcs = write_arc(pages, f"{home}/arc")
     warcs = convert(spark, f"{home}/arc", arcs, f"{home}/warc", min_bytes)
     return read_warc(spark, f"{home}/warc", warcs)
+
+
+SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT *, array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(hex, i, 1)) - 3, 4) FOR i IN range(1, 41)], '') AS bits FROM p
+), named AS (
+  SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, i, 1)::INTEGER + 8 * substr(bits, i + 1, 1)::INTEGER
+    + 4 * substr(bits, i + 2, 1)::INTEGER + 2 * substr(bits, i + 3, 1)::INTEGER + substr(bits, i + 4, 1)::INTEGER, 1) FOR i IN range(1, 157, 5)], '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first FROM bits
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM named
+"""

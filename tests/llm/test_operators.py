@@ -62,6 +62,11 @@ def test_mixing(spark, odd_docs):
     assert mixing.mix_sources(odd_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_warc", "op10_jaccard"])
+def test_same_rows_as_sql(spark, name):
+    assert oracle.spark_rows(queries.QUERIES[name](spark, SF)) == oracle.duck_rows(oracle.connect(SF), queries.SQL[name])
+
+
 def test_warc(spark):
     rows = [(3, "http://h/a b", "<p>x</p>"), (1, "http://h/c", "<p>x</p>"), (2, None, None), (5, "", ""), (4, "http://h/é", "HTTP/1.1 é\r\n\r\n"), (1, "http://h/c", "<p>x</p>"), (None, "http://h/n", "<p>x</p>"), (9, "u", "z" * 3_000_000)]
     pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
@@ -95,6 +100,17 @@ def test_gif(spark, odd_docs):
         want[(x.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert Counter(tuple(x)[:5] for x in got) == want
     assert len({tuple(x)[2:] for x in got if x.doc_id in (0, 5)}) == 1
+    # Colours of what a viewer shows: each frame is laid over the last one.
+    texts = {x.doc_id: (x.text or "").encode() for x in same_texts(odd_docs)}
+    media = {x.doc_id: bytes(x.media) for x in gif_media.store_payloads(odd_docs).collect()}
+    for x in got:
+        p, shown, total = gif_media.payload(texts[x.doc_id]), bytearray(min(65536, x.payload_bytes)), np.zeros(gif_media.BINS, int)
+        for at in range(0, len(p), 65536):
+            shown[: len(p[at : at + 65536])] = p[at : at + 65536]
+            total += np.bincount(np.frombuffer(shown, np.uint8) // (256 // gif_media.BINS), minlength=gif_media.BINS)
+        n = -(-len(p) // 65536)
+        assert x.feature == f"frames={n};ms={100 * n};rgb=" + ",".join(map(str, total.tolist() * 3))
+        assert (x.media_bytes, x.media_sha256) == (len(media[x.doc_id]), hashlib.sha256(media[x.doc_id]).hexdigest())
     stored = gif_media.store_payloads(odd_docs.where("doc_id = 4"))
     frames = gif_media.frame_table(stored).orderBy("frame").collect()
     assert len(frames) == -(-got[[x.doc_id for x in got].index(4)].payload_bytes // 65536)

@@ -169,6 +169,15 @@ def test_html_names_and_articles():
     assert t(page) == "text"
 
 
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<ul><li>" * 20_000 + "word", "<div>" * 20_000 + "</p>" * 20_000 + "<p>word" * 20_000):
+        start = time.process_time()
+        assert "word" in html_extract.main_text(page)
+        assert time.process_time() - start < 10
+
+
 def test_html_host():
     assert html_extract.host("https://u@A.b:80/x") == "a.b" and html_extract.host(None) == "" and html_extract.host("x/y") == ""
 

@@ -10,11 +10,11 @@ ranks of that length go to which sequences; pieces find their places from their
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,8 @@ SEQUENCE = 2048
 UNIT = 8
 #: Documents in a pattern.
 DEPTH = 3
-#: Bytes of words and ids that a worker remembers, about; beyond it forgets all and starts anew.
-MEMO = 48 << 20
-_STEM = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-def weight(word: bytes) -> int:
-    """Bytes of memory that a word and its ids take, about: two objects, an entry of a dictionary, an id for four letters."""
-    return 200 + 2 * len(word)
+#: Bytes of words and ids that a worker remembers, about, and of one of them beside its letters.
+MEMO, ENTRY = 64 << 20, 130
 
 
 class WordIds:
@@ -53,12 +47,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-        self.held = 0
-        # Matched as they are written, before letters are put in lower case.
-        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s"]
-        self.by_word = True
-        self.stems = True
+        self.held, self.by_word = 0, True
+        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s", "a\u3000b \u0301 \ufeff c"]
         said, got = self.whole(probes), self.ids([x.encode() for x in probes])
         self.by_word, self.memo, self.held = said == got, {}, 0
 
@@ -66,46 +56,30 @@ class WordIds:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Of ASCII words the library sees lower-case letters once, whatever their case and the marks after them.
-
-        Words that hold a special token, in whatever case, it sees as they are.
-        """
-        split: dict[bytes, tuple[bytes, ...]] = {}
-        all_low = b" ".join(words).lower()
-        special = [x for x in self.special if x in all_low]
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            if special and any(x in low for x in special):
-                split[w] = (w,)
-                continue
-            m = _STEM.fullmatch(low)
-            split[w] = (m[1], m[2]) if m else (low,)
-        new = list({x for parts in split.values() for x in parts if x not in self.memo})
-        size = sum(map(weight, split)) + sum(map(weight, new))
-        if self.held + size > MEMO:
-            self.memo.clear()
-            self.held = 0
-            new = list({x for parts in split.values() for x in parts})
-        self.held += size
-        self.memo.update(zip(new, self.whole([x.decode() for x in new])))
-        for w, parts in split.items():
-            self.memo[w] = b"".join([self.memo[x] for x in parts])
+        found = self.tokenizer.encode([x.decode() for x in words], is_pretokenized=True, add_special_tokens=False)
+        if None in (of := found.word_ids):  # ids that the library gives to no word
+            self.memo.update(zip(words, self.whole([x.decode() for x in words])))
+            return
+        ends = 4 * np.searchsorted(np.array(of, np.int64), np.arange(len(words)), side="right")
+        raw, start = np.array(found.ids, "<u4").tobytes(), 0
+        for w, end in zip(words, ends.tolist()):
+            self.memo[w] = raw[start:end]
+            start = end
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self.whole([x.decode() for x in texts])
-        out = []
-        for text in texts:
-            words = text.split()
-            found = list(map(self.memo.get, words))
-            if None in found:
-                self.learn([w for w, x in zip(words, found) if x is None])
-                found = list(map(self.memo.get, words))
-                if None in found:  # all was forgotten on the way
-                    self.learn(words)
-                    found = [self.memo[w] for w in words]
-            out.append(b"".join(found))
-        return out
+        rows = [x.split() for x in texts]
+        seen = set(chain.from_iterable(rows))
+        if new := list(seen - self.memo.keys()):
+            size = sum(map(len, new)) + ENTRY * len(new)
+            if self.held + size > MEMO:  # only what is needed now stays
+                self.memo = {x: self.memo[x] for x in seen & self.memo.keys()}
+                self.held = sum(map(len, self.memo)) + ENTRY * len(self.memo)
+            self.held += size
+            self.learn(new)
+        get = self.memo.__getitem__
+        return [b"".join(map(get, x)) for x in rows]
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -298,8 +272,8 @@ def pack(docs: DataFrame, path: str, most: int = SEQUENCE, end: int = 0, unit: i
 
     A document is its text's ids without special tokens, then the id end; longer ones are cut every most ids. keep_ids
     adds the piece's ids (binary, little-endian unsigned 32-bit), from which sequences are put together. A null or
-    empty text is the end id alone; repeated rows are packed each; an empty table gives an empty result; other columns
-    are ignored. The driver gets the histogram (at most most rows) and makes a plan bounded by it.
+    empty text is the end id alone, a very long one many pieces; repeated rows are packed each; an empty table gives an
+    empty result; other columns, of whatever name, are ignored. The driver gets the histogram (at most most rows) and makes a plan bounded by it.
     """
     spark = docs.sparkSession
     home = scratch(spark, "pack")

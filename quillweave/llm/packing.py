@@ -31,7 +31,7 @@ UNIT = 8
 #: Documents in a pattern.
 DEPTH = 3
 #: Bytes of words and ids that a worker remembers, about, and of one of them beside its letters.
-MEMO, ENTRY = 64 << 20, 130
+MEMO, ENTRY = 40 << 20, 130
 
 
 class WordIds:

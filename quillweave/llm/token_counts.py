@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow, emit, placed, scratch, slices, table, utf8
 
 #: Bytes of parts that a worker remembers, about; beyond it forgets all and starts anew.
-MEMO = 64 << 20
+MEMO = 48 << 20
 _PART = re.compile(rb" +[^ \n]*|\n[^ \n]*")
 
 

@@ -14,31 +14,33 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow, scratch, slices, table, utf8
+from .common import BATCH, arrow, scratch, slices, table, utf8
 
 SEQUENCE = 2048
 #: Tokens of a unit in which patterns are enumerated.
 UNIT = 8
 #: Documents in a pattern.
 DEPTH = 3
-#: Bytes of words and ids that a worker remembers, about, and of one of them beside its letters.
-MEMO, ENTRY = 40 << 20, 130
+#: Bytes of words and ids that a worker remembers.
+MEMO = 24 << 20
+#: A word that is put between others to find where their ids end, and how many of them make a text.
+MARK, JOINED = "\x01", 128
 
 
 class WordIds:
     """The ids of texts, little-endian unsigned 32-bit, as a tokenizers file gives them, looked up word by word.
 
     Where the file's tokenizer splits at ASCII white space, a text's ids are those of its words; this is tried on
-    probes, and if they differ texts are encoded whole.
+    probes, and if they differ texts are encoded whole. Words of many texts are told apart and looked up as columns.
     """
 
     def __init__(self, path: str):
@@ -46,40 +48,64 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.held, self.by_word = 0, True
-        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s", "a\u3000b \u0301 \ufeff c"]
+        self.forget()
+        # Only a word that holds the mark's byte can have an id that stands for it.
+        mark = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False)
+        at = [i for i, (x, y) in zip(mark.ids, mark.offsets) if MARK in f"a {MARK} b"[x:y]]
+        self.mark = at[0] if len(at) == 1 and len(mark.ids) == 3 else None
+        self.by_word = True
+        probes = ["", " ", "a b", "A  b\n\nc's", " don't\tSTOP, it's \x0b1st\x0c2nd\r\n", "é é ́x", "<|endoftext|> x<|startoftext|>y <|end", "<|ENDOFTEXT|> x<|EndOfText|>y <|Startoftext|>.", "x'Re 12 a1b2 ...", "Ünï,cödé! word.'s", "a\u3000b \u0301 \ufeff c", "\x01 a\x01b \x01\x01 c"]
         said, got = self.whole(probes), self.ids([x.encode() for x in probes])
-        self.by_word, self.memo, self.held = said == got, {}, 0
+        self.by_word = said == got
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.known = pa.array([""]), pa.array([b""], pa.large_binary())
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode([x.decode() for x in words], is_pretokenized=True, add_special_tokens=False)
-        if None in (of := found.word_ids):  # ids that the library gives to no word
-            self.memo.update(zip(words, self.whole([x.decode() for x in words])))
-            return
-        ends = 4 * np.searchsorted(np.array(of, np.int64), np.arange(len(words)), side="right")
-        raw, start = np.array(found.ids, "<u4").tobytes(), 0
-        for w, end in zip(words, ends.tolist()):
-            self.memo[w] = raw[start:end]
-            start = end
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words: many are encoded as one text, with marks between them."""
+        out: list[bytes] = []
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            text = f" {MARK} ".join(some)
+            if self.mark is None or text.count(MARK) >= len(some):
+                out += self.whole(some)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)])]
+        return out
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of different words are known."""
+        at = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        miss = at < 0
+        if miss.any():
+            new = words.filter(pa.array(miss))
+            if self.words.nbytes + self.known.nbytes + 3 * new.nbytes > MEMO:  # only what is needed now stays
+                keep = np.concatenate([[0], at[~miss]])
+                at[~miss] = np.arange(1, len(keep))
+                self.words, self.known = self.words.take(pa.array(keep)), self.known.take(pa.array(keep))
+            at[miss] = len(self.words) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, pa.array(self.learn(new.to_pylist()), pa.large_binary())])
+            self.words = pa.concat_arrays([self.words, new])
+        return at
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self.whole([x.decode() for x in texts])
-        rows = [x.split() for x in texts]
-        seen = set(chain.from_iterable(rows))
-        if new := list(seen - self.memo.keys()):
-            size = sum(map(len, new)) + ENTRY * len(new)
-            if self.held + size > MEMO:  # only what is needed now stays
-                self.memo = {x: self.memo[x] for x in seen & self.memo.keys()}
-                self.held = sum(map(len, self.memo)) + ENTRY * len(self.memo)
-            self.held += size
-            self.learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) for x in rows]
+        rows = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = rows.values.dictionary_encode()
+        at = self.places(words.dictionary)
+        found = self.known.take(pa.array(at[words.indices.to_numpy()]))
+        data = found.buffers()[2]
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1][rows.offsets.to_numpy()].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(raw[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -99,7 +125,7 @@ def _pieces(path: str, most: int, end: int, keep: bool):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             docs = batch.column("doc_id")
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, BATCH):
                 rows, kept = [], []
                 for doc, ids in zip(docs.slice(i, j - i).to_pylist(), code.ids([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])):
                     ids += tail

@@ -60,6 +60,15 @@ def test_memory_of_words_is_bounded(monkeypatch):
     assert w.ids([t.encode() for t in texts]) == w.whole(texts)
 
 
+def test_marks_inside_words():
+    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["\x01", "a \x01 b", "x\x01y z", " \x01\x01 ", " ".join(f"w{i}" for i in range(1000)) + " \x01. end"]
+    assert w.mark is not None and w.ids([t.encode() for t in texts]) == w.whole(texts)
+    w.mark = None  # a tokenizer without a mark of one id
+    w.forget()
+    assert w.ids([t.encode() for t in texts]) == w.whole(texts)
+
+
 def test_targets():
     assert mixing.targets([]) == []
     got = dict(mixing.targets([("b", 100), ("a", 100), (None, 100), ("c", 100)]))

@@ -80,19 +80,26 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def _numbered(docs: DataFrame) -> bool:
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def placed(docs: DataFrame, home: str) -> tuple[DataFrame, str, str]:
     """docs and two more columns, their names given: the file in which a row lies, and the row's number in it.
 
-    A frame that isn't just a table read from files is written to one first.
+    A frame that isn't just a table read from Parquet files, whose rows alone are numbered, is written to one first.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    if not _numbered(docs):
         docs = table(docs, f"{home}/rows")
     file, row = fresh(docs.columns, "file", "row")
     where = docs.metadataColumn("_metadata")
     return docs.select("*", where["file_path"].alias(file), where["row_index"].alias(row)), file, row
 
 
-def _emit(path: str, width: int):
+def _emit(path: str, width: int, coded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
         from pyarrow import fs
@@ -115,14 +122,20 @@ def _emit(path: str, width: int):
                 if len(rows):
                     k = np.minimum(np.searchsorted(rows, at[i:j]), len(rows) - 1)
                     times[i:j] = np.where(rows[k] == at[i:j], n[k], 0)
-            yield batch.select(range(width)).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            if coded:
+                at = np.flatnonzero(times)
+                kept = batch.select(range(width)).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(times[at])], [*kept.schema.names, "n"])
+            else:
+                yield batch.select(range(width)).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
     return run
 
 
-def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str) -> DataFrame:
+def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str, code: str | None = None) -> DataFrame:
     """The columns of rows but file and row, each row as often as counts (file, row, n) says, 0 if not named there.
 
+    With a name for n, rows that are named come once, with their n as a column of that name.
     rows come from placed. What is written, and read by the tasks that scan a file, are the counts, in parts of a file
     of at most 2**PART rows; the rows stay where they lie.
     """
@@ -134,16 +147,33 @@ def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str) ->
     names = [c for c in rows.columns if c not in (file, row)]
     at, of = F.col(f"`{row}`"), F.md5(F.col(f"`{file}`").cast("binary"))
     cells = rows.select(*[F.col(f"`{c}`") for c in names], F.concat_ws("-", of, F.shiftright(at, PART)).alias(file), at.alias(row))
-    return arrow(cells, _emit(path, len(names)), rows.drop(file, row).schema)
+    schema = rows.drop(file, row).schema
+    return arrow(cells, _emit(path, len(names), code is not None), schema.add(code, "long") if code else schema)
+
+
+#: Schemes of Spark that pyarrow knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def located(uri: str) -> str:
+    """A folder's uri as pyarrow takes it; folders of a mounted store are files of the machine."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return "/" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}" if rest.startswith("//") else os.path.abspath(uri)
 
 
 def filesystem(uri: str):
-    """(file system, path) for a folder that executors share, local or remote."""
+    """(file system, path) for a folder that executors share: local, mounted, s3, gs, abfs, or hdfs and viewfs.
+
+    The last two need libhdfs and CLASSPATH on every worker, as pyarrow documents.
+    """
     from pyarrow import fs
 
-    if "://" not in uri and uri.startswith("file:"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+    where = located(uri)
+    return fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, html_extract, jaccard, langid, mixing, packing, quality, token_counts, topk, warc
+from . import alignment, gif_media, hard_negatives, html_extract, jaccard, langid, mixing, packing, quality, secrets, token_counts, topk, warc
 from .common import scratch
 
 
@@ -60,6 +60,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"), k=3, num=90)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(_read(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, hard_negatives.divisible())
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_read(spark, sf_dir, "documents"), *paths)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger starts empty in each run: what is measured is a first scan of the corpus."""
+    return secrets.scan(_read(spark, sf_dir, "documents"), scratch(spark, "ledger")).drop("blob")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
     "op10_jaccard": op10_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_alignment": op12_alignment,
+    "op13_secrets": op13_secrets,
 }
 
 SQL: dict[str, str] = {
@@ -78,4 +96,6 @@ SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op8_topk": topk.SQL,
     "op10_jaccard": jaccard.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_secrets": secrets.SQL,
 }

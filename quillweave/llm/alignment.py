@@ -33,9 +33,11 @@ from .common import arrow, filesystem, scratch, slices, table, utf8
 #: Bytes of parts that a worker remembers, about; beyond it forgets all and starts anew.
 MEMO = 64 << 20
 #: Pairs that a worker holds before it counts them, and distinct ones before it sends its counts.
-PAIRS, HELD = 1 << 20, 1 << 22
+PAIRS, HELD = 1 << 19, 1 << 20
 #: Pairs of tokens of a group from which on they are summed by id first.
 LARGE = 4096
+#: Parts that are encoded at a time as one text.
+JOINED = 128
 #: Shards of which a worker holds the bytes where they can't be mapped.
 LOADED = 8
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -47,9 +49,9 @@ class Part(NamedTuple):
     n_b: int
     n_groups: int
     n_links: int
-    groups: str
-    keys: bytes  # distinct pairs, int64
-    times: bytes  # how often each is linked, int64
+    groups: bytes
+    keys: bytes  # pairs, int64; of a text distinct and sorted
+    times: bytes  # how often each is linked, int64; nothing if once each
 
 
 def _alphabet() -> dict[str, int]:
@@ -75,74 +77,96 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
-        self.comma, self.bar, self.stop = (np.array([f"{i}{x}" for i in range(max(len(pieces), len(self.bytes_a)))], object) for x in ",|;")
-        self.memo: dict[str, Part | None] = {}
+        said = [str(i).encode() for i in range(max(len(pieces), len(self.bytes_a)))]
+        self.digits = np.array([len(x) for x in said])
+        width = int(self.digits.max()) + 1
+        self.shown = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in said), np.uint8).reshape(-1, width)
+        self.memo: dict[str, tuple | None] = {}
         self.held = 0
         self.space = self.b.piece_to_id("▁")
         self.by_part = not any("▁" in p.lstrip("▁") or " " in p for p in pieces)
         probes = ["a b", " a", "a  b ", "\na \nb\t c  d 　e  ", "x's 12 3a don't , .", "<|endoftext|> é<|endoftext|>", "ﬁ １ Ω 😀 ́ ́x", "</s> <0x41> <unk>", " ", "  "]
         self.by_part = self.by_part and all(self.text(x) == self.whole(x) for x in probes)
 
-    def made(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Part | None]:
-        """Of stretches of text, their first spaces among them, and their tokens; None where the tokens' bytes aren't the text's."""
-        raw = [x.encode() for x in texts]
-        said_a, said_b = ([b"".join([table[i] for i in x]) for x in ids] for table, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        good = [i for i, (x, y, z) in enumerate(zip(raw, said_a, said_b)) if x == y == z and x]
-        out: list[Part | None] = [None] * len(texts)
-        if good:
-            for i, x in zip(good, self._groups([a[i] for i in good], [b[i] for i in good], np.cumsum([len(raw[i]) for i in good]))):
-                out[i] = x
-        return out
+    def covered(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the bytes of the tokens are the text's."""
+        said = text.encode()
+        return b"".join([self.bytes_a[i] for i in a]) == said and b"".join([self.bytes_b[i] for i in b]) == said
 
-    def _groups(self, a: list[list[int]], b: list[list[int]], ends: np.ndarray) -> list[Part]:
-        """Of stretches that lie one after the other and end at these bytes, and that their tokens cover."""
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+    def groups(self, ids_a: np.ndarray, ids_b: np.ndarray, ends: np.ndarray) -> list[tuple] | None:
+        """Parts that lie one after the other, end at these bytes, and are covered by tokens; None if tokens span an end."""
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        home = np.searchsorted(both, ends)
+        if not np.array_equal(both[np.minimum(home, len(both) - 1)], ends):
+            return None
         in_a, in_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         n_a, n_b = np.bincount(in_a, minlength=len(both)), np.bincount(in_b, minlength=len(both))
-        first_b, home = np.cumsum(n_b) - n_b, np.searchsorted(ends, both)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        last = home + 1  # the groups of a part end before it
 
         # Large groups, of few distinct ids, are summed before they are paired.
-        large, found = n_a * n_b > LARGE, []
+        large, extra = n_a * n_b > LARGE, {}
         for g in np.flatnonzero(large).tolist():
-            (x, m), (y, n) = (np.unique(ids[of == g], return_counts=True) for ids, of in ((ids_a, in_a), (ids_b, in_b)))
-            found.append((np.full(len(x) * len(y), home[g]), (x[:, None] << 32 | y).ravel(), (m[:, None] * n).ravel()))
+            (x, m), (y, n) = (np.unique(ids[at[g] : at[g] + k[g]], return_counts=True) for ids, at, k in ((ids_a, first_a, n_a), (ids_b, first_b, n_b)))
+            extra.setdefault(int(np.searchsorted(last, g, side="right")), []).append(((x[:, None] << 32 | y).ravel(), (m[:, None] * n).ravel()))
         reach = np.where(large, 0, n_b)[in_a]
         at_a = np.repeat(np.arange(len(ids_a)), reach)
         at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(reach) - reach, reach) + first_b[in_a[at_a]]
-        found.append((home[in_a[at_a]], ids_a[at_a] << 32 | ids_b[at_b], np.ones(len(at_a), np.int64)))
-        of, keys, times = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((keys, of))
-        of, keys, times = of[order], keys[order], times[order]
-        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])])
-        of, keys, times = of[new], keys[new], np.add.reduceat(times, new)
+        raw = (ids_a[at_a] << 32 | ids_b[at_b]).tobytes()
+
+        def upto(n: np.ndarray, unit: int = 1) -> list[int]:
+            return [0, *(unit * np.cumsum(n)[home]).tolist()]
+
+        edges = upto(np.bincount(in_a, reach, len(both)).astype(np.int64), 8)
+        keys, times = [raw[i:j] for i, j in zip(edges[:-1], edges[1:])], [b""] * len(ends)
+        for i, found in extra.items():
+            x, n = zip(*found, (np.frombuffer(keys[i], np.int64), np.ones(len(keys[i]) // 8, np.int64)))
+            keys[i], times[i] = np.concatenate(x).tobytes(), np.concatenate(n).tobytes()
 
         # A's tokens of a group, then B's, each with what follows it.
-        shown = np.empty(len(ids_a) + len(ids_b), object)
-        last_a, last_b = np.r_[in_a[1:] != in_a[:-1], True], np.r_[in_b[1:] != in_b[:-1], True]
-        shown[np.arange(len(ids_a)) + first_b[in_a]] = np.where(last_a, self.bar[ids_a], self.comma[ids_a])
-        shown[np.arange(len(ids_b)) + np.cumsum(n_a)[in_b]] = np.where(last_b, self.stop[ids_b], self.comma[ids_b])
-        shown = shown.tolist()
-        groups = np.bincount(home, minlength=len(ends)).tolist()
-        links = np.bincount(home, n_a * n_b, len(ends)).astype(np.int64).tolist()
-        edges = [0, *np.searchsorted(of, np.arange(len(ends)), side="right").tolist()]
-        out, at = [], 0
-        for i, (x, y) in enumerate(zip(a, b)):
-            upto = at + len(x) + len(y)
-            here = slice(edges[i], edges[i + 1])
-            out.append(Part(len(x), len(y), groups[i], links[i], "".join(shown[at:upto])[:-1], keys[here].tobytes(), times[here].tobytes()))
-            at = upto
-        return out
+        ids = np.empty(len(ids_a) + len(ids_b), np.int64)
+        mark = np.full(len(ids), ord(","), np.uint8)
+        place_a, place_b = np.arange(len(ids_a)) + first_b[in_a], np.arange(len(ids_b)) + (first_a + n_a)[in_b]
+        ids[place_a], ids[place_b] = ids_a, ids_b
+        ends_of = np.cumsum(n_a + n_b)
+        mark[ends_of - n_b - 1], mark[ends_of - 1] = ord("|"), ord(";")
+        shown, size = self.shown[ids], self.digits[ids]
+        shown[np.arange(len(ids)), size] = mark
+        shown = shown[shown != 0].tobytes()
+        edges = [0, *np.cumsum(size + 1)[ends_of[home] - 1].tolist()]
+        said = [shown[i : j - 1] for i, j in zip(edges[:-1], edges[1:])]
+        counts = (np.diff(upto(x)).tolist() for x in (n_a, n_b, np.ones(len(both), np.int64), n_a * n_b))
+        return list(zip(*counts, said, keys, times))
 
     def encoded_b(self, parts: list[str]) -> list[list[int]]:
         """B puts a space before what it encodes, but not before nothing."""
         return [x if p != " " else [self.space] for p, x in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1))]
 
-    def learn(self, parts: list[str]) -> dict[str, Part | None]:
-        a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        new = dict(zip(parts, self.made(parts, [x.ids for x in a], self.encoded_b(parts))))
-        size = sum(300 + 2 * len(p) + (len(x.groups) + 2 * len(x.keys) if x else 0) for p, x in new.items())
+    def made(self, text: str) -> tuple | None:
+        """Of a text, its first space among it; None where the tokens' bytes aren't its own."""
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.encoded_b([text])[0]
+        if not self.covered(text, a, b):
+            return None
+        return self.groups(np.array(a), np.array(b), np.array([len(text.encode())]))[0]
+
+    def learn(self, parts: list[str]) -> dict[str, tuple | None]:
+        """Parts are encoded many at a time, one after the other, except those that end in white space."""
+        new = {p: self.made(p) for p in parts if p[-1].isspace()}
+        plain = [p for p in parts if not p[-1].isspace()]
+        some = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        texts = ["".join(x) for x in some]
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.encoded_b(texts)
+        good = [i for i, x in enumerate(texts) if self.covered(x, a[i], b[i])]
+        found = None
+        if good:
+            sizes = np.cumsum([len(p.encode()) for i in good for p in some[i]])
+            found = self.groups(*(np.fromiter(chain.from_iterable(x[i] for i in good), np.int64) for x in (a, b)), sizes)
+        if found is not None:
+            new.update(zip((p for i in good for p in some[i]), found))
+        new.update((p, self.made(p)) for p in plain if p not in new)
+        size = sum(420 + 2 * len(p) + (len(x[4]) + len(x[5]) if x else 0) for p, x in new.items())
         if self.held + size > MEMO:
             self.memo, self.held = {}, 0
         self.held += size
@@ -152,8 +176,7 @@ class Aligner:
     def whole(self, text: str) -> Part | None:
         if not text or "▁" in text:  # a piece's mark of a space, whose bytes are then others
             return None
-        text = " " + text
-        return self.made([text], [self.a.encode(text, add_special_tokens=False).ids], self.encoded_b([text]))[0]
+        return self.joined([self.made(" " + text)])
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -178,16 +201,19 @@ class Aligner:
         return [self.joined([known[p] for p in parts]) if parts else None for parts in cut]
 
     @staticmethod
-    def joined(found: list[Part | None]) -> Part | None:
+    def joined(found: list[tuple | None]) -> Part | None:
         if None in found:
             return None
-        if len(found) == 1:
-            return found[0]
         a, b, groups, links, shown, keys, times = zip(*found)
-        pairs, at = np.unique(np.frombuffer(b"".join(keys), np.int64), return_inverse=True)
-        n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, at, np.frombuffer(b"".join(times), np.int64))
-        return Part(sum(a), sum(b), sum(groups), sum(links), ";".join(shown), pairs.tobytes(), n.tobytes())
+        pairs = np.frombuffer(b"".join(keys), np.int64)
+        if any(times):
+            often = np.concatenate([np.frombuffer(t, np.int64) if t else np.ones(len(k) // 8, np.int64) for k, t in zip(keys, times)])
+            pairs, at = np.unique(pairs, return_inverse=True)
+            n = np.zeros(len(pairs), np.int64)
+            np.add.at(n, at, often)
+        else:
+            pairs, n = np.unique(pairs, return_counts=True)
+        return Part(sum(a), sum(b), sum(groups), sum(links), b";".join(shown), pairs.tobytes(), n.tobytes())
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -211,7 +237,7 @@ def _link(path_a: str, path_b: str):
                 raw, at = data[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
                 found = align([raw[a:b].decode() for a, b in zip(at[:-1], at[1:])])
                 counts = [pa.array([getattr(x, c) if x else 0 for x in found], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-                shown = pa.array([hashlib.sha256(x.groups.encode()).hexdigest() if x else "" for x in found], pa.string())
+                shown = pa.array([hashlib.sha256(x.groups).hexdigest() if x else "" for x in found], pa.string())
                 pairs = [pa.array([getattr(x, c) if x else b"" for x in found], pa.binary()) for c in ("keys", "times")]
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), *counts, shown, *pairs], [c.split()[0] for c in _LINKED.split(", ")])
 
@@ -225,6 +251,7 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """pair, n: in how many of a task's documents a pair occurs; at most HELD distinct pairs are held."""
+    _ALIGNERS.clear()  # what the worker remembers of texts has had its use
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     waiting, size = [], 0
 

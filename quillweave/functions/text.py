@@ -1,13 +1,11 @@
-"""HTML to text, links and words, as column expressions."""
+"""Words of texts, as column expressions."""
 
 from __future__ import annotations
 
-from html import unescape
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .html import html_links, html_text  # noqa: F401
 
 # The stop words that are never indexed.
 STOP_WORDS = (
@@ -18,52 +16,6 @@ STOP_WORDS = (
     "how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
-# Elements whose start and end separate words, as HTML parsers lay out text; others don't.
-BLOCKS = (
-    "html head body frameset script noscript style meta link title frame noframes section nav aside hgroup header footer p h1 h2 h3 h4 h5 h6 "
-    "ul ol pre div blockquote hr address figure figcaption form fieldset ins del dl dt dd li table caption thead tfoot tbody colgroup col tr "
-    "th td video audio canvas details menu plaintext template article main svg math center br"
-).split()
-#: What isn't text: comments, scripts and styles, each to the page's end where it isn't closed.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*(?:>|\z)"""
-BLOCK_TAG = rf"(?i)</?(?:{'|'.join(BLOCKS)})(?:[\s/]{_REST}|>|\z)"
-TAG = rf"(?i)</?[a-z]{_REST}|<[!?][^>]*(?:>|\z)"
-#: An a element with the value of its href, in quotes or not.
-LINK = r"""(?i)<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-QUOTED = r"""^(?:"([^"]*)"|'([^']*)')\z"""
-#: Character references that are decoded in place; texts that hold others go to Python in Arrow batches.
-COMMON = {"quot": '"', "lt": "<", "gt": ">", "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}
-_OTHER = rf"&(?!(?:{'|'.join(COMMON)});)[#a-zA-Z]"
-
-
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else unescape(x) for x in text], dtype=object)
-
-
-def decoded(text: Column | str) -> Column:
-    """The text with its character references decoded, once."""
-    c = F.col(text) if isinstance(text, str) else text
-    plain = c
-    for name, char in COMMON.items():
-        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
-    other = c.rlike(_OTHER)
-    return F.when(other, _unescape(F.when(other, c))).otherwise(plain)
-
-
-def html_text(html: Column | str) -> Column:
-    """Text of a page: what is hidden is dropped, tags of blocks become a space, others vanish, references are decoded."""
-    c = F.col(html) if isinstance(html, str) else html
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, HIDDEN, " "), BLOCK_TAG, " "), TAG, "")
-    return F.translate(decoded(c), "\u00a0", " ")
-
-
-def html_links(html: Column | str) -> Column:
-    """Array of the href of every a element, in order, with repeats; references in them aren't decoded yet."""
-    c = F.regexp_replace(F.col(html) if isinstance(html, str) else html, HIDDEN, " ")
-    return F.transform(F.regexp_extract_all(c, F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, QUOTED, "$1$2"))
-
 
 def split_words(text: Column | str) -> Column:
     """Array of words at white space, with the empty first one that leading white space gives."""

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import robots as R
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.html import parsed
 from ..tables import stored, workspace
 
 MEGABYTE = 1 << 20
@@ -57,24 +58,29 @@ def robots_filter(pages: DataFrame, robots: DataFrame, agent: str = R.AGENT) ->
     return joined.where(good).select(*pages.columns)
 
 
+def _texts(pages: DataFrame, html: str | None, text: str | None) -> DataFrame:
+    return pages.select("url", F.col(text).alias("text")) if text else parsed(pages, html, links=False)
+
+
 def hits(pages: DataFrame, html: str | None = "html", text: str | None = None, stop_words=X.STOP_WORDS) -> DataFrame:
-    """word, url for each occurrence of an indexed word."""
-    body = F.col(text) if text else X.html_text(html)
+    """word, url for each occurrence of an indexed word; text names a column that holds the pages' text already."""
     # The outer form, or the plan makes the words a second time to leave out pages without any.
-    return pages.select("url", F.explode_outer(X.words(body, stop_words)).alias("word")).select("word", "url").where(F.col("word").isNotNull())
+    return _texts(pages, html, text).select(F.explode_outer(X.words("text", stop_words)).alias("word"), "url").where(F.col("word").isNotNull())
 
 
-def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """src, dst of each link, under normal urls, with repeats; links that can't be parsed are dropped."""
-    found = pages.select(F.col("url").alias("src"), F.explode_outer(X.html_links(html)).alias("href")).where(F.col("href").isNotNull())
-    found = found.select("src", U.resolve_any("src", X.decoded("href")).alias("dst"))
-    return found.select("src", U.normalize_url("dst").alias("dst")).where(F.col("dst").isNotNull())
+def links(pages: DataFrame, html: str | None = "html", found: str | None = None) -> DataFrame:
+    """src, dst of each link, under normal urls, with repeats; links that can't be parsed are dropped.
+
+    found names a column that holds the pages' absolute links already.
+    """
+    rows = pages.select("url", F.col(found).alias("links")) if found else parsed(pages, html, text=False)
+    ends = rows.select(F.col("url").alias("src"), F.explode_outer("links").alias("dst")).where(F.col("dst").isNotNull())
+    return ends.select("src", U.normalize_url("dst").alias("dst")).where(F.col("dst").isNotNull())
 
 
 def word_pages(pages: DataFrame, html: str | None = "html", text: str | None = None, stop_words=X.STOP_WORDS) -> DataFrame:
     """word, url once for each word of each row of pages: where a url has one row, the hits without repeats."""
-    body = F.col(text) if text else X.html_text(html)
-    return pages.select("url", F.explode_outer(F.array_distinct(X.words(body, stop_words))).alias("word")).select("word", "url").where(F.col("word").isNotNull())
+    return _texts(pages, html, text).select(F.explode_outer(F.array_distinct(X.words("text", stop_words))).alias("word"), "url").where(F.col("word").isNotNull())
 
 
 def next_fetch(log: DataFrame, robots: DataFrame, agent: str = R.AGENT) -> DataFrame:

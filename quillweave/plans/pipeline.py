@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import parsed
 from ..operators import crawl, graph, scoring
 from ..operators.index import Index
 from ..tables import stored, workspace
@@ -17,10 +18,10 @@ def page_graph(pages: DataFrame) -> DataFrame:
 
 def index_of_pages(pages: DataFrame, n: int | None = scoring.CORPUS, variant: str = "smooth_inside") -> Index:
     """The index of pages (url, html): normal urls, one of each content. n None: as many documents as the index has."""
-    # Read twice, for words and for links: written once, with the columns that they need.
+    # A page's text and links come from one pass over it, and are read apart.
     kept = crawl.content_dedupe(crawl.normalized(pages.select("url", "html")))
-    kept = stored(kept, f"{workspace(pages.sparkSession, 'pages')}/kept")
-    return build(crawl.hits(kept), crawl.links(kept), n, variant)
+    kept = stored(parsed(kept), f"{workspace(pages.sparkSession, 'pages')}/parsed")
+    return build(crawl.hits(kept, text="text"), crawl.links(kept, found="links"), n, variant)
 
 
 def build(hits: DataFrame, links: DataFrame, n: int | None = scoring.CORPUS, variant: str = "smooth_inside") -> Index:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import codecs, text, urls
+from .functions import codecs, html, text, urls
 from .functions.robots import AGENT
 from .operators import crawl, graph, index, jobs, repository, scoring, search
 from .plans import pipeline
@@ -78,15 +78,25 @@ def _lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+# The pages' text and links by expressions of their own: what isn't text, tags of blocks, other tags, hrefs, references.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*(?:>|\z)"""
+_BLOCK_TAG = rf"(?i)</?(?:{'|'.join(sorted(html.BLOCKS))})(?:[\s/]{_REST}|>|\z)"
+_TAG = rf"(?i)</?[a-z]{_REST}|<[!?][^>]*(?:>|\z)"
+_LINK = r"""(?i)<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_QUOTED = r"""^(?:"([^"]*)"|'([^']*)')\z"""
+_COMMON = {"quot": '"', "lt": "<", "gt": ">", "nbsp": "\u00a0", "copy": "©", "middot": "·", "amp": "&"}
+
+
 def _decoded(x: str) -> str:
     """The references that the pages hold."""
-    for name, char in text.COMMON.items():
+    for name, char in _COMMON.items():
         x = f"replace({x}, '&{name};', {_lit(char)})" if name != "amp" else f"regexp_replace({x}, '&amp;?', '&', 'g')"
     return x
 
 
-_SHOWN = f"regexp_replace(html, {_lit(text.HIDDEN)}, ' ', 'g')"
-_TEXT = f"replace({_decoded(f"regexp_replace(regexp_replace({_SHOWN}, {_lit(text.BLOCK_TAG)}, ' ', 'g'), {_lit(text.TAG)}, '', 'g')")}, chr(160), ' ')"
+_SHOWN = f"regexp_replace(html, {_lit(_HIDDEN)}, ' ', 'g')"
+_TEXT = f"replace({_decoded(f"regexp_replace(regexp_replace({_SHOWN}, {_lit(_BLOCK_TAG)}, ' ', 'g'), {_lit(_TAG)}, '', 'g')")}, chr(160), ' ')"
 
 
 def _hits_sql(rows: str) -> str:
@@ -98,9 +108,9 @@ HITS = f"{KEPT}, {_hits_sql(f'SELECT url, {_TEXT} AS body FROM kept')}"
 DOC_HITS = _hits_sql("SELECT doc_id::VARCHAR AS url, text AS body FROM documents")
 TF = f"{HITS}, tf AS (SELECT word, url, ln(1 + count(*)) AS tf FROM hits GROUP BY word, url), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)"
 DOC_TF = f"{DOC_HITS}, tf AS (SELECT word, url, ln(1 + count(*)) AS tf FROM hits GROUP BY word, url), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word)"
-_HREF = _decoded(f"regexp_replace(quoted, {_lit(text.QUOTED)}, '\\1\\2')")
+_HREF = _decoded(f"regexp_replace(quoted, {_lit(_QUOTED)}, '\\1\\2')")
 # Hrefs relative to a page's folder have no form here: the pages have none.
-LINKS = f"""{KEPT}, quotes AS (SELECT url AS src, unnest(regexp_extract_all({_SHOWN}, {_lit(text.LINK)}, 1)) AS quoted FROM kept),
+LINKS = f"""{KEPT}, quotes AS (SELECT url AS src, unnest(regexp_extract_all({_SHOWN}, {_lit(_LINK)}, 1)) AS quoted FROM kept),
   found AS (SELECT src, {_HREF} AS href FROM quotes),
   absolute AS (SELECT src, CASE WHEN regexp_matches(trim(href), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(href)
     WHEN starts_with(trim(href), '//') THEN regexp_extract(src, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || trim(href)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What workers on this machine import the package from.
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package; on a cluster it is installed or sent by --py-files."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillweave.functions import codecs, robots, text, urls
+from quillweave.functions.html import parsed
 from quillweave.operators import crawl, graph, index, jobs, repository, scoring, search
 from quillweave.plans import pipeline
 from quillweave.sources import textio
@@ -233,3 +234,27 @@ def test_compact_paths(spark):
     specs = {'/a [text() = "x + y"]': '/a[text()="x + y"]', "": "", ' a+"b c"+"d ': ' a+"bc"+"d', '" x" y "z ': '"x" y "z', '"': '"'}
     got = spark.createDataFrame([(x,) for x in specs], "s string").select("s", codecs.xpath_compact("s").alias("c")).collect()
     assert {x.s: x.c for x in got} == specs
+
+
+def test_pages_are_read_once(spark):
+    """Text and links come from one node of Python; odd tags are taken as a parser takes them."""
+    long = "x" * 200_000
+    rows = [
+        ("http://h/a/b", f'<a href="data:{long}">d</a><p title="<b>no</b>">t</p>&lt;<a href=" c?x=1&amp;y ">c</a><a name=q>n</a>'),
+        ("http://h/q", 'a<p title="never closed>b <i>c</i>'),
+        ("http://h/e", ""),
+        ("http://h/n", None),
+        (None, '<a href="/x">1</a><a href="http://z/">2</a>'),
+        ("http://h/f", "<b" * 3000 + "</script x><script-x>gone</script>end<!>. <!-- x --!> y -->z"),
+    ]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {x.url: x for x in parsed(pages).collect()}
+    assert got["http://h/a/b"].text.split() == ["d", "t", "<cn"] and got["http://h/a/b"].links == [f"data:{long}", "http://h/a/c?x=1&y"]
+    assert got["http://h/q"].text == 'a<p title="never closed>b c' and got["http://h/e"].text == "" and got["http://h/n"].text is None is got["http://h/n"].links
+    assert got[None].links == [None, "http://z/"] and got["http://h/f"].text.split()[-1] == "z"
+    for df in (crawl.hits(pages), crawl.links(pages), crawl.word_pages(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"MapInArrow|ArrowEvalPython", plan)) == 1
+    found = parsed(pages)
+    assert sorted(crawl.links(found, found="links").collect(), key=repr) == sorted(crawl.links(pages).collect(), key=repr)
+    assert sorted(crawl.hits(found, text="text").collect(), key=repr) == sorted(crawl.hits(pages).collect(), key=repr)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +11,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..functions.html import parsed
 from ..tables import stored, workspace
+from . import fetching, frontier
 
 MEGABYTE = 1 << 20
 
@@ -101,27 +100,41 @@ def frontier_hosts(urls: DataFrame, shards: int = 100) -> DataFrame:
     return urls.groupBy(U.url_host("url").alias("host")).agg(F.count("*").alias("urls"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_mb: float = 1, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_mb: float = 1, rounds: int | None = None, log: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages reached, urls seen with the round in which they were) from seeds (url) over a table of pages (url, html).
 
     Each round takes the frontier's pages that pass the filters, and their links' targets not seen before are the next
-    frontier; it ends with an empty frontier, or after the given rounds if any are given. Both results are tables.
+    frontier; it ends with an empty frontier, or after the given rounds if any are given. With a log of fetches
+    (``fetching``) a url's page is the one that its answer, or that after a redirect, gave, if its length and type are
+    accepted. With a path the crawl is kept there, and one that has begun goes on.
     """
-    home = workspace(pages.sparkSession, "crawl")
-    store = stored(size_filter(normalized(pages), max_mb), f"{home}/pages")
-    if robots is not None:
-        store = robots_filter(store, robots)
-    frontier = stored(normalized(seeds).select("url").distinct().withColumn("round", F.lit(0)), f"{home}/seen-0")
-    seen, reached = frontier, None
-    for i in count() if rounds is None else range(rounds):
-        got = stored(store.join(frontier.select("url"), "url", "left_semi"), f"{home}/got-{i}")
-        reached = got if reached is None else reached.unionByName(got)
-        new = url_dedupe(links(got).select(F.col("dst").alias("url")), seen)
-        frontier = stored(new.withColumn("round", F.lit(i + 1)), f"{home}/seen-{i + 1}")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return content_dedupe(reached), seen
+    spark = pages.sparkSession
+    home = workspace(spark, "crawl")
+    path = path or f"{home}/frontier"
+    if frontier.state(spark, path) is None:
+        store = size_filter(normalized(pages).select("url", "html"), max_mb)
+        if robots is not None:
+            store = robots_filter(store, robots)
+        asked = F.col("url") if log is None else F.col("asked")
+        if log is not None:
+            store = store.join(fetching.accepted(log, max_mb), "url")
+        store = stored(store.select("url", "html", asked.alias("asked")), f"{path}/pages")
+        # A page's links are read once, under the url that is asked for.
+        ends = parsed(store.select("url", "html"), text=False)
+        if log is not None:
+            ends = store.select("url", "asked").distinct().join(ends, "url").select(F.col("asked").alias("url"), "links").distinct()
+        frontier.begin(ends.where(F.col("links").isNotNull()), seeds, path)
+    frontier.go_on(spark, path, rounds)
+    seen = frontier.seen(spark, path)
+    # With rounds given the last round's urls are seen, but their pages aren't reached yet.
+    last = frontier.state(spark, path)
+    done = seen.where(F.col("round") < last.round) if last.new else seen
+    store = spark.read.schema("url string, html string, asked string").parquet(f"{path}/pages")
+    asked = done.select(F.col("url").alias("asked"))
+    if log is not None:  # a page that several redirects lead to is reached once
+        asked = store.select("url", "asked").join(asked, "asked", "left_semi").groupBy("url").agg(F.min("asked").alias("asked")).select("asked", "url")
+        return content_dedupe(store.join(asked, ["asked", "url"], "left_semi").select("url", "html")), seen
+    return content_dedupe(store.join(asked, "asked", "left_semi").select("url", "html")), seen
 
 
 def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import codecs, html, text, urls
 from .functions.robots import AGENT
-from .operators import crawl, graph, index, jobs, repository, scoring, search
+from .operators import crawl, fetching, frontier, graph, index, jobs, repository, scoring, search, segments
 from .plans import pipeline
 from .sources import textio
-from .tables import workspace
+from .tables import stored, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -619,3 +620,107 @@ def relative_hrefs(spark, d):
     pages = _pages(spark, d).select("page_id", urls.normalize_url("url").alias("base")).where("base is not null")
     pages = pages.selectExpr("page_id", "base", "CASE page_id % 4 WHEN 0 THEN 'x.html' WHEN 1 THEN './y?q=1' WHEN 2 THEN '../z' ELSE '#top' END AS href")
     return pages.select("page_id", urls.resolve_any("base", "href").alias("url"))
+
+
+# Puts to the stored index, fetch logs, schedules and crawls that stop and go on.
+
+
+_PUTS: dict[tuple[str, str], str] = {}
+
+
+def _puts(spark, d):
+    """An index put in three parts, the first of them with other frequencies and ranks at first, merged on the way."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _PUTS:
+        whole, path = _index(spark, d), f"{workspace(spark, 'puts')}/index"
+        nth = F.pmod(F.xxhash64("url"), F.lit(3))
+        first = whole.tf.where(nth == 0), whole.rank.where(nth == 0)
+        segments.put(index.Index(first[0].withColumn("tf", F.col("tf") * 2 + 1), whole.idf, first[1].withColumn("rank", -F.col("rank"))), path)
+        for i in (1, 2):
+            segments.put(index.Index(whole.tf.where(nth == i), None, whole.rank.where(nth == i)), path)
+        segments.merge(spark, path, 2)
+        segments.put(index.Index(first[0], None, first[1]), path)
+        _PUTS[key] = path
+    return _PUTS[key]
+
+
+@query(f"WITH {PAGE_INDEX} SELECT 'tf ' || word AS name, url, round(tf, 9) AS x FROM tf UNION ALL SELECT 'idf ' || word, '', round(ln(5000::DOUBLE / (1 + df) + 1), 9) FROM df UNION ALL SELECT 'rank', url, round(rank, 6) FROM ranks")
+def index_puts(spark, d):
+    """The three tables after puts in parts, of which one changed."""
+    i = segments.load(spark, _puts(spark, d))
+    tf = i.tf.select(F.concat(F.lit("tf "), "word").alias("name"), "url", F.round("tf", 9).alias("x"))
+    idf = i.idf.select(F.concat(F.lit("idf "), "word").alias("name"), F.lit("").alias("url"), F.round("idf", 9).alias("x"))
+    return tf.unionByName(idf).unionByName(i.rank.select(F.lit("rank").alias("name"), "url", F.round("rank", 6).alias("x")))
+
+
+@query(f"WITH {TF} SELECT word, url, round(tf, 9) AS tf FROM tf WHERE word = '{TERM}'")
+def index_put_lookup(spark, d):
+    """A word's rows, from the segments' files whose range holds it."""
+    return segments.lookup(spark, _puts(spark, d), "tf", TERM).withColumn("tf", F.round("tf", 9))
+
+
+_LOCATION = """CASE page_id % 6 WHEN 1 THEN '/moved/' || (page_id - 1) WHEN 2 THEN 'http://other.example/' || (page_id - 2) || '?q' WHEN 3 THEN NULL
+  WHEN 4 THEN 'http://other.example/' || (page_id - 3) ELSE 'not a url' END"""
+#: Pages' answers: every sixth is there, the others moved; a host of its own answers what they lead to.
+_LOG = f"""(SELECT page_id, normal_url AS url, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 301 WHEN 4 THEN 303 ELSE 302 END AS status, {_LOCATION} AS location, host FROM normal)"""
+
+
+def _fetch_log(spark, d):
+    """url, seconds, status, location, content_type, content_length: answers of the pages' urls and of what redirects lead to."""
+    pages = _pages(spark, d).select("page_id", urls.normalize_url("url").alias("url")).where("url is not null")
+    log = pages.selectExpr("page_id", "url", "CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 301 WHEN 4 THEN 303 ELSE 302 END AS status", f"{_LOCATION} AS location")
+    home = workspace(spark, "log")
+    log = stored(log, f"{home}/first")
+    moved = stored(log.where("location is not null and page_id % 6 in (1, 2, 4)").select("page_id", fetching.redirected().alias("url")), f"{home}/moved")
+    # Of what is asked for next, the targets of 4 lead on, those of 2 are there, those of 1 are there if the page's number allows.
+    second = moved.selectExpr("page_id", "url", "CASE WHEN page_id % 6 = 4 THEN 301 WHEN page_id % 6 = 1 AND page_id % 4 = 3 THEN 404 ELSE 200 END AS status", "'/' AS location")
+    return log.unionByName(second).selectExpr("url", "page_id AS seconds", "status", "location", "CASE WHEN page_id % 5 = 0 THEN 'text/plain' WHEN page_id % 7 = 0 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type", "CASE WHEN page_id % 9 = 0 THEN NULL ELSE page_id * 100 END AS content_length")
+
+
+@query(f"""WITH raw_urls AS (SELECT page_id, url FROM pages), {NORMAL},
+  asked AS (SELECT *, regexp_extract(url, '^(https?)://', 1) AS scheme, CASE page_id % 6 WHEN 1 THEN regexp_extract(url, '^(https?://[^/]*)', 1) || '/moved/' || (page_id - 1)
+    WHEN 2 THEN 'http://other.example:80/' || (page_id - 2) WHEN 0 THEN url END AS went FROM {_LOG}),
+  good AS (SELECT url AS asked, went AS url, page_id FROM asked WHERE page_id % 6 IN (0, 2) OR page_id % 6 = 1 AND page_id % 4 <> 3),
+  last AS (SELECT max(page_id) AS page_id FROM normal GROUP BY normal_url),
+  seconds AS (SELECT asked, url, page_id FROM good SEMI JOIN last USING (page_id) UNION ALL SELECT url, url, page_id FROM good WHERE page_id % 6 <> 0)
+  SELECT asked, url, page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 9 <> 0 AND page_id * 100 <= 131072 AS accepted FROM seconds""")
+def redirects(spark, d):
+    """Rooted, absolute, missing, chained and bad locations, and which answers' sizes and types are accepted."""
+    log = _fetch_log(spark, d)
+    good = fetching.accepted(log, 0.125).withColumn("accepted", F.lit(True))
+    return fetching.followed(log).select("asked", "url").join(good, ["asked", "url"], "left").select("asked", "url", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+@query(f"""WITH {LINKS}, {NORMAL.replace("raw_urls", "targets_").replace("n0", "q0").replace("n1", "q1").replace("n2", "q2").replace("n3", "q3").replace("n4", "q4").replace("normal AS", "ends AS").replace("q0 AS", "targets_ AS (SELECT DISTINCT dst AS url FROM links), q0 AS")}
+  SELECT host, normal_url AS url, row_number() OVER (PARTITION BY host ORDER BY normal_url) AS rank,
+    100 * length(host) + row_number() OVER (PARTITION BY host ORDER BY normal_url) * (length(host) % 4) AS seconds FROM ends""")
+def fetch_schedule(spark, d):
+    """When the urls that pages link to may be fetched: hosts' delays and last fetches differ."""
+    ends = crawl.url_dedupe(_page_links(spark, d).select(F.col("dst").alias("url"))).withColumn("position", F.lit(0))
+    hosts = ends.select(urls.url_host("url").alias("host")).distinct()
+    rules = hosts.select("host", F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.length("host") % 4).cast("string")).alias("text"))
+    log = hosts.select("host", F.explode(F.array(F.lit(1), F.length("host") * 100)).alias("seconds"))
+    return fetching.schedule(ends, rules, log)
+
+
+@query("""WITH RECURSIVE chain AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders),
+  edges AS (SELECT a, b FROM chain WHERE b IS NOT NULL UNION ALL SELECT o.o_orderkey, p.o_orderkey FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey // 2),
+  reach AS (SELECT min(o_orderkey) AS k, 0 AS round FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 GROUP BY o_custkey
+    UNION SELECT b, round + 1 FROM reach JOIN edges ON k = a WHERE round < 7)
+  SELECT 'http://orders:80/' || k AS url, min(round)::INTEGER AS round FROM reach GROUP BY k""")
+def crawl_few_seeds(spark, d):
+    """Orders as pages, each with links to its customer's next one and to that of half its number; crawled from one nation's
+    first orders, stopped after three rounds, and gone on with."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # a customer's orders
+    after = orders.select("o_orderkey", F.lead("o_orderkey").over(order).alias("next"))
+    half = orders.select(F.col("o_orderkey").alias("half"))
+    rows = after.withColumn("half", F.floor(F.col("o_orderkey") / 2)).join(half, "half", "left_semi").select("o_orderkey", "half")
+    rows = after.join(rows, "o_orderkey", "left")
+    links = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.concat(F.lit("<a href='/"), F.col(c).cast("string"), F.lit("'>x</a>"))) for c in ("next", "half")])
+    pages = rows.select(F.concat(F.lit("http://orders/"), "o_orderkey").alias("url"), F.concat(F.col("o_orderkey").cast("string"), links).alias("html"))
+    customers = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
+    seeds = orders.join(customers, "o_custkey").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k")).select(F.concat(F.lit("http://orders/"), "k").alias("url"))
+    path = f"{workspace(spark, 'crawls')}/orders"
+    crawl.crawl(pages, seeds, rounds=3, path=path)
+    return crawl.crawl(pages, seeds, rounds=4, path=path)[1]

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import CLEAN, remove, setting, workspace  # noqa: F401
+from .. import tables
+from ..tables import CLEAN, filesystem, located, remove, setting, workspace  # noqa: F401
 from ..tables import stored as table
 
-ROOT = str(Path(__file__).resolve().parents[2])
 #: The white space of every contract here: space and the ASCII controls from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch.
@@ -31,9 +29,7 @@ def ship(spark: SparkSession) -> None:
 
     Rows hold whole texts, so that the session's Arrow batches are bounded by bytes too.
     """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    tables.ship(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH:
         spark.conf.set(name, str(BATCH))
@@ -151,31 +147,6 @@ def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str, cod
     return arrow(cells, _emit(path, len(names), code is not None), schema.add(code, "long") if code else schema)
 
 
-#: Schemes of Spark that pyarrow knows by other names.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
-
-
-def located(uri: str) -> str:
-    """A folder's uri as pyarrow takes it; folders of a mounted store are files of the machine."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "dbfs":
-        return "/dbfs/" + rest.lstrip("/")
-    if scheme == "file":
-        return "/" + rest.lstrip("/")
-    return f"{SCHEMES.get(scheme, scheme)}:{rest}" if rest.startswith("//") else os.path.abspath(uri)
-
-
-def filesystem(uri: str):
-    """(file system, path) for a folder that executors share: local, mounted, s3, gs, abfs, or hdfs and viewfs.
-
-    The last two need libhdfs and CLASSPATH on every worker, as pyarrow documents.
-    """
-    from pyarrow import fs
-
-    where = located(uri)
-    return fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without a copy; null counts as empty."""
     if col.null_count:

@@ -47,6 +47,7 @@ AGAINST, PAGES = 1, 5
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -61,6 +62,10 @@ _HOLDERS = {"form", "fieldset"}
 _NOISE_NAMES = set("ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promoted comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay related recommended recommendations share sharing social breadcrumb breadcrumbs pagination pager skiplink captcha paywall outbrain taboola".split())
 #: Names that also stand on what is around an article: they don't count there.
 _FRAME_NAMES = set("sidebar sidebars nav navbar navigation menu menus topbar toolbar header masthead footer foot banner widget widgets notice notices alert aside search toc tags".split())
+#: Parts of names that go with those that say noise: newsletter-signup-box.
+_PLAIN_NAMES = set("area bar block box button buttons container form group icon icons inline inner item items link links list panel row section small text widget wrap wrapper".split())
+#: Characters, and one part of a page's text, that such an element has at most inside an article.
+MINOR, MINOR_PART = 200, 10
 _CLOSES_P = _BLOCKS - {"p", "head", "html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup", "label", "legend", "svg", "button", "object", "audio", "video", "canvas", "select", "template", "datalist"} | {"p"}
 _P_SCOPE = {"p", "button", "td", "th", "caption", "table", "object", "template"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -68,15 +73,21 @@ _WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    """soft: 1 if its name or tag says what is around an article, 2 if only a part of a name says that or noise."""
+    """soft: 1 if its name or tag says what is around an article, 2 if only a part of a name says that or noise; minor: whether
+    all parts of a name say noise, or what a page puts it in."""
 
-    __slots__ = ("tag", "parent", "path", "style", "hard", "named", "soft", "main", "names", "children", "texts", "tags", "scope")
+    @property
+    def main_article(self) -> bool:
+        return self.main and self.tag != "main"
 
-    def __init__(self, tag: str, parent: Node | None, name: str, hard: bool, named: bool, soft: int, main: bool):
-        self.tag, self.parent, self.hard, self.named, self.soft, self.main = tag, parent, hard, named, soft, main
+    __slots__ = ("tag", "parent", "path", "style", "hard", "named", "soft", "minor", "main", "names", "link", "children", "texts", "tags", "scope")
+
+    def __init__(self, tag: str, parent: Node | None, name: str, hard: bool, named: bool, soft: int, minor: bool, main: bool):
+        self.tag, self.parent, self.hard, self.named, self.soft, self.minor, self.main = tag, parent, hard, named, soft, minor, main
         self.names = name.lower().partition(".")[2].rpartition("#")[0]
         self.style = xxhash.xxh64_intdigest(name) >> 1
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}/{name}") >> 1
+        self.link = False  # whether half of its text is links
         self.children: list[Node] = []
         self.texts: list[str] = []
         # What is open here, and the innermost element that an open p doesn't reach beyond: no walk up is needed for them.
@@ -96,14 +107,19 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     main = not hard and (tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower())
     # A header may be a page's, which is noise, or an article's, which holds its title.
     soft = 0 if outside or main else 1 if names & _FRAME_NAMES or tag == "header" else 2 if parts & (_FRAME_NAMES | _NOISE_NAMES) else 0
-    return Node(tag, parent, f"{tag}.{' '.join(sorted(said.split()))}#{role}", hard and not outside, named, soft, main)
+    minor = not (outside or main) and any(len(x) > 1 and x & _NOISE_NAMES and x <= _NOISE_NAMES | _PLAIN_NAMES for x in ({y.lower() for y in _NAME.findall(n)} for n in said.split()))
+    # Ids that differ in numbers, as post-17 and post-18, are one style; classes say more.
+    style = " ".join(sorted([*a.get("class", "").split(), *_DIGITS.sub("0", a.get("id", "")).split()]))
+    return Node(tag, parent, f"{tag}.{style}#{role}", hard and not outside, named, soft, minor, main)
 
 
 def _settle(root: Node, blocks: list[tuple[Node, str, bool]]) -> None:
     """Lift names from what is or holds a page's article, and let names on the others decide."""
     held: Counter = Counter()
-    for node, text, _ in blocks:
+    linked: Counter = Counter()
+    for node, text, link in blocks:
         held[node] += len(text)
+        linked[node] += len(text) * link
     order, tops, todo = [], [], [(root, False, False)]
     while todo:
         node, hard, inside = todo.pop()
@@ -118,6 +134,10 @@ def _settle(root: Node, blocks: list[tuple[Node, str, bool]]) -> None:
     for node in reversed(order):
         if node.parent:
             held[node.parent] += held[node]
+            linked[node.parent] += linked[node]
+    for node in order:
+        node.link = 2 * linked[node] >= held[node] > 0
+    _others(order, held, linked)
     for node in order:  # the text of an article that isn't marked as one, in a wrapper that has a part of a name
         if node.soft == 2 and 2 * held[node] >= held[root]:
             node.soft = 0
@@ -126,13 +146,29 @@ def _settle(root: Node, blocks: list[tuple[Node, str, bool]]) -> None:
             continue
         up = top
         while up is not None:  # what is or holds an article isn't noise or a frame, whatever its name
-            up.named, up.soft = False, 0
+            up.named, up.soft, up.minor = False, 0, False
             up = up.parent
     for node in order:
-        if node.named:
+        if node.named or (node.minor and held[node] <= MINOR and MINOR_PART * held[node] <= held[root]):
             node.hard, node.main = True, False
 
 
+def _others(order: list[Node], held: Counter, linked: Counter) -> None:
+    """Article elements that aren't a page's: beside a larger one, what is short and holds a link is a teaser; elsewhere, as in a
+    section after it, what has less than half of its text is a comment or a teaser."""
+    articles = [x for x in order if x.main and x.tag != "main" and held[x] and not any(_up(x.parent, "main_article"))]
+    if len(articles) < 2:
+        return
+    big = max(articles, key=lambda x: held[x])
+    around, up = set(), big.parent
+    while up is not None:
+        around.add(up)
+        up = up.parent
+    for x in articles:
+        if x is not big and (2 * held[x] < held[big] if x.parent not in around else 4 * held[x] < held[big] and linked[x]):
+            x.named = True
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     """The tree of a page's block elements and its blocks of text, in order, each with the element it stands in
     and whether half of it is links.
@@ -140,7 +176,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     Inline elements and br don't make nodes; a block ends where a block element starts or ends. White space is one
     space, character references are decoded, comments and what isn't text are left out.
     """
-    root = Node("#page", None, "#page", False, False, 0, False)
+    root = Node("#page", None, "#page", False, False, 0, False, False)
     here, blocks, run, at, size, links, linked = root, [], [], 0, len(page), 0, False
 
     def flush() -> None:
@@ -221,20 +257,23 @@ def _up(node: Node | None, what: str) -> Iterator[bool]:
         node = node.parent
 
 
-def _flags(root: Node, noise: frozenset[int], boiler: frozenset[int]) -> dict[Node, tuple[bool, bool, bool, bool, bool]]:
+def _flags(root: Node, noise: frozenset[int], boiler: frozenset[int]) -> dict[Node, tuple[bool, bool, int, int, bool]]:
     """Of each element: whether it or what holds it is hard, a frame, noise or stale, and whether it is in an article.
 
+    A style that is noise, or stale, itself has 2, one below such a style 1: too few pages have it for the tree to know.
+
     A frame's name doesn't count in an article; that of a header, or in parts, not in a main element either. An article
     isn't stale by what is around it, nor itself: then the page is a copy.
     """
-    out, todo = {}, [(root, (False, False, False, False, False), False)]
+    out, todo = {}, [(root, (False, False, 0, 0, False), False)]
     while todo:
         node, (hard, soft, low, stale, main), article = todo.pop()
         header = node.tag == "header" or node.soft == 2 or bool({"header", "masthead", "banner"} & set(node.names.split()))
         framed = bool(node.soft) and not (article or (header and main))
         soft = framed or (soft and not node.main)
-        stale = not node.main and (stale or node.path in boiler)
-        out[node] = flags = hard or node.hard, soft, low or node.path in noise, stale, main or node.main
+        stale = 0 if node.main else 2 if node.path in boiler else min(stale, 1)
+        low = 2 if node.path in noise else min(low, 1)
+        out[node] = flags = hard or node.hard, soft, low, stale, main or node.main
         article |= node.main and node.tag != "main"
         todo += [(c, flags, article) for c in node.children]
     return out
@@ -248,13 +287,13 @@ def host(url: str | None) -> str:
 def styles(root: Node) -> set[tuple[int, int, int, int]]:
     """(path, parent's path, kind, feature) of a page: kind 0 its presence and bound, 1 a presentation, 2 a text.
 
-    The bound is 2 of what names say is noise, below which nothing is counted, else 0.
+    The bound is 2 of what names say is noise, below which nothing is counted, 1 of what is links, else 0.
     """
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
         above = node.parent.path if node.parent else 0
-        out.add((node.path, above, 0, 2 if node.hard else 0))
+        out.add((node.path, above, 0, 2 if node.hard else int(node.link)))
         if node.hard:
             continue
         sequence = [c.style for i, c in enumerate(node.children) if not i or c.style != node.children[i - 1].style]
@@ -277,15 +316,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*cols, pa.array(n.values(), pa.int64())], ["host", "path", "above", "kind", "feature", "n"])
 
 
-def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]], damping: float = DAMPING) -> tuple[dict[int, float], dict[int, float]]:
+def importance(nodes: list[tuple[int, int, int, int, float, float, int, float, int]], damping: float = DAMPING) -> tuple[dict[int, float], dict[int, float]]:
     """Importance of each style node of a host, and the largest of it and of all nodes below it.
 
     A node: path, parent's path, bound, pages, sum of pages over presentations and of n log n over them, number of texts
-    and sum of log n over them.
+    and sum of log n over them, and pages of children of too rare a style to be nodes, unless they are links. Those count as one child that is as
+    important as can be; of all below, to the part of the node's pages that have one.
     """
     own, below = {}, defaultdict(list)
-    for path, above, bound, pages, total, sums, texts, logs in nodes:
-        own[path] = (bound, pages, total, sums, texts, logs)
+    for path, above, bound, pages, total, sums, texts, logs, rare in nodes:
+        own[path] = (bound, pages, total, sums, texts, logs, rare)
         below[above].append(path)
     out: dict[int, float] = {}
     most: dict[int, float] = {}
@@ -295,21 +335,22 @@ def importance(nodes: list[tuple[int, int, int, int, float, float, int, float]],
         order.append(path)
         todo += [x for x in below[path] if x != path]
     for path in reversed(order):
-        bound, pages, total, sums, texts, logs = own[path]
-        inside = [(out[x], own[x][1]) for x in below[path] if x in out]
+        bound, pages, total, sums, texts, logs, rare = own[path]
+        inside = [(1.0, rare)] * bool(rare) + [(out[x], own[x][1]) for x in below[path] if x in out]
         if texts:
             inside.append((1 - logs / texts / log(pages) if pages > 1 else 1.0, pages))
         shown = min(1.0, (log(total) - sums / total) / log(pages)) if pages > 1 and total else 1.0
-        share = damping ** max(1, len(below[path]))
+        children = len(below[path]) + bool(rare)
+        share = damping ** max(1, children)
         held = sum(x * n for x, n in inside) / sum(n for _, n in inside) if inside else 0.0
-        out[path] = 0.0 if bound else (1 - share) * shown * bool(below[path]) + (share if below[path] else 1.0) * held
-        most[path] = max([out[path], *(most[x] for x in below[path] if x in most)])
+        out[path] = 0.0 if bound else (1 - share) * shown * bool(children) + (share if children else 1.0) * held
+        most[path] = max([out[path], 0.0 if bound else min(1.0, rare / pages), *(most[x] for x in below[path] if x in most)])
     return out, most
 
 
 def _noise(low: float):
     def run(nodes: pd.DataFrame) -> pd.DataFrame:
-        cols = ["path", "above", "bound", "pages", "total", "sums", "texts", "logs"]
+        cols = ["path", "above", "bound", "pages", "total", "sums", "texts", "logs", "rare"]
         out, most = importance(list(nodes[cols].itertuples(index=False, name=None)))
         pages = dict(zip(nodes["path"], nodes["pages"]))
         noise = [int(p) for p, x in most.items() if AGAINST + pages[p] * x < low * (AGAINST + pages[p])]
@@ -325,7 +366,7 @@ def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
     even in an article, with single texts that a host repeats there, and of high importance, from its pages (url, html).
 
     All pages are counted. A host's tree is put together in one task from its styles' sums, not from its pages; styles
-    of fewer than PAGES pages, which can't be noise, are left out there.
+    of fewer than PAGES pages, which can't be noise, are one child of what holds them there.
     """
     home = scratch(pages.sparkSession, "styles")
     counts = pages.select("url", "html").transform(arrow, _count, "host string, path long, above long, kind int, feature long, n long")
@@ -336,9 +377,12 @@ def style_trees(pages: DataFrame, low: float = LOW) -> DataFrame:
         return F.coalesce(F.sum(F.when(kind == of, what)), F.lit(0))
 
     nodes = counts.groupBy("host", "path", "above").agg(
-        F.when(total(0, F.when(F.col("feature") == 2, n)) * 2 > total(0, n), 2).otherwise(0).alias("bound"), total(0, n).alias("pages"), total(1, n).alias("total"), total(1, n * F.log(n)).alias("sums"), total(2, F.lit(1)).alias("texts"), total(2, F.log(n)).alias("logs")
+        F.when(total(0, F.when(F.col("feature") == 2, n)) * 2 > total(0, n), 2).otherwise(0).alias("bound"), total(0, n).alias("pages"), total(0, F.when(F.col("feature") == 0, n)).alias("plain"), total(1, n).alias("total"), total(1, n * F.log(n)).alias("sums"), total(2, F.lit(1)).alias("texts"), total(2, F.log(n)).alias("logs")
     )
-    nodes = table(nodes.where(F.col("pages") >= PAGES), f"{home}/nodes")
+    nodes = table(nodes, f"{home}/nodes")
+    few = nodes.where(F.col("pages") < PAGES).groupBy("host", F.col("above").alias("path")).agg(F.sum(F.when(F.col("bound") == 0, F.col("plain")).otherwise(0)).alias("rare"))
+    nodes = nodes.where(F.col("pages") >= PAGES).join(few, ["host", "path"], "left").withColumn("rare", F.coalesce("rare", F.lit(0)))
+    nodes = table(nodes, f"{home}/known")
     trees = nodes.groupBy("host").applyInPandas(_noise(low), "host string, noise array<long>, boiler array<long>, sure array<long>")
     # A text's entropy is judged like a branch's; most pages must have it, as near copies of an article share texts too.
     often = counts.where((kind == 2) & (n >= 2 * PAGES)).select("host", "path", "feature", "n").join(nodes.where("bound = 0").select("host", "path", "pages"), ["host", "path"])
@@ -353,13 +397,15 @@ def main_text(page: str, noise: frozenset[int] = frozenset(), boiler: frozenset[
     root, blocks = parse(page)
     known = _flags(root, noise, boiler)
     inside = sum(len(text) for node, text, _ in blocks if known[node][4] and not known[node][0])
-    total = sum(len(text) for node, text, _ in blocks if not any(known[node][:2]) and (known[node][4] or not known[node][2]))
+    total = sum(len(text) for node, text, linked in blocks if not any(known[node][:2]) and (known[node][4] or known[node][2] <= (not linked)))
     article = inside > 0 and 4 * inside >= total
     out, stay = [], []
     for node, text, linked in blocks:
         hard, soft, low, stale, main = known[node]
         if hard:
             continue
+        # What the tree doesn't know goes with what holds it if it is links.
+        low, stale = low > (not linked), stale > (not linked)
         good = node.path in sure and not linked
         again = bool(boiler) and (node.path ^ (xxhash.xxh64_intdigest(text) >> 1)) in boiler
         if article and main:

@@ -724,3 +724,12 @@ def crawl_few_seeds(spark, d):
     path = f"{workspace(spark, 'crawls')}/orders"
     crawl.crawl(pages, seeds, rounds=3, path=path)
     return crawl.crawl(pages, seeds, rounds=4, path=path)[1]
+
+
+@query("SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS mapped, (SELECT count(DISTINCT text) FROM documents) AS reduced, (SELECT least(10, count(DISTINCT text)) FROM documents) AS sampled, true AS known")
+def job_counters(spark, d):
+    """The word count job's counters when it has ended; the sample's lines are among its outputs."""
+    counters = jobs.Counters(spark)
+    out = stored(jobs.run_named("WordCount", jobs.of_lines(_documents(spark, d), "text"), counters), f"{workspace(spark, 'counted')}/out")
+    lines = spark.createDataFrame([(x,) for x in counters.sample], "line string").join(out.select(F.concat_ws(" ", "key", "value").alias("line")), "line", "left_semi")
+    return spark.createDataFrame([(counters.mapped, counters.reduced, len(counters.sample), lines.count() == len(counters.sample))], "mapped long, reduced long, sampled long, known boolean")

@@ -12,7 +12,7 @@ from .functions import codecs, html, text, urls
 from .functions.robots import AGENT
 from .operators import crawl, fetching, frontier, graph, index, jobs, repository, scoring, search, segments
 from .plans import pipeline
-from .sources import textio
+from .sources import relation, textio
 from .tables import stored, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -733,3 +733,20 @@ def job_counters(spark, d):
     out = stored(jobs.run_named("WordCount", jobs.of_lines(_documents(spark, d), "text"), counters), f"{workspace(spark, 'counted')}/out")
     lines = spark.createDataFrame([(x,) for x in counters.sample], "line string").join(out.select(F.concat_ws(" ", "key", "value").alias("line")), "line", "left_semi")
     return spark.createDataFrame([(counters.mapped, counters.reduced, len(counters.sample), lines.count() == len(counters.sample))], "mapped long, reduced long, sampled long, known boolean")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS number, o_orderkey || ' ' || o_custkey AS value FROM orders")
+def numbered_lines(spark, d):
+    """Lines of one file, read in ranges, with their numbers."""
+    path = workspace(spark, "numbered")
+    orders = spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").select(F.concat_ws(" ", "o_orderkey", "o_custkey").alias("value"))
+    orders.coalesce(1).write.text(path)
+    return relation.numbered(relation.read(spark, "lines", path, rangeBytes="10000")).select("number", "value")
+
+
+@query(f"WITH {TF} SELECT word, url, round(tf, 9) AS tf FROM tf WHERE word = '{TERM}'")
+def source_of_a_word(spark, d):
+    """A relation's rows of a word, as the data source reads them."""
+    path = workspace(spark, "tfs")
+    textio.write_relation(_index(spark, d).tf, "tfs", path)
+    return relation.read(spark, "tfs", f"{path}/part-*").where(F.col("word") == TERM).withColumn("tf", F.round("tf", 9))

@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import CLEAN, remove, setting
-from .index import KEYS, Index, check_unique
+from .index import KEYS as INDEX_KEYS
+from .index import Index, check_unique
 
 #: Segments of a level that are merged.
 FAN = 4
 #: Rows of a page of a file, at most: about what a lookup reads beyond its word.
 PAGE_ROWS = 4096
-SCHEMAS = {"tf": "word string, url string, tf double", "idf": "word string, idf double", "rank": "url string, rank double"}
+SCHEMAS = {"tf": "word string, url string, tf double", "idf": "word string, idf double", "rank": "url string, rank double", "counts": "word string, url string, n long"}
+#: Tables whose rows of a key are added up, and count no more at 0; of others the newest counts.
+SUMS = {"counts"}
+KEYS = INDEX_KEYS | {"counts": ["word", "url"]}
 
 
 class Segment(NamedTuple):
@@ -54,7 +58,12 @@ def _segments(found: list) -> list[Segment]:
 
 def state(spark: SparkSession, path: str) -> list[Segment]:
     """The live segments, oldest first; a change that is being written isn't one yet."""
+    return _state(spark, path)[0]
+
+
+def _state(spark: SparkSession, path: str) -> tuple[list[Segment], set[str]]:
     live: list[Segment] = []
+    tags: set[str] = set()
     for name in _changes(spark, path):
         where, files = _files(spark, f"{path}/log/{name}")
         stream = files.open(where)
@@ -65,6 +74,7 @@ def state(spark: SparkSession, path: str) -> list[Segment]:
         if not text.endswith("\n"):
             continue
         change = json.loads(text)
+        tags |= set(change["tags"])
         new, gone = _segments(change["new"]), set(change["instead"])
         if not gone:
             again = {x.folder for x in new}
@@ -74,16 +84,16 @@ def state(spark: SparkSession, path: str) -> list[Segment]:
         at = [i for i, x in enumerate(mine) if x.folder in gone]
         if len(at) == len(gone) and at[-1] - at[0] == len(at) - 1:  # else another merge took some, or a put came between
             live = [x for x in live if x.table != change["table"]] + mine[: at[0]] + new + mine[at[-1] + 1 :]
-    return live
+    return live, tags
 
 
-def _commit(spark: SparkSession, path: str, new: list[Segment], instead: list[Segment] = ()) -> None:
+def _commit(spark: SparkSession, path: str, new: list[Segment], instead: list[Segment] = (), tags: list[str] = ()) -> None:
     names = _changes(spark, path)
     n = int(names[-1][:9]) + 1 if names else 1
     where, files = _files(spark, f"{path}/log/{n:09d}-{uuid.uuid4().hex}.json")
     out = files.create(where, False)
     table = instead[0].table if instead else None
-    out.write(bytearray((json.dumps({"new": new, "instead": [x.folder for x in instead], "table": table}) + "\n").encode()))
+    out.write(bytearray((json.dumps({"new": new, "instead": [x.folder for x in instead], "table": table, "tags": sorted(tags)}) + "\n").encode()))
     out.close()
 
 
@@ -117,6 +127,16 @@ def put(index: Index, path: str, check: bool = True) -> None:
         _commit(spark, path, new)
 
 
+def add(rows: DataFrame, table: str, path: str, tag: str | None = None) -> bool:
+    """Puts rows of one table; with a tag once, whatever how often it is called; whether it was."""
+    spark = rows.sparkSession
+    if tag is not None and tag in _state(spark, path)[1]:
+        return False
+    new = _write(rows, table, path, 0)
+    _commit(spark, path, [new] if new else [], tags=[tag] if tag is not None else [])
+    return True
+
+
 def _read(spark: SparkSession, path: str, table: str, live: list[Segment], key: str | None = None) -> DataFrame:
     """The table's rows, for each key those of its newest segment; with a key those of files whose range holds it."""
     mine = [x for x in live if x.table == table]
@@ -130,6 +150,9 @@ def _read(spark: SparkSession, path: str, table: str, live: list[Segment], key:
     rows = spark.read.schema(SCHEMAS[table]).parquet(*paths)
     if key is not None:
         rows = rows.where(F.col(KEYS[table][0]) == key)
+    if table in SUMS:
+        added = rows.groupBy(*KEYS[table]).agg(*[F.sum(c).alias(c) for c in names if c not in KEYS[table]])
+        return added.where(" OR ".join(f"{c} <> 0" for c in names if c not in KEYS[table]))
     if len(mine) == 1:
         return rows
     folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
@@ -145,6 +168,10 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(_read(spark, path, table, live) for table in Index._fields))
 
 
+def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return _read(spark, path, table, state(spark, path))
+
+
 def lookup(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
     """A table's rows of a word, or of a url in rank."""
     return _read(spark, path, table, state(spark, path), key)
@@ -152,7 +179,7 @@ def lookup(spark: SparkSession, path: str, table: str, key: str) -> DataFrame:
 
 def _due(live: list[Segment], fan: int) -> list[Segment]:
     """Neighbouring segments of a table and level, or below it, that are to be merged; none if there aren't as many."""
-    for table in Index._fields:
+    for table in SCHEMAS:
         mine = [x for x in live if x.table == table]
         for i in range(len(mine) - fan, -1, -1):
             run = mine[i : i + fan]
@@ -169,7 +196,7 @@ def merge(spark: SparkSession, path: str, fan: int = FAN) -> int:
     n = 0
     while run := _due(state(spark, path), fan):
         new = _write(_read(spark, path, run[0].table, run), run[0].table, path, run[0].level + 1)
-        _commit(spark, path, [new], run)
+        _commit(spark, path, [new] if new else [], run)
         n += 1
     return n
 
@@ -183,13 +210,13 @@ def merge_in_background(spark: SparkSession, path: str, fan: int = FAN) -> threa
 
 def vacuum(spark: SparkSession, path: str) -> None:
     """Makes the log one change, and deletes segments that are live no more: when no reader of earlier states, and no writer, is at work."""
-    live, old = state(spark, path), _changes(spark, path)
+    (live, tags), old = _state(spark, path), _changes(spark, path)
     held = {x.folder for x in live}
-    _commit(spark, path, live)
+    _commit(spark, path, live, tags=tags)
     # Changes go from the newest on: what is left of them adds nothing that the last one lacks.
     for name in reversed(old):
         remove(spark, f"{path}/log/{name}")
-    for table in Index._fields:
+    for table in SCHEMAS:
         where, files = _files(spark, f"{path}/{table}")
         for x in files.listStatus(where) if files.exists(where) else []:
             if f"{table}/{x.getPath().getName()}" not in held:

@@ -13,6 +13,7 @@ from .functions.robots import AGENT
 from .operators import crawl, fetching, frontier, graph, index, jobs, repository, scoring, search, segments
 from .plans import pipeline
 from .sources import relation, textio
+from .streaming import hits as stream
 from .tables import stored, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,11 +456,14 @@ def seeds(spark, d):
     return textio.read_seeds(spark, path)
 
 
-@query(f"SELECT unnest([{_STOP}]) AS word")
+@query(f"""WITH found AS (SELECT lower(regexp_replace(unnest(string_split_regex(text, '\\s+')), '[,.]', '', 'g')) AS word FROM documents)
+  SELECT word, count(*) AS n FROM found WHERE word IN ({_STOP}) GROUP BY word""")
 def stop_words(spark, d):
+    """How often the documents hold the words of a list that is read from a file."""
     path = workspace(spark, "stop-words")
     spark.createDataFrame([(x,) for x in text.STOP_WORDS], "value string").write.text(path)
-    return spark.createDataFrame([(x,) for x in textio.read_stop_words(spark, path)], "word string")
+    said = _documents(spark, d).select(F.explode(text.words("text", ())).alias("word"))
+    return said.where(text.is_stop_word("word", textio.read_stop_words(spark, path))).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_name || ' ' || count(*) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -542,7 +546,7 @@ def users_put(spark, d):
     return _users(spark, d)
 
 
-@query("SELECT 'u4' AS username, 'new' AS password")
+@query("SELECT 'u' || c_custkey AS username, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS password FROM customer WHERE c_custkey = 4")
 def user_lookup(spark, d):
     return repository.user(_users(spark, d), "u4")
 
@@ -750,3 +754,16 @@ def source_of_a_word(spark, d):
     path = workspace(spark, "tfs")
     textio.write_relation(_index(spark, d).tf, "tfs", path)
     return relation.read(spark, "tfs", f"{path}/part-*").where(F.col("word") == TERM).withColumn("tf", F.round("tf", 9))
+
+
+@query(f"WITH {HITS} SELECT word, url, count(*) AS n FROM hits GROUP BY word, url")
+def streamed_hits(spark, d):
+    """Pages that arrive in five batches, many of them twice, and copies' smaller urls later than larger ones."""
+    home = workspace(spark, "streamed")
+    pages = _pages(spark, d).select("url", "html")
+    for i in range(5):
+        later = F.pmod(F.xxhash64("url"), F.lit(5))
+        pages.where((later == 4 - i) | (later == (i + 2) % 5)).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    stream.follow(arriving, f"{home}/index", f"{home}/at", availableNow=True).awaitTermination()
+    return stream.counts(spark, f"{home}/index")

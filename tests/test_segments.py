@@ -86,8 +86,23 @@ def test_writers_side_by_side(spark):
     out.flush()
     assert segments.state(spark, path) == before
     segments.put(Index(tf(spark, [("new", "u", 0.0), ("late", "u", 2.0)]), None, None), path)
-    out.write(bytearray((json.dumps(new) + '], "instead": [], "table": null}\n').encode()))
+    out.write(bytearray((json.dumps(new) + '], "instead": [], "table": null, "tags": []}\n').encode()))
     out.close()
     assert rows(segments.lookup(spark, path, "tf", "late")) == [("late", "u", 2.0)] and len(segments.state(spark, path)) == len(before) + 2
     segments.vacuum(spark, path)
     assert rows(segments.lookup(spark, path, "tf", "new")) == [("new", "u", 0.0)] and len(segments._changes(spark, path)) == 1
+
+
+def test_sums_and_tags(spark):
+    path, want = f"{workspace(spark, 'segments')}/counts", {}
+    rng = random.Random(3)
+    for i in range(6):
+        new = {(rng.choice("ab"), f"u{j}"): rng.randint(-2, 2) for j in range(4)}
+        frame = spark.createDataFrame([(*k, n) for k, n in new.items()], segments.SCHEMAS["counts"])
+        assert segments.add(frame, "counts", path, f"batch {i}") and not segments.add(frame, "counts", path, f"batch {i}")
+        want = {k: want.get(k, 0) + new.get(k, 0) for k in want | new}
+        if i == 3:
+            segments.merge(spark, path, 2)
+            segments.vacuum(spark, path)
+            assert not segments.add(frame, "counts", path, "batch 0")
+        assert rows(segments.load_table(spark, path, "counts")) == sorted((*k, n) for k, n in want.items() if n)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import stored, workspace
+from ..tables import CLEAN, setting, stored, workspace
 
 
 def distinct_edges(links: DataFrame) -> DataFrame:
@@ -56,26 +58,57 @@ def adjacency(edges: DataFrame, reverse: bool = False) -> DataFrame:
     return edges.groupBy(F.col(a).alias("url")).agg(F.array_sort(F.collect_list(b)).alias("neighbours"))
 
 
+def _bucketed(edges: DataFrame, nodes: DataFrame, home: str, parts: int) -> tuple[str, DataFrame]:
+    """(table of edges with salt, in buckets of their source and salt; nodes with splits) of edges (src, dst) and nodes (url, degree).
+
+    A source with more than a quarter of a bucket is split: its edges have one of so many salts, by target. There are at
+    most four times as many such sources as buckets, which is what is broadcast.
+    """
+    spark = edges.sparkSession
+    total = nodes.agg(F.sum("degree")).first()[0] or 0
+    most = max(1, total // (4 * parts))
+    splits = F.ceil(F.coalesce("degree", F.lit(1)) / F.lit(most)).cast("int")
+    nodes = nodes.withColumn("splits", splits)
+    hot = nodes.where("splits > 1").select(F.col("url").alias("src"), "splits")
+    salt = F.pmod(F.xxhash64("dst"), F.coalesce("splits", F.lit(1))).cast("int").alias("salt")
+    rows = edges.join(F.broadcast(hot), "src", "left").select("src", salt, "dst")
+    name = f"quillweave_edges_{uuid.uuid4().hex}"
+    with setting(spark, CLEAN, "true"):
+        rows.repartition(parts, "src", "salt").write.option("path", f"{home}/bucketed").format("parquet").bucketBy(parts, "src", "salt").sortBy("src", "salt").saveAsTable(name)
+    return name, nodes
+
+
+def _passed(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """url, into: what each target gets from its sources' ranks."""
+    salts = F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt")
+    given = ranks.where("degree is not null").select(F.col("url").alias("src"), (F.col("rank") / F.col("degree")).alias("share"), salts)
+    return edges.join(given, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("into"))
+
+
 def page_rank(links: DataFrame, damping: float = 0.8, iterations: int = 5) -> DataFrame:
     """url, rank after the given iterations from 1 / n; links count once.
 
     rank' = (1 - d) + d * (rank of sinks) / n + d * (sum of rank / out-degree of what links here): not normalised, the
     sum of all ranks isn't 1. Without sinks their rank is 0.
 
-    A source's rank is joined with its degree before it meets the edges, so that an iteration moves the edges once, and
-    contributions are summed before they move. Each iteration's ranks are a written table: they are used twice.
+    Edges lie in buckets of their source, so that an iteration moves sources' shares to them and what targets get, summed in
+    each task, but not the edges; sources of many edges are split. Each iteration's ranks are a written table: they are used twice.
     """
     spark = links.sparkSession
     home = workspace(spark, "rank")
     edges = stored(distinct_edges(links), f"{home}/edges")
     nodes = stored(vertices(edges).join(out_degree(edges), "url", "left"), f"{home}/nodes")
     n = nodes.count()
-    ranks = nodes.select("url", "degree", F.lit(1.0 / n if n else 0.0).alias("rank"))
-    for i in range(iterations):
-        given = ranks.where("degree is not null").select(F.col("url").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        into = edges.join(given, "src").groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("into"))
-        lost = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        new = F.lit(1 - damping) + damping * F.col("lost") / F.lit(n) + damping * F.coalesce("into", F.lit(0.0))
-        ranks = ranks.select("url", "degree").join(into, "url", "left").join(F.broadcast(lost)).select("url", "degree", new.alias("rank"))
-        ranks = stored(ranks, f"{home}/ranks-{i}")
-    return ranks.select("url", "rank")
+    name, nodes = _bucketed(edges, nodes, home, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        edges = spark.table(name)
+        ranks = nodes.select("url", "degree", "splits", F.lit(1.0 / n if n else 0.0).alias("rank"))
+        for i in range(iterations):
+            into = _passed(edges, ranks)
+            lost = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
+            new = F.lit(1 - damping) + damping * F.col("lost") / F.lit(n) + damping * F.coalesce("into", F.lit(0.0))
+            ranks = ranks.select("url", "degree", "splits").join(into, "url", "left").join(F.broadcast(lost)).select("url", "degree", "splits", new.alias("rank"))
+            ranks = stored(ranks, f"{home}/ranks-{i}")
+        return ranks.select("url", "rank")
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # its files stay with the other tables of the query

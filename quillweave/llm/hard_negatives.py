@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow, scratch, table
-from .vectors import ASKED, ROWS, meet, octant, packets, product, unpacked
+from .vectors import ASKED, LEAST, MOST, ROWS, Best, meet, octant, packets, product, unpacked
 
 SCALE = 256
 #: Vectors of a leaf.
 LEAF = 64
 #: What rounding can add to a bound, relative to the numbers that it is made of.
 SLACK = 1e-9
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 class Ball(NamedTuple):
@@ -74,19 +73,18 @@ def grow(ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, leaf: int = LEAF
     return Tree(ids[order], labels[order], stored[order], root)
 
 
-class Searches:
-    """Searches of a tile, and the k best rows that each holds so far: score descending, smaller ids first."""
+class Searches(Best):
+    """Searches of a tile, and the k best rows that each holds so far."""
 
     def __init__(self, ids, labels, rows, low, high, k: int, same: bool):
-        self.ids, self.labels, self.low, self.high, self.k, self.same = ids, labels, low, high, k, same
+        super().__init__(len(ids), k)
+        self.ids, self.labels, self.low, self.high, self.same = ids, labels, low, high, same
         # Searches of an anchor lie together: its products are made once.
         new = np.ones(len(ids), bool)
         new[1:] = ids[1:] != ids[:-1]
         self.of, self.anchors = np.cumsum(new) - 1, rows[new].astype(np.float64)
         with np.errstate(over="ignore"):
             self.norms = np.linalg.norm(self.anchors, axis=1)
-        self.scores, self.found = np.full((len(ids), k), _LEAST), np.full((len(ids), k), _MOST)
-        self.have = np.zeros(len(ids), np.int64)
         self.seen = 0  # leaves' vectors that were multiplied, times anchors
 
     def wanted(self, node: Ball, who: np.ndarray) -> np.ndarray:
@@ -129,20 +127,6 @@ class Searches:
         if len(s):
             self.take(who[s], scores[s, r], ids[r])
 
-    def take(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        order = np.lexsort((ids, ~scores, who))
-        who, scores, ids = who[order], scores[order], ids[order]
-        some, first, n = np.unique(who, return_index=True, return_counts=True)
-        nth = np.arange(len(who)) - np.repeat(first, n)
-        kept = nth < self.k
-        line = np.repeat(np.arange(len(some)), n)[kept]
-        new_s, new_i = np.full((len(some), self.k), _LEAST), np.full((len(some), self.k), _MOST)
-        new_s[line, nth[kept]], new_i[line, nth[kept]] = scores[kept], ids[kept]
-        s, i = np.concatenate([self.scores[some], new_s], 1), np.concatenate([self.found[some], new_i], 1)
-        order = np.lexsort((i, ~s), axis=1)[:, : self.k]
-        self.scores[some], self.found[some] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        self.have[some] = np.minimum(self.k, self.have[some] + np.minimum(n, self.k))
-
 
 _ASKED = ["id", "label", "low", "high", "tag"]
 _FOUND = "id long, tag long, found long, score long"
@@ -156,9 +140,8 @@ def _search(k: int, same: bool):
 
         def found() -> Iterator[pa.RecordBatch]:
             for tags, x in held.values():
-                line, col = np.nonzero(np.arange(x.k) < x.have[:, None])
-                cols = x.ids[line], tags[line], x.found[line, col], x.scores[line, col]
-                yield pa.record_batch([pa.array(c) for c in cols], ["id", "tag", "found", "score"])
+                line, found_, scores = x.rows()
+                yield pa.record_batch([pa.array(c) for c in (x.ids[line], tags[line], found_, scores)], ["id", "tag", "found", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -220,7 +203,7 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, k: int = 10, l
     blocks = packets(rows, ["id", "label"], ROWS, scale, f"{home}/blocks")
     asked = known.where("asked").groupBy("id").agg(F.min(F.struct("label", "vector", "code")).alias("x"))
     asked = table(asked.select("id", "x.label", "x.vector", "x.code"), f"{home}/anchors")
-    ends = F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high")
+    ends = F.lit(LEAST).alias("low"), F.lit(MOST).alias("high")
     found = _best(asked.select("id", "label", "vector", "code", *ends, F.lit(0).cast("long").alias("tag")), blocks, positives, True, scale, home)
     found = table(found.select("id", F.col("rank").cast("long").alias("tag"), F.col("found").alias("positive_id"), "score"), f"{home}/positives")
     least, most = window_of(F.col("score"), low, high)

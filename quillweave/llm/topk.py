@@ -1,14 +1,14 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A vector's score is the sum of its scores in blocks of components, so that each block is a list of local scores.
-1. Each task gathers, for each query and block, its rows of the largest local scores, adds up what these rows lack, and
-   sends their k best totals; the k-th best of all tasks is a safe cutoff for the query: k rows reach it.
-2. The cutoffs are broadcast. A row whose total reaches a cutoff has a local score of at least the cutoff divided by
-   the number of blocks in some block, so the entries from that uniform threshold on are sufficient; tasks collect them.
-3. What their rows' scores in the other blocks are is resolved exactly; the rows that reach the cutoff go to the final
+1. Each task gathers, for each query and block of components, its rows of the largest local scores, adds up what these rows
+   lack, and sends their k best totals; the k-th best of all tasks is a safe cutoff for the query: k rows reach it.
+2. The cutoffs go out with the queries. A row whose total reaches a cutoff has a local score of at least the cutoff divided
+   by the number of lists in some list, so the entries from that uniform threshold on are sufficient; tasks collect them.
+3. What their rows' scores in the other lists are is resolved exactly; the rows that reach the cutoff go to the final
    choice, at most k of each task and query.
 
-Queries are taken in blocks of bounded size, each against all rows.
+Queries lie in tiles and rows in blocks that meet in the cells of a grid (``vectors``): two jobs, whatever their numbers.
 """
 
 from __future__ import annotations
@@ -22,50 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow, scratch, table
+from .vectors import LEAST, ROWS, Best, meet, packets, product, quantised, unpacked  # noqa: F401
 
-#: Queries of a block: what is broadcast holds as many vectors.
-QUERIES = 4096
+#: Queries of a tile.
+QUERIES = 256
 #: Blocks of components.
 LISTS = 4
 SCALE = 1024
-#: Cells of a matrix of scores that are held at a time.
-CELLS = 1 << 21
-
-
-def quantised(vectors: pa.Array, scale: int = SCALE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length of valid vectors: (their positions, their components as floor(scale * x)).
-
-    A vector that is null or empty, or holds a null or a number that isn't finite, is left out.
-    """
-    if not len(vectors):
-        return []
-    first = vectors.offsets.to_numpy()
-    sizes, flat = np.diff(first), vectors.values
-    sizes = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-    good = flat.is_valid().to_numpy(zero_copy_only=False)
-    x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-    out = []
-    for n in np.unique(sizes[sizes > 0]).tolist():
-        at = np.flatnonzero(sizes == n)
-        cells = first[at][:, None] + np.arange(n)
-        v = x[cells]
-        fit = good[cells].all(1) & np.isfinite(v).all(1)
-        if fit.any():
-            out.append((at[fit], np.floor(v[fit] * scale)))
-    return out
-
-
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of whole numbers, exact: in doubles where no sum can pass 2**53, else in whole numbers.
-
-    A score beyond 64 bits is set to the nearest that a long holds.
-    """
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
-        return (a @ b.T).astype(np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**62:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    wide = np.array([[int(x) for x in row] for row in a], object) @ np.array([[int(x) for x in row] for row in b], object).T
-    return np.clip(wide, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+#: Local scores beyond which sums are made of whole vectors.
+WIDE = 1 << 60
+_SCHEMA = "query_id long, vec_id long, score long"
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -77,69 +43,66 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _blocks(dims: int, lists: int) -> list[slice]:
+def _parts(dims: int, lists: int) -> list[slice]:
     edges = np.linspace(0, dims, min(lists, max(1, dims)) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-_SCHEMA = "query_id long, vec_id long, score long"
+def _local(queries: np.ndarray, rows: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores of each list: lists x queries x rows, totals)."""
+    local = np.stack([product(queries[:, p], rows[:, p]) for p in _parts(rows.shape[1], lists)])
+    wide = local.size and max(int(local.max()), -int(local.min())) >= WIDE
+    return local, product(queries, rows) if wide else local.sum(0)
 
 
-def _emit(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    q = np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found])
-    return pa.record_batch([pa.array(q), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
+def _gathered(queries: np.ndarray, rows: np.ndarray, cutoffs: np.ndarray, k: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, total) of the rows of the k largest local scores of each list, once each."""
+    local, total = _local(queries, rows, lists)
+    n = min(k + 1, local.shape[2])  # one more, for the query's own row
+    at = np.argpartition(local, local.shape[2] - n, axis=2)[:, :, local.shape[2] - n :]
+    cells = np.unique(at + (np.arange(len(queries)) * len(rows))[:, None])
+    return cells // len(rows), cells % len(rows), total.ravel()[cells]
 
 
-def _scan(shared, k: int, lists: int, scale: int, resolve):
-    """resolve(the query's cutoff, scores of each list (lists x rows)) gives the rows whose totals matter.
+def _collected(queries: np.ndarray, rows: np.ndarray, cutoffs: np.ndarray, k: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, total) of the rows that reach the cutoff, among those of a local score from the uniform threshold on."""
+    local, total = _local(queries, rows, lists)
+    least = cutoffs // len(local) + (cutoffs % len(local) > 0)
+    enough = (local >= least[:, None]).any(0)
+    q, r = np.nonzero(enough & (total >= cutoffs[:, None]))
+    return q, r, total[q, r]
 
-    shared holds for each length of vectors the queries' ids, their vectors and, where known, their cutoffs.
-    """
 
+def _scan(find, k: int, lists: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for at, rows in quantised(batch.column("vector"), scale):
-                if rows.shape[1] not in shared.value:
-                    continue
-                ids, queries, cutoffs = shared.value[rows.shape[1]]
-                names = batch.column("id").take(pa.array(at)).to_numpy()
-                parts = _blocks(rows.shape[1], lists)
-                step = max(1, CELLS // (len(rows) * len(parts)))
-                for i in range(0, len(queries), step):
-                    local = np.stack([product(queries[i : i + step, p], rows[:, p]) for p in parts], 1)
-                    for j in range(local.shape[0]):
-                        q = int(ids[i + j])
-                        places = resolve(None if cutoffs is None else int(cutoffs[i + j]), local[j])
-                        places = places[names[places] != q]
-                        if not len(places):
-                            continue
-                        total = local[j][:, places].sum(0)
-                        got = names[places]
-                        if q in kept:
-                            got, total = np.concatenate([kept[q][0], got]), np.concatenate([kept[q][1], total])
-                        order = best(total, got, k)
-                        kept[q] = got[order], total[order]
-        if kept:
-            yield _emit([(q, i, s) for q, (i, s) in kept.items()])
+        held: dict[int, tuple] = {}
+        blocks: dict[int, tuple] = {}
+        cell = None
 
-    return run
-
-
-def _gather(shared, k: int, lists: int, scale: int):
-    def resolve(cutoff: None, local: np.ndarray) -> np.ndarray:
-        n = min(k + 1, local.shape[1])  # one more, for the query's own row
-        return np.unique(np.argpartition(local, local.shape[1] - n, axis=1)[:, local.shape[1] - n :])
-
-    return _scan(shared, k, lists, scale, resolve)
+        def found() -> Iterator[pa.RecordBatch]:
+            for _, ids, _, top in held.values():
+                line, got, scores = top.rows()
+                yield pa.record_batch([pa.array(c) for c in (ids[line], got, scores)], ["query_id", "vec_id", "score"])
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, tile, block = (batch.column(c)[i].as_py() for c in ("cell", "t_no", "b_no"))
+                if here != cell:
+                    yield from found()
+                    held, blocks, cell = {}, {}, here
+                if block not in blocks:
+                    blocks[block] = unpacked(batch, i, ["id"], "b")
+                if tile not in held:
+                    queries, (ids, cutoffs) = unpacked(batch, i, ["id", "cutoff"], "t")
+                    held[tile] = queries.astype(np.float64), ids, cutoffs, Best(len(ids), k)
+                rows, (names,) = blocks[block]
+                queries, ids, cutoffs, top = held[tile]
+                q, r, scores = find(queries, rows.astype(np.float64), np.maximum(cutoffs, top.scores[:, -1]), k, lists)
+                other = names[r] != ids[q]
+                top.take(q[other], scores[other], names[r[other]])
+        yield from found()
 
-def _collect(shared, k: int, lists: int, scale: int):
-    def resolve(cutoff: int, local: np.ndarray) -> np.ndarray:
-        places = np.flatnonzero((local * local.shape[0] >= cutoff).any(0))
-        return places[local[:, places].sum(0) >= cutoff]
-
-    return _scan(shared, k, lists, scale, resolve)
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE, lists: int = LISTS, block: int = QUERIES) -> DataFrame:
@@ -149,41 +112,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCA
     query's own vec_id is no candidate. Rows whose vec_id or vector is null, or whose vector is empty or holds a null or
     a number that isn't finite, take no part; a query's candidates are the vectors of its length; a query without
     candidates has no rows. Repeated queries count once; repeated candidates each. Other columns, of whatever name, are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. block is the number of queries of a tile.
     """
-    spark = vectors.sparkSession
-    home = scratch(spark, "topk")
-    rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = table(asked.dropDuplicates(["id"]).repartitionByRange("id").sortWithinPartitions("id"), f"{home}/queries")
+    home = scratch(vectors.sparkSession, "topk")
+    columns = F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")
+    known = F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
+    blocks = packets(vectors.where(known).select(*columns), ["id"], ROWS, scale, f"{home}/blocks")
+    asked = table(queries.where(known).select(*columns).dropDuplicates(["id"]), f"{home}/queries")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out, after, number = None, None, 0
-    while True:
-        # A block of queries is a range of ids: of bounded size, read from the table in order.
-        part = (asked if after is None else asked.where(F.col("id") > after)).orderBy("id").limit(block).toArrow()
-        if not part.num_rows:
-            break
-        ids = part.column("id").to_numpy()
-        after = int(ids[-1])
-        spaces = {m.shape[1]: (ids[at], m, None) for at, m in quantised(part.column("vector").combine_chunks(), scale)}
-        if not spaces:
-            continue
-        shared = spark.sparkContext.broadcast(spaces)
-        seen = rows.transform(arrow, _gather(shared, k, lists, scale), _SCHEMA)
-        seen = table(seen.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), f"{home}/gathered-{number}")
-        lowest = seen.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
-        lowest = {x.query_id: x.score for x in lowest.select("query_id", "score").collect()}
-        # With fewer than k rows all are sufficient.
-        cutoffs = {n: (i, m, np.array([lowest.get(int(x), -(1 << 62)) for x in i], np.int64)) for n, (i, m, _) in spaces.items()}
-        shared.destroy()
-        shared = spark.sparkContext.broadcast(cutoffs)
-        got = rows.transform(arrow, _collect(shared, k, lists, scale), _SCHEMA)
-        got = got.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k)
-        got = table(got.select("query_id", "rank", "vec_id", "score"), f"{home}/found-{number}")
-        shared.destroy()
-        out = got if out is None else out.unionByName(got)
-        number += 1
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def phase(rows: DataFrame, find, name: str) -> DataFrame:
+        tiles = packets(rows.repartitionByRange("id").sortWithinPartitions("id"), ["id", "cutoff"], block, scale, f"{home}/{name}")
+        got = meet(tiles, blocks).transform(arrow, _scan(find, k, lists), _SCHEMA)
+        return got.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k)
+
+    none = F.lit(LEAST).alias("cutoff")
+    seen = phase(asked.select("*", none), _gathered, "gather").groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
+    cutoffs = table(seen.where(F.col("n") == k).select(F.col("query_id").alias("id"), "cutoff"), f"{home}/cutoffs")
+    # With fewer than k rows all are sufficient.
+    asked = asked.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(LEAST)))
+    return phase(asked, _collected, "collect").select("query_id", "rank", "vec_id", "score")
 
 
 def divisible(column: str = "vec_id", by: int = 100) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, table
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Rows of a block, queries of a tile.
 ROWS, ASKED = 2048, 1024
 #: Tiles and blocks of a cell at most; columns of the grid that are made where there are as many blocks.
@@ -27,7 +28,7 @@ COMPONENTS = 1 << 18
 PARTITIONS = 8192
 
 
-def quantised(vectors: pa.Array, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def quantised(vectors: pa.Array, scale: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length of valid vectors: (their positions, their components as floor(scale * x)).
 
     A vector that is null or empty, or holds a null or a number that isn't finite, is left out.
@@ -65,6 +66,33 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+class Best:
+    """The k best rows that each of some searches holds so far: score descending, smaller ids first."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.have = k, np.zeros(n, np.int64)
+        self.scores, self.found = np.full((n, k), LEAST), np.full((n, k), MOST)
+
+    def take(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((ids, ~scores, who))
+        who, scores, ids = who[order], scores[order], ids[order]
+        some, first, n = np.unique(who, return_index=True, return_counts=True)
+        nth = np.arange(len(who)) - np.repeat(first, n)
+        kept = nth < self.k
+        line = np.repeat(np.arange(len(some)), n)[kept]
+        new_s, new_i = np.full((len(some), self.k), LEAST), np.full((len(some), self.k), MOST)
+        new_s[line, nth[kept]], new_i[line, nth[kept]] = scores[kept], ids[kept]
+        s, i = np.concatenate([self.scores[some], new_s], 1), np.concatenate([self.found[some], new_i], 1)
+        order = np.lexsort((i, ~s), axis=1)[:, : self.k]
+        self.scores[some], self.found[some] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        self.have[some] = np.minimum(self.k, self.have[some] + np.minimum(n, self.k))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(search, id, score) of all that are held."""
+        line, col = np.nonzero(np.arange(self.k) < self.have[:, None])
+        return line, self.found[line, col], self.scores[line, col]
+
+
 def octant(vector: str = "vector", bits: int = 16) -> Column:
     """The signs of a vector's first components, by which near vectors are put side by side."""
     code = F.lit(0)

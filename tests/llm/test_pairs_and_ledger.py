@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import oracle  # noqa: E402
 
-from quillweave.llm import alignment, hard_negatives, queries, secrets, vectors  # noqa: E402
+from quillweave.llm import alignment, hard_negatives, queries, secrets, topk, vectors  # noqa: E402
 from quillweave.llm.common import located, scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -264,3 +264,22 @@ def test_other_formats(spark):
 def test_locations():
     assert located("s3a://b/x") == "s3://b/x" and located("dbfs:/x/y") == "/dbfs/x/y" and located("file:/x") == located("file:///x") == "/x"
     assert located("hdfs://n/x") == "hdfs://n/x" and located("/x/y") == "/x/y"
+
+
+def test_top_k_is_two_jobs(spark, monkeypatch):
+    """Many tiles and groups of blocks: the same rows, from a plan of the same size."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6).round(1)]) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    m = np.floor(1024 * np.array([v for _, v in rows]))
+    s = (m @ m.T).astype(np.int64)
+    want = [(q, r, int(i), int(s[q, i])) for q in range(0, 900, 3) for r, i in enumerate(sorted((i for i in range(900) if i != q), key=lambda i: (-s[q, i], i))[:7], 1)]
+    plans = []
+    for block, tiles, blocks, size in ((512, 64, 32, 2048), (20, 2, 4, 64)):
+        for name, value in (("TILES", tiles), ("BLOCKS", blocks), ("COLUMNS", 3)):
+            monkeypatch.setattr(vectors, name, value)
+        monkeypatch.setattr(topk, "ROWS", size)
+        found = topk.search(frame, frame.where("vec_id % 3 = 0"), k=7, block=block)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        assert sorted(map(tuple, found.collect())) == want
+    assert plans[0] == plans[1]

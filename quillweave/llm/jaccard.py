@@ -56,8 +56,6 @@ ROWS = 500
 #: Shingles of all sets that a task holds for one group, where a set counts OWN more; bytes of points likewise.
 LIMIT = 2_000_000
 OWN = 200
-#: Bits of the map of candidates' ids that texts are filtered with before their sets are built again.
-PLACES = 1 << 22
 
 
 def differ(total: int, num: int, den: int) -> int:
@@ -463,35 +461,27 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x], t) for x, t in zip((*now[:3], packed(narrow(now[3]))), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names)
 
 
-def _fetch(k: int, shared, points: bool):
+def _fetch(k: int, points: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("place").to_numpy()]))
-            if not batch.num_rows:
-                continue
             prints, out = [], []
             for _, s in _sets(batch, k):
                 prints.append(fingerprint(s))
                 out.append(packed(point(s)) if points else s.tobytes())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "class", "data"])
+            yield pa.record_batch([pa.array(prints, pa.int64()), pa.array(out, pa.binary())], ["class", "data"])
 
     return run
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, k: int, points: bool) -> DataFrame:
-    """The columns of wanted (class, doc_id, more) and data: the class' set, or its point, built again from its text.
+def fetch(docs: DataFrame, wanted: DataFrame, homes: DataFrame, k: int, points: bool, home: str) -> DataFrame:
+    """The columns of wanted (class, more) and data: the class' set, or its point, built again from a text of it.
 
-    Texts are filtered where they lie by a bit map of the wanted ids, of fixed size; what passes by chance is lost in
-    the join, to which sets go and no texts.
+    homes (class, file, row) says where a text of each class lies. Those texts are read in place by tasks that scan their
+    files; wanted sets alone are built and move.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int").alias("place")
-    marks = np.zeros(PLACES, bool)
-    marks[wanted.select(place).distinct().toArrow().column("place").to_numpy()] = True  # at most PLACES rows
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    found = docs.select("doc_id", "text", place).transform(arrow, _fetch(k, shared, points), "doc_id long, class long, data binary")
-    same = (F.col("f.class") == F.col("w.class")) & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
-    return found.alias("f").join(wanted.alias("w"), same).select("w.*", "f.data")
+    at = wanted.select("class").distinct().join(homes, "class").select("file", "row", F.lit(1).alias("n"))
+    found = emit(docs.select("text", "file", "row"), "file", "row", at, home).transform(arrow, _fetch(k, points), "class long, data binary")
+    return found.join(wanted, "class")
 
 
 def _tasks(members: DataFrame, carry: list[str], num: int, den: int, limit: int) -> DataFrame:
@@ -534,8 +524,8 @@ def _told(blocks: DataFrame, member: str) -> DataFrame:
     return blocks.join(told.groupBy("x", "y", "n").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi")
 
 
-def _blocks(docs: DataFrame, k: int, num: int, den: int, home: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables: docs without text but with n_shingles and class; classes (class, doc_id, size); blocks (sign, class)."""
+def _blocks(docs: DataFrame, k: int, num: int, den: int, home: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables: docs without text but with n_shingles and class; classes (class, doc_id, size); homes (class, file, row); blocks (sign, class)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeated(docs, k))
     kept = [x for x in docs.schema if x.name != "text"]
@@ -545,13 +535,14 @@ def _blocks(docs: DataFrame, k: int, num: int, den: int, home: str) -> tuple[Dat
     met = table(rows.transform(arrow, _shared, "sign long, class long"), f"{home}/shared")
     slim = table(signed.drop("signs"), f"{home}/slim")
     remove(spark, f"{home}/signed")
-    classes = table(slim.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")), f"{home}/classes")
+    found = table(slim.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.min(F.struct("file", "row")).alias("at")), f"{home}/classes")
+    classes, homes = found.drop("at"), found.select("class", "at.file", "at.row")
     blocks = table(_told(met, "class"), f"{home}/blocks")
     remove(spark, f"{home}/shared")
-    return slim, classes, blocks
+    return slim, classes, homes, blocks
 
 
-def _stars(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
+def _stars(docs: DataFrame, homes: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
     """Links (a, b) of the blocks' centres with other sets of their blocks."""
     known = blocks.join(met.select("class", "size", "n"), "class")
     centre = known.groupBy("sign").agg(F.max(F.struct("n", "class", "size")).alias("c")).select("sign", F.col("c.class").alias("a"), F.col("c.size").alias("size_a"))
@@ -562,18 +553,18 @@ def _stars(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame
     with batches_of(docs.sparkSession, ROWS):
         pairs = table(both.transform(arrow, _bounded(num, den), "a long, b long"), f"{home}/pairs")
     # A star of more than a task holds is dealt to several tasks, each with its centre.
-    others = pairs.join(met.select(F.col("class").alias("b"), "doc_id", "size"), "b")
+    others = pairs.join(met.select(F.col("class").alias("b"), "size"), "b")
     parts = others.groupBy("a").agg(F.ceil(F.sum(F.col("size") + OWN) / limit).cast("int").alias("parts"))
-    others = others.join(parts, "a").select(F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), "parts")).alias("task"), "a", F.col("b").alias("class"), F.lit(1).alias("side"), "doc_id")
+    others = others.join(parts, "a").select(F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), "parts")).alias("task"), "a", F.col("b").alias("class"), F.lit(1).alias("side"))
     others = table(others, f"{home}/others")
-    centres = others.select("task", "a").distinct().join(met.select(F.col("class").alias("a"), "doc_id"), "a").select("task", F.col("a").alias("class"), F.lit(0).alias("side"), "doc_id")
+    centres = others.select("task", "a").distinct().select("task", F.col("a").alias("class"), F.lit(0).alias("side"))
     wanted = table(others.drop("a").unionByName(centres), f"{home}/rays")
-    sets = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "side")
+    sets = fetch(docs, wanted, homes, k, False, f"{home}/at-rays").repartition("task").sortWithinPartitions("task", "side")
     with batches_of(docs.sparkSession, ROWS):
         return table(sets.transform(arrow, _compare(num, den), "a long, b long").distinct(), f"{home}/stars")
 
 
-def _rest(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, roots: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
+def _rest(docs: DataFrame, homes: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame, roots: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
     """Links (a, b) that connect, with the components in roots (node, root), what all links in blocks connect."""
     spark = docs.sparkSession
     of = roots.withColumnRenamed("node", "class")
@@ -595,24 +586,24 @@ def _rest(docs: DataFrame, blocks: DataFrame, met: DataFrame, points: DataFrame,
     groups = components(near, f"{home}/near")
     groups = table(groups.select(F.col("node").alias("known"), F.col("root").alias("group")), f"{home}/groups")
     wanted = rooted(met).withColumnRenamed("root", "known").join(groups, "known")
-    wanted = wanted.select(F.col("group").alias("root"), "class", "doc_id", "known", F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") + OWN).alias("weight"))
-    wanted = table(_tasks(table(wanted, f"{home}/wanted"), ["doc_id", "known", "low", "high"], num, den, limit), f"{home}/tasks")
-    verify = fetch(docs, wanted, k, False).repartition("task").sortWithinPartitions("task", "side", "class")
+    wanted = wanted.select(F.col("group").alias("root"), "class", "known", F.col("size").alias("low"), F.col("size").alias("high"), (F.col("size") + OWN).alias("weight"))
+    wanted = table(_tasks(table(wanted, f"{home}/wanted"), ["known", "low", "high"], num, den, limit), f"{home}/tasks")
+    verify = fetch(docs, wanted, homes, k, False, f"{home}/at-tasks").repartition("task").sortWithinPartitions("task", "side", "class")
     with batches_of(spark, ROWS):
         return table(verify.transform(arrow, _link(num, den, True), "a long, b long"), f"{home}/links")
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, limit: int, home: str) -> DataFrame:
-    """docs (doc_id, text, more) without text, with n_shingles, component, component_id.
+    """docs (doc_id, text, file, row: where it lies) without text, with n_shingles, component, component_id.
 
     component is one number for all rows that links connect, null for empty sets.
     """
-    slim, classes, blocks = _blocks(docs, k, num, den, home)
+    slim, classes, homes, blocks = _blocks(docs, k, num, den, home)
     met = table(blocks.groupBy("class").agg(F.count("*").alias("n")).join(classes, "class"), f"{home}/met")
-    points = table(fetch(docs, met, k, True).dropDuplicates(["class"]).select("class", "size", "data"), f"{home}/points")
-    stars = _stars(docs, blocks, met, points, k, num, den, limit, home)
+    points = table(fetch(docs, met, homes, k, True, f"{home}/at-points").select("class", "size", "data"), f"{home}/points")
+    stars = _stars(docs, homes, blocks, met, points, k, num, den, limit, home)
     roots = table(components(stars, f"{home}/star-links"), f"{home}/star-roots")
-    links = _rest(docs, blocks, met, points, roots, k, num, den, limit, home)
+    links = _rest(docs, homes, blocks, met, points, roots, k, num, den, limit, home)
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
     linked = table(components(links, f"{home}/linked"), f"{home}/roots")
     known = linked.join(classes, linked["node"] == classes["class"]).select("class", "root", "doc_id")
@@ -625,6 +616,11 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, limit: int, home: str)
     return full.unionByName(plain)
 
 
+def _located(docs: DataFrame, home: str) -> DataFrame:
+    rows, file, row = placed(docs, home)
+    return rows.select("doc_id", "text", F.col(f"`{file}`").alias("file"), F.col(f"`{row}`").alias("row"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -634,7 +630,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit: int
     one piece. Repeated rows link as copies do; a row without doc_id links, but its null is never the smallest while
     others have one. An empty table gives an empty result. Other columns, of whatever name, are ignored.
     """
-    found = _classes(docs.select("doc_id", "text"), k, num, den, limit, scratch(docs.sparkSession, "jaccard"))
+    home = scratch(docs.sparkSession, "jaccard")
+    found = _classes(_located(docs, home), k, num, den, limit, home)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
@@ -646,7 +643,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, limit:
     """
     home = scratch(docs.sparkSession, "keep-one")
     rows, file, row = placed(docs, home)
-    found = _classes(rows.select("doc_id", "text", F.col(f"`{file}`").alias("file"), F.col(f"`{row}`").alias("row")), k, num, den, limit, home)
+    found = _classes(rows.select("doc_id", "text", F.col(f"`{file}`").alias("file"), F.col(f"`{row}`").alias("row")), k, num, den, limit, f"{home}/classes")
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("x"))
     stay = first.select("x.file", "x.row").unionByName(found.where("component is null").select("file", "row"))
     return emit(rows, file, row, stay.withColumn("n", F.lit(1)), home)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+def give_back() -> None:
+    """Returns memory that the worker has freed to the machine: where its C library can, from the middle of the heap too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def arrow(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow, with the package at hand for the workers, which give memory back when a task ends."""
     ship(df.sparkSession)
@@ -43,7 +53,7 @@ def arrow(df: DataFrame, function, schema) -> DataFrame:
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -128,10 +138,11 @@ def _emit(path: str, width: int, coded: bool):
     return run
 
 
-def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str, code: str | None = None) -> DataFrame:
+def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str, code: str | None = None, then=None) -> DataFrame:
     """The columns of rows but file and row, each row as often as counts (file, row, n) says, 0 if not named there.
 
-    With a name for n, rows that are named come once, with their n as a column of that name.
+    With a name for n, rows that are named come once, with their n as a column of that name. then, a function of batches and
+    its schema, is what the same Python worker does with the rows: another one beside it would double what workers hold.
     rows come from placed. What is written, and read by the tasks that scan a file, are the counts, in parts of a file
     of at most 2**PART rows; the rows stay where they lie.
     """
@@ -143,8 +154,10 @@ def emit(rows: DataFrame, file: str, row: str, counts: DataFrame, home: str, cod
     names = [c for c in rows.columns if c not in (file, row)]
     at, of = F.col(f"`{row}`"), F.md5(F.col(f"`{file}`").cast("binary"))
     cells = rows.select(*[F.col(f"`{c}`") for c in names], F.concat_ws("-", of, F.shiftright(at, PART)).alias(file), at.alias(row))
-    schema = rows.drop(file, row).schema
-    return arrow(cells, _emit(path, len(names), code is not None), schema.add(code, "long") if code else schema)
+    schema, run = rows.drop(file, row).schema, _emit(path, len(names), code is not None)
+    if then is not None:
+        return arrow(cells, lambda batches: then[0](run(batches)), then[1])
+    return arrow(cells, run, schema.add(code, "long") if code else schema)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

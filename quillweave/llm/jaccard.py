@@ -480,7 +480,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, homes: DataFrame, k: int, points:
     files; wanted sets alone are built and move.
     """
     at = wanted.select("class").distinct().join(homes, "class").select("file", "row", F.lit(1).alias("n"))
-    found = emit(docs.select("text", "file", "row"), "file", "row", at, home).transform(arrow, _fetch(k, points), "class long, data binary")
+    found = emit(docs.select("text", "file", "row"), "file", "row", at, home, then=(_fetch(k, points), "class long, data binary"))
     return found.join(wanted, "class")
 
 

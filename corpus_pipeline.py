@@ -55,7 +55,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix emits it; a null text, or one without words, has size 0 and its place too.
 
-    Rows are told apart by where they lie, so that repeated rows and rows without doc_id each get their own copies.
+    Rows are told apart by where they lie, so that repeated rows and rows without doc_id each get their own copies. Very long
+    texts count whole; all columns are kept, whatever their names; an empty table gives an empty result.
     """
     home = scratch(spark, "mixed")
     rows, file, row = placed(docs, home)

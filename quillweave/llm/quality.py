@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     """The model of docs (doc_id, text): counts over all of them, the good ones by labels (doc_id, quality).
 
     Rows of labels with null are left out; a doc_id with two labels is good if any says so. Without good texts, and
-    for an empty table, all weights are 0. The driver gets the buckets and the labelled rows' mean log ratios.
+    for an empty table, all weights are 0. The driver gets the buckets and a mean log ratio for each labelled
+    doc_id, the largest of its rows.
     """
     spark = docs.sparkSession
     home = scratch(spark, "quality")
@@ -133,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: in
     ratio = np.log((good + 1) / (good.sum() + buckets)) - np.log((every + 1) / (every.sum() + buckets))
     schema = "doc_id long, n_features long, log_weight double, sample_key double, key_order long"
     scored = docs.select("doc_id", "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi").transform(arrow, _score(Model(ratio, 0.0), 0, 1.0), schema)
-    means = scored.join(F.broadcast(marks), "doc_id").where("n_features > 0").orderBy("doc_id").select("good", (F.col("log_weight") / LENGTH).alias("mean")).toArrow()
+    best = scored.where("n_features > 0").groupBy("doc_id").agg(F.max("log_weight").alias("log_weight"))  # a doc_id may have many rows
+    means = best.join(F.broadcast(marks), "doc_id").orderBy("doc_id").select("good", (F.col("log_weight") / LENGTH).alias("mean")).toArrow()
     is_good, mean = means.column("good").to_numpy(zero_copy_only=False).astype(bool), means.column("mean").to_numpy()
     at = cut(mean[is_good], mean[~is_good], keep)
     return Model(ratio, at, *curve((mean - at) * LENGTH, is_good))

@@ -228,7 +228,7 @@ def _index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for number, name in zip(batch.column("number").to_pylist(), batch.column("file").to_pylist()):
                 rows = []
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for r in arc_records(f.read, name.endswith(".gz")):
@@ -236,9 +236,9 @@ def _index(folder: str):
                             continue
                         head, payload = split_http(r.block)
                         row = http_field(head, "X-Row-Id")
-                        rows.append((name, r.offset, None if row is None else int(row), len(payload), digest(payload)))
+                        rows.append((number, name, r.offset, None if row is None else int(row), len(payload), digest(payload)))
                 if rows:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["file", "offset", "row_id", "payload_bytes", "payload_digest"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["number", "file", "offset", "row_id", "payload_bytes", "payload_digest"])
 
     return run
 
@@ -281,7 +281,8 @@ def _convert(folder: str, to: str):
 
 
 def _files(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in names], "file string").repartition(max(1, len(names)), "file")
+    """number, file of the archives, each in a partition of its own."""
+    return spark.createDataFrame(list(enumerate(names)), "number int, file string").repartitionById(max(1, len(names)), "number")
 
 
 def convert(spark: SparkSession, folder: str, names: list[str], to: str, min_bytes: int = 0) -> list[str]:
@@ -292,7 +293,7 @@ def convert(spark: SparkSession, folder: str, names: list[str], to: str, min_byt
     others are revisit records of it, with the HTTP head as block.
     """
     home = scratch(spark, "cdx")
-    schema = "file string, offset long, row_id long, payload_bytes long, payload_digest string"
+    schema = "number int, file string, offset long, row_id long, payload_bytes long, payload_digest string"
     index = table(_files(spark, names).transform(arrow, _index(folder), schema), f"{home}/index")
     first = F.min(F.struct(F.col("row_id").isNull(), F.col("row_id").alias("ref_row"), F.col("file").alias("ref_file"), F.col("offset").alias("ref_offset")))
     groups = index.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(first.alias("f"), F.count("*").alias("n"))
@@ -300,8 +301,8 @@ def convert(spark: SparkSession, folder: str, names: list[str], to: str, min_byt
     plan = index.join(groups, ["payload_digest", "payload_bytes"], "left")
     itself = (F.col("file") == F.col("ref_file")) & (F.col("offset") == F.col("ref_offset"))
     ref = [F.when(~F.coalesce(itself, F.lit(True)), F.col(c)).alias(c) for c in ("ref_file", "ref_offset", "ref_row")]
-    # One task streams whole archives in order; their number is fixed, or Spark would put small index parts together.
-    plan = plan.select("file", "offset", *ref).repartition(max(1, len(names)), "file").sortWithinPartitions("file", "offset")
+    # One task streams one whole archive in order: by its number, as hashes of names leave some tasks empty and give others several.
+    plan = plan.select("number", "file", "offset", *ref).repartitionById(max(1, len(names)), "number").drop("number").sortWithinPartitions("offset")
     return sorted(x.file for x in plan.transform(arrow, _convert(folder, to), "file string").collect())
 
 

@@ -91,6 +91,16 @@ def test_warc(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_are_dealt_one_by_one(spark):
+    names = [f"part-{i:05d}-0000.arc.gz" for i in range(40)]
+    dealt = warc._files(spark, names).groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list("file").alias("files")).collect()
+    assert sorted(x.files for x in dealt) == [[x] for x in names]
+    many = spark.range(0, 60, 1, 20).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), (F.col("id") % 7).cast("string").alias("html"))
+    got = {x.page_id: x for x in warc.archive_pages(many).collect()}
+    assert len({x.file for x in got.values()}) == 20
+    assert {i: x.refers_to for i, x in got.items()} == {i: None if i < 7 else i % 7 for i in range(60)}
+
+
 def test_gif(spark, odd_docs):
     got = gif_media.media_features(odd_docs).collect()
     want = Counter()
@@ -163,6 +173,16 @@ def test_quality(spark, odd_docs):
     assert quality.resample(odd_docs.limit(0), odd_labels).count() == 0
 
 
+def test_quality_gathers_one_row_of_a_label(spark, monkeypatch):
+    """However many rows share a labelled doc_id."""
+    docs = spark.range(0, 4000, 1, 4).select(F.least("id", F.lit(9)).alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 13).alias("text"))
+    labels = spark.createDataFrame([(i, int(i > 4)) for i in range(10)], "doc_id long, quality int")
+    seen, cut = [], quality.cut
+    monkeypatch.setattr(quality, "cut", lambda good, bad, keep: seen.append((len(good), len(bad))) or cut(good, bad, keep))
+    quality.fit(docs, labels)
+    assert seen == [(5, 5)]
+
+
 def test_quality_weights(spark):
     """Against two dictionaries of counts, and draws against the weights."""
     rng = random.Random(5)

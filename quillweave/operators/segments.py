@@ -15,9 +15,11 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import CLEAN, remove, setting
@@ -97,19 +99,28 @@ def _commit(spark: SparkSession, path: str, new: list[Segment], instead: list[Se
     out.close()
 
 
-def _write(rows: DataFrame, table: str, path: str, level: int) -> Segment | None:
-    """A segment of rows, in order of key; none if there are no rows."""
+def _write(rows: DataFrame, table: str, path: str, level: int, reduced: Callable[[DataFrame], DataFrame] = lambda x: x) -> Segment | None:
+    """A segment of rows, in order of key; none if there are no rows.
+
+    reduced is given the rows when they lie in ranges of their key: what it groups by key doesn't move again.
+    """
     spark, keys = rows.sparkSession, KEYS[table]
     folder = f"{table}/{level}-{uuid.uuid4().hex}"
     with setting(spark, CLEAN, "true"):
-        ordered = rows.select(*[x.split()[0] for x in SCHEMAS[table].split(", ")]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        ordered = reduced(rows.repartitionByRange(*keys)).select(*_names(table)).sortWithinPartitions(*keys)
         ordered.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/{folder}")
     written = spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{folder}")
-    # One row for each file.
-    held = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min(keys[0]).alias("first"), F.max(keys[0]).alias("last")).collect()
+    # One row for each file, of its distinct first keys: the smallest of strings needs a sort, which few rows take.
+    held = written.select(F.col("_metadata.file_name").alias("name"), keys[0]).distinct().groupBy("name").agg(F.min(keys[0]).alias("first"), F.max(keys[0]).alias("last")).collect()
     return Segment(table, folder, level, sorted((x.name, x.first, x.last) for x in held)) if held else None
 
 
+def _once(rows: DataFrame, table: str, seen: Observation) -> DataFrame:
+    """The rows; what is seen of them is how often the most frequent key comes."""
+    rest = [F.first(c).alias(c) for c in _names(table) if c not in KEYS[table]]
+    return rows.groupBy(*KEYS[table]).agg(*rest, F.count("*").alias("rows_of_key")).observe(seen, F.max("rows_of_key").alias("most"))
+
+
 def put(index: Index, path: str, check: bool = True) -> None:
     """Puts the rows of an index's tables, any of which may be None; rows of a key that is stored replace it.
 
@@ -119,10 +130,15 @@ def put(index: Index, path: str, check: bool = True) -> None:
     for table, rows in zip(Index._fields, index):
         if rows is None:
             continue
-        if check:
+        seen = Observation(f"keys of {table}")
+        segment = _write(rows, table, path, 0, (lambda x, t=table, o=seen: _once(x, t, o)) if check else lambda x: x)
+        if segment is None:
+            continue
+        new.append(segment)
+        if check and seen.get["most"] > 1:
+            for x in new:  # no change names them
+                remove(spark, f"{path}/{x.folder}")
             check_unique(rows, KEYS[table])
-        if (segment := _write(rows, table, path, 0)) is not None:
-            new.append(segment)
     if new:
         _commit(spark, path, new)
 
@@ -137,29 +153,41 @@ def add(rows: DataFrame, table: str, path: str, tag: str | None = None) -> bool:
     return True
 
 
-def _read(spark: SparkSession, path: str, table: str, live: list[Segment], key: str | None = None) -> DataFrame:
-    """The table's rows, for each key those of its newest segment; with a key those of files whose range holds it."""
-    mine = [x for x in live if x.table == table]
-    paths, age, names = [], [], [x.split()[0] for x in SCHEMAS[table].split(", ")]
+def _names(table: str) -> list[str]:
+    return [x.split()[0] for x in SCHEMAS[table].split(", ")]
+
+
+def _rows(spark: SparkSession, path: str, table: str, live: list[Segment], key: str | None = None) -> DataFrame | None:
+    """The rows of a table's segments, with their age if the newest counts; with a key those of files whose range holds it."""
+    mine, parts = [x for x in live if x.table == table], []
     for i, x in enumerate(mine):
         held = [name for name, first, last in x.files if key is None or first <= key <= last]
-        paths += [f"{path}/{x.folder}/{name}" for name in held] if key is not None else [f"{path}/{x.folder}"]
-        age += [F.lit(x.folder.rpartition("/")[2]), F.lit(i)]
-    if not paths:
-        return spark.createDataFrame([], SCHEMAS[table])
-    rows = spark.read.schema(SCHEMAS[table]).parquet(*paths)
-    if key is not None:
-        rows = rows.where(F.col(KEYS[table][0]) == key)
+        parts.append((i, [f"{path}/{x.folder}/{name}" for name in held] if key is not None else [f"{path}/{x.folder}"] if held else []))
+    parts = [(i, paths) for i, paths in parts if paths]
+    if not parts:
+        return None
+    read = spark.read.schema(SCHEMAS[table])
+    if table in SUMS or len(parts) == 1:
+        rows = read.parquet(*[x for _, paths in parts for x in paths])
+    else:
+        rows = reduce(DataFrame.unionByName, [read.parquet(*paths).withColumn("age", F.lit(i)) for i, paths in parts])
+    return rows if key is None else rows.where(F.col(KEYS[table][0]) == key)
+
+
+def _reduced(rows: DataFrame, table: str) -> DataFrame:
+    """For each key the sums, or the row of the greatest age."""
+    rest = [c for c in _names(table) if c not in KEYS[table]]
     if table in SUMS:
-        added = rows.groupBy(*KEYS[table]).agg(*[F.sum(c).alias(c) for c in names if c not in KEYS[table]])
-        return added.where(" OR ".join(f"{c} <> 0" for c in names if c not in KEYS[table]))
-    if len(mine) == 1:
-        return rows
-    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    rows = rows.select(*names, F.create_map(*age)[folder].alias("age"))
-    rest = [c for c in names if c not in KEYS[table]]
-    last = rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), "age").alias("x"))
-    return last.select(*KEYS[table], *[F.col("x")[c].alias(c) for c in rest])
+        added = rows.groupBy(*KEYS[table]).agg(*[F.sum(c).alias(c) for c in rest])
+        return added.where(" OR ".join(f"{c} <> 0" for c in rest))
+    # Numbers by themselves are held by hash; a structure of them would be sorted first.
+    return rows.groupBy(*KEYS[table]).agg(*[F.max_by(c, "age").alias(c) for c in rest]) if "age" in rows.columns else rows
+
+
+def _read(spark: SparkSession, path: str, table: str, live: list[Segment], key: str | None = None) -> DataFrame:
+    """The table's rows, for each key those of its newest segment; with a key those of files whose range holds it."""
+    rows = _rows(spark, path, table, live, key)
+    return spark.createDataFrame([], SCHEMAS[table]) if rows is None else _reduced(rows, table)
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -195,7 +223,8 @@ def merge(spark: SparkSession, path: str, fan: int = FAN) -> int:
     """
     n = 0
     while run := _due(state(spark, path), fan):
-        new = _write(_read(spark, path, run[0].table, run), run[0].table, path, run[0].level + 1)
+        table = run[0].table
+        new = _write(_rows(spark, path, table, run), table, path, run[0].level + 1, lambda x, t=table: _reduced(x, t))
         _commit(spark, path, [new] if new else [], run)
         n += 1
     return n

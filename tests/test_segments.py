@@ -106,3 +106,34 @@ def test_sums_and_tags(spark):
             segments.vacuum(spark, path)
             assert not segments.add(frame, "counts", path, "batch 0")
         assert rows(segments.load_table(spark, path, "counts")) == sorted((*k, n) for k, n in want.items() if n)
+
+
+def test_put_and_merge_move_rows_once(spark):
+    path = f"{workspace(spark, 'segments')}/index"
+    frames = [spark.range(3000).select(F.concat(F.lit("w"), F.col("id") % 50).alias("word"), F.concat(F.lit("u"), "id").alias("url"), F.lit(x).alias("tf")) for x in (1.0, 2.0)]
+    for f in frames:
+        segments.put(Index(f, None, None), path)
+    seen = []
+    old = segments._write
+
+    def write(rows, table, path, level, reduced=lambda x: x):
+        frame = reduced(rows.repartitionByRange(*segments.KEYS[table]))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan.count("Exchange "), "SortAggregate" in plan))
+        return old(rows, table, path, level, lambda _: frame)
+
+    segments._write = write
+    try:
+        assert segments.merge(spark, path, 2) == 1
+        segments.put(Index(frames[0], None, None), path)
+        with pytest.raises(ValueError):
+            segments.put(Index(frames[0].union(frames[1].where("url = 'u7'")), None, None), path)
+    finally:
+        segments._write = old
+    assert seen == [(1, False)] * 3
+    got = segments.load(spark, path).tf
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 3000 and {x.tf for x in got.collect()} == {1.0}
+    # A newest row that holds no number counts too.
+    segments.put(Index(frames[0].where("url = 'u7'").withColumn("tf", F.lit(None).cast("double")), None, None), path)
+    assert [x.tf for x in segments.load(spark, path).tf.where("url = 'u7'").collect()] == [None]

@@ -741,11 +741,11 @@ def job_counters(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS number, o_orderkey || ' ' || o_custkey AS value FROM orders")
 def numbered_lines(spark, d):
-    """Lines of one file, read in ranges, with their numbers."""
+    """Lines of files in order, read in ranges, with their numbers."""
     path = workspace(spark, "numbered")
     orders = spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").select(F.concat_ws(" ", "o_orderkey", "o_custkey").alias("value"))
-    orders.coalesce(1).write.text(path)
-    return relation.numbered(relation.read(spark, "lines", path, rangeBytes="10000")).select("number", "value")
+    orders.write.text(path)
+    return relation.numbered(relation.read(spark, "lines", path, rangeBytes="10000"), whole=True).select("number", "value")
 
 
 @query(f"WITH {TF} SELECT word, url, round(tf, 9) AS tf FROM tf WHERE word = '{TERM}'")

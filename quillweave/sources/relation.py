@@ -4,16 +4,18 @@
     spark.read.format("quillweave").option("relation", "hits").load("folder/part-*")
     spark.readStream.format("quillweave").option("relation", "lines").load("folder")
 
-A partition is a range of bytes of a file: it holds the lines that begin in it. A filter on a relation's first column drops
-lines as they are read, before they are split. The relation lines has file, part, nth and value: the range, and the line's
-number in it; ``numbered`` makes numbers of whole files of them, by prefix sums over ranges.
+A range of bytes of a file holds the lines that begin in it; a partition is one range, or a run of small ones. A filter on a
+relation's first column drops lines as they are read, before they are split. The relation lines has file, part, nth and value:
+the range, and the line's number in it; ``numbered`` makes numbers of whole files or folders of them, by prefix sums over ranges.
 """
 
 from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,21 @@ from .textio import RELATIONS
 NAME = "quillweave"
 #: Bytes of a range, and of what is read and given at a time.
 RANGE, BLOCK = 64 << 20, 4 << 20
+#: Bytes of a partition of smaller ranges, and of what is read beyond a range's end at least.
+RUN, MORE = 8 << 20, 64 << 10
 _LINES = [("file", "string"), ("part", "int"), ("nth", "long"), ("value", "string")]
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, part: int, start: int, end: int):
-        self.path, self.part, self.start, self.end = path, part, start, end
+class Range(NamedTuple):
+    path: str
+    part: int  # the first one's number, of a run of ranges
+    start: int
+    end: int
+
+
+class Runs(InputPartition):
+    def __init__(self, runs: list[Range]):
+        self.runs = runs
 
 
 def _listed(path: str) -> list[tuple[int, str, int]]:
@@ -55,14 +66,31 @@ def _ranges(found: list[tuple[int, str, int]], size: int) -> list[Range]:
     return [Range(path, i, at, min(at + size, n)) for _, path, n in found for i, at in enumerate(range(0, n, size))]
 
 
-def _lines(files, r: Range) -> Iterator[list[bytes]]:
-    """The lines that begin in a range, without their ends, a block at a time."""
+def _runs(found: list[tuple[int, str, int]], size: int) -> list[Runs]:
+    """Partitions of ranges of so many bytes: small ranges, and small files, go together up to RUN bytes."""
+    step = size * max(1, RUN // size)
+    out: list[list[Range]] = []
+    held = step
+    for _, path, n in found:
+        for at in range(0, n, step):
+            run = Range(path, at // size, at, min(at + step, n))
+            if held + run.end - run.start > step:
+                out.append([])
+                held = 0
+            out[-1].append(run)
+            held += run.end - run.start
+    return [Runs(x) for x in out]
+
+
+def _placed(files, r: Range) -> Iterator[tuple[int, list[bytes]]]:
+    """The lines that begin in a range, without their ends, a block at a time, and where the block's first begins."""
     with files.open_input_file(r.path) as f:
         # A line that begins before the range is left out: what is read begins one byte early, to see whether one ends there.
         begin = max(0, r.start - 1)
         f.seek(begin)
         rest, first = b"", r.start > 0
-        while begin < r.end and (block := f.read(BLOCK)):
+        # Not much more than the range is read; of a line that is longer than a block as much again as is known of it.
+        while begin < r.end and (block := f.read(max(min(BLOCK, max(MORE, r.end - begin - len(rest))), len(rest)))):
             rest += block
             if first:
                 cut = rest.find(b"\n")
@@ -78,10 +106,15 @@ def _lines(files, r: Range) -> Iterator[list[bytes]]:
                 size += len(parts[n]) + 1
                 n += 1
             if n:
-                yield parts[:n]
+                yield begin, parts[:n]
             rest, begin = rest[size:], begin + size
         if not first and rest and begin < r.end:  # the file's last line, without an end
-            yield [rest]
+            yield begin, [rest]
+
+
+def _lines(files, r: Range) -> Iterator[list[bytes]]:
+    """The lines that begin in a range, without their ends, a block at a time."""
+    return (lines for _, lines in _placed(files, r))
 
 
 class _Reader:
@@ -91,22 +124,33 @@ class _Reader:
         self.fields = _LINES if self.relation == "lines" else RELATIONS[self.relation]
         self.key: str | None = None
 
-    def read(self, r: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Runs) -> Iterator[pa.RecordBatch]:
         files, _ = filesystem(self.path)
-        n = 0
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        for r in partition.runs:
+            for cols in self._numbers(files, r) if self.relation == "lines" else self._fields(files, r):
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, kinds[kind]) for x, (_, kind) in zip(cols, self.fields)], self.names)
+
+    def _numbers(self, files, r: Range) -> Iterator[list]:
+        part, n = r.part, 0  # the last line's range, and how many of its lines there were
+        for begin, lines in _placed(files, r):
+            ends = np.cumsum([len(x) + 1 for x in lines])
+            parts = (begin + np.concatenate(([0], ends[:-1]))) // self.size
+            firsts = np.concatenate(([0], np.flatnonzero(np.diff(parts)) + 1))
+            nth = np.arange(len(lines)) - np.repeat(firsts, np.diff(np.append(firsts, len(lines))))
+            if parts[0] == part:
+                nth[: firsts[1] if len(firsts) > 1 else len(lines)] += n
+            part, n = int(parts[-1]), int(nth[-1]) + 1
+            yield [pa.repeat(r.path, len(lines)), parts, nth, [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]]
+
+    def _fields(self, files, r: Range) -> Iterator[list]:
         for lines in _lines(files, r):
-            if self.relation == "lines":
-                cols = [[r.path] * len(lines), [r.part] * len(lines), range(n, n + len(lines)), [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]]
-                n += len(lines)
-            else:
-                if self.key is not None:
-                    key = self.key.encode()
-                    lines = [x for x in lines if x.lstrip()[: len(key)] == key]
-                rows = [x for x in (line.decode("utf-8", "replace").split() for line in lines) if x and (self.key is None or x[0] == self.key)]
-                cols = [[x[i] if i < len(x) else None for x in rows] for i in range(len(self.fields))]
-                cols = [[_number(x) for x in c] if kind == "double" else c for c, (_, kind) in zip(cols, self.fields)]
-            kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
-            yield pa.record_batch([pa.array(c, kinds[kind]) for c, (_, kind) in zip(cols, self.fields)], self.names)
+            if self.key is not None:
+                key = self.key.encode()
+                lines = [x for x in lines if x.lstrip()[: len(key)] == key]
+            rows = [x for x in (line.decode("utf-8", "replace").split() for line in lines) if x and (self.key is None or x[0] == self.key)]
+            cols = [[x[i] if i < len(x) else None for x in rows] for i in range(len(self.fields))]
+            yield [[_number(x) for x in c] if kind == "double" else c for c, (_, kind) in zip(cols, self.fields)]
 
 
 class RelationReader(_Reader, DataSourceReader):
@@ -117,8 +161,8 @@ class RelationReader(_Reader, DataSourceReader):
             else:
                 yield x
 
-    def partitions(self) -> Sequence[Range]:
-        return _ranges(_listed(self.path), self.size)
+    def partitions(self) -> Sequence[Runs]:
+        return _runs(_listed(self.path), self.size)
 
 
 class RelationStreamReader(_Reader, DataSourceStreamReader):
@@ -131,8 +175,8 @@ class RelationStreamReader(_Reader, DataSourceStreamReader):
         found = _listed(self.path)
         return {"last": [*found[-1][:2]] if found else [-1, ""]}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Range]:
-        return _ranges([x for x in _listed(self.path) if start["last"] < [x[0], x[1]] <= end["last"]], self.size)
+    def partitions(self, start: dict, end: dict) -> Sequence[Runs]:
+        return _runs([x for x in _listed(self.path) if start["last"] < [x[0], x[1]] <= end["last"]], self.size)
 
 
 def _number(x: str | None) -> float | None:
@@ -171,10 +215,14 @@ def read(spark: SparkSession, relation: str, path: str, **options: str) -> DataF
     return spark.read.format(NAME).option("relation", relation).options(**options).load(path)
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """file, number (from 0), value of the lines of a frame of the relation lines."""
-    held = lines.groupBy("file", "part").agg(F.max("nth").alias("n"))
-    before = F.sum(F.col("n") + 1).over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # A row for each range of 64 MB: far fewer than lines.
-    held = held.select("file", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    return lines.join(held, ["file", "part"]).select("file", (F.col("before") + F.col("nth")).alias("number"), "value")
+def numbered(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """file, number (from 0), value of the lines of a frame of the relation lines; whole: numbers go on from file to file, by path."""
+    held = lines.groupBy("file", "part").agg((F.max("nth") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # A row for each range that holds a line's begin: far fewer than lines.
+    ranges = held.select("file", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    if whole:  # a row for each file
+        earlier = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+        files = held.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+        ranges = ranges.join(files, "file").select("file", "part", (F.col("before") + F.col("earlier")).alias("before"))
+    return lines.join(ranges, ["file", "part"]).select("file", (F.col("before") + F.col("nth")).alias("number"), "value")

@@ -54,3 +54,40 @@ def test_stream(spark, tmp_path):
         query.awaitTermination()
         assert spark.read.parquet(out).count() == 2 * (batch + 1)
     assert {x.word for x in spark.read.parquet(out).collect()} == {"w0", "w1", "w2", "same"}
+
+
+def test_small_ranges_go_together(spark, tmp_path):
+    lines = [f"{i} {'x' * (i * 7919 % 300)}" for i in range(20_000)]
+    for k in range(4):
+        (tmp_path / f"part-{k}").write_text("".join(x + "\n" for x in lines[k * 5000 : (k + 1) * 5000]))
+    (tmp_path / "part-4").write_text("")
+    frame = relation.read(spark, "lines", f"{tmp_path}/part-*", rangeBytes="1000")
+    assert frame.rdd.getNumPartitions() == 1 and frame.select("file", "part").distinct().count() > 2500
+    assert [x.value for x in relation.numbered(frame, whole=True).orderBy("number").collect()] == lines
+    got = {(x.file[-1], x.number): x.value for x in relation.numbered(frame).collect()}
+    assert got == {(str(i // 5000), i % 5000): x for i, x in enumerate(lines)}
+
+
+def test_a_range_is_read_without_what_follows(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(relation, "MORE", 100)
+    lines = [b"y" * (i % 50) for i in range(2000)] + [b"z" * 5000]
+    (tmp_path / "f").write_bytes(b"\n".join(lines))
+    size, read = (tmp_path / "f").stat().st_size, []
+
+    class Files:
+        def open_input_file(self, path):
+            f = fs.LocalFileSystem().open_input_file(path)
+
+            class Counted:
+                __enter__, __exit__, seek = lambda s: s, lambda s, *a: f.close(), lambda s, at: f.seek(at)
+
+                def read(self, n):
+                    read.append(len(x := f.read(n)))
+                    return x
+
+            return Counted()
+
+    assert [x for r in relation._ranges([(0, str(tmp_path / "f"), size)], 500) for part in relation._lines(Files(), r) for x in part] == lines
+    assert sum(read) < 2 * size

@@ -21,6 +21,8 @@ Pairs = Iterable[tuple[str, str]]
 
 #: Pairs that a task holds to combine them, and rows of a sample that tells which keys are heavy.
 HELD, SAMPLED = 100_000, 100_000
+#: Characters of the pairs that a task holds to combine them, and of a batch that it gives: keys may be whole texts.
+HELD_CHARS, GIVEN_CHARS = 16 << 20, 2 << 20
 
 
 class Job(NamedTuple):
@@ -81,13 +83,18 @@ class Counters:
         self._tasks.add({(side, TaskContext.get().partitionId()): (n, lines)})
 
 
+def _size(pair: tuple[str | None, str | None]) -> int:
+    return sum(len(x) for x in pair if x is not None)
+
+
 def _pairs(rows: Iterable[tuple[str, str]], size: int = 10_000) -> Iterator[pd.DataFrame]:
-    out = []
+    out, chars = [], 0
     for row in rows:
         out.append(row)
-        if len(out) >= size:
+        chars += _size(row)
+        if len(out) >= size or chars >= GIVEN_CHARS:
             yield pd.DataFrame(out, columns=["key", "value"])
-            out = []
+            out, chars = [], 0
     if out:
         yield pd.DataFrame(out, columns=["key", "value"])
 
@@ -96,33 +103,41 @@ Rows = Iterator[tuple[str, str]]
 
 
 def _combined(pairs: Rows, combine: Callable[[str, Iterator[str]], Pairs]) -> Rows:
-    """Pairs in which values of a key are combined, HELD at a time."""
+    """Pairs in which values of a key are combined, HELD or HELD_CHARS at a time."""
     held: dict[str, list[str]] = defaultdict(list)
-    n = 0
+    n = chars = 0
     for k, v in pairs:
+        # A key is held once, whatever the number of its values.
+        chars += _size((k, v)) if k not in held else _size((v,))
         held[k].append(v)
         n += 1
-        if n >= HELD:
+        if n >= HELD or chars >= HELD_CHARS:
             some = [p for x, values in held.items() for p in combine(x, iter(values))]
             held.clear()
-            if 2 * len(some) > n:  # too many keys to combine here
+            left = sum(map(_size, some))
+            if 2 * len(some) > n or 2 * left > chars:  # too many keys to combine here
                 yield from some
-                n = 0
+                n = chars = 0
                 continue
             for x, v in some:
                 held[x].append(v)
-            n = len(some)
+            n, chars = len(some), left
     for x, values in held.items():
         yield from combine(x, iter(values))
 
 
 def _heavy(pairs: DataFrame, parts: int) -> list[str]:
     """Keys that a sample of the pairs says have more than a quarter of a partition; at most four for each partition."""
-    some = pairs.limit(SAMPLED).groupBy("key").agg(F.count("*").alias("n"))
+    # What meets in one task are the keys' hashes; keys themselves, which may be long, are looked for only where one is heavy.
+    of = F.xxhash64("key")
+    some = pairs.where(F.col("key").isNotNull()).select(of.alias("h")).limit(SAMPLED).groupBy("h").agg(F.count("*").alias("n"))
     total = some.agg(F.sum("n")).first()[0] or 0
     if total < SAMPLED // 10:
         return []
-    return [x.key for x in some.where(F.col("n") * 4 * parts > total).orderBy(F.desc("n")).limit(4 * parts).collect()]
+    hashes = [x.h for x in some.where(F.col("n") * 4 * parts > total).orderBy(F.desc("n")).limit(4 * parts).collect()]
+    if not hashes:
+        return []
+    return [x.key for x in pairs.where(of.isin(hashes)).select("key").distinct().limit(4 * parts).collect()]
 
 
 def run_job(job: Job, df: DataFrame, counters: Counters | None = None) -> DataFrame:

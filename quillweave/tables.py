@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,8 +22,18 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package; on a cluster it is installed or sent by --py-files."""
+    """Lets Python workers on this machine import the package; on a cluster it is installed or sent by --py-files.
+
+    Rows hold whole texts and pages, so that the session's Arrow batches are bounded by bytes too.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH:
+        spark.conf.set(name, str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -60,3 +60,30 @@ def test_counters_while_a_job_runs(spark):
         time.sleep(0.05)
     assert any(state == "MAPPING" and 0 < n < 600 for state, n in between)
     assert counters.state == "REDUCING" and counters.mapped == 600
+
+
+def test_long_keys_are_held_by_their_length(monkeypatch):
+    monkeypatch.setattr(jobs, "HELD_CHARS", 1000)
+    monkeypatch.setattr(jobs, "GIVEN_CHARS", 500)
+    held = []
+
+    def pairs():
+        for i in range(4000):
+            held.append(i)
+            yield (f"{i % 3000:0200d}" if i % 2 else "same"), "1"
+
+    given, ahead = Counter(), 0
+    for k, v in jobs._combined(pairs(), jobs._sum):
+        given[k] += int(v)
+        ahead = max(ahead, len(held) - sum(given.values()))
+    assert given == Counter(f"{i % 3000:0200d}" if i % 2 else "same" for i in range(4000)) and ahead < 50
+    assert all(len(x) <= 3 for x in jobs._pairs((("k" * 200, "1") for _ in range(50))))
+
+
+def test_heavy_keys_without_null(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "SAMPLED", 2000)
+    rows = [("hot", "1")] * 3000 + [(None, "1")] * 3000 + [(f"k{i}", "1") for i in range(100)]
+    frame = spark.createDataFrame(rows, "key string, value string")
+    assert jobs._heavy(frame.repartition(4), 8) == ["hot"]
+    job = jobs.Job(lambda k, v: [(k, v)], jobs._sum, lambda k, values: [(k, v) for v in values])
+    assert {x.key: int(x.value) for x in jobs.run_job(job, frame).collect()} == Counter(k for k, _ in rows)

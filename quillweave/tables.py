@@ -32,7 +32,8 @@ def ship(spark: SparkSession) -> None:
     Rows hold whole texts and pages, so that the session's Arrow batches are bounded by bytes too.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH:
+    held = re.fullmatch(r"(\d+)([kmgtp]?)(?:i?b)?", spark.conf.get(name).strip().lower())
+    if held is None or int(held[1]) << 10 * " kmgtp".index(held[2] or " ") > BATCH:
         spark.conf.set(name, str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -258,3 +258,14 @@ def test_pages_are_read_once(spark):
     found = parsed(pages)
     assert sorted(crawl.links(found, found="links").collect(), key=repr) == sorted(crawl.links(pages).collect(), key=repr)
     assert sorted(crawl.hits(found, text="text").collect(), key=repr) == sorted(crawl.hits(pages).collect(), key=repr)
+
+
+def test_workers_take_batches_of_bounded_bytes(spark):
+    from quillweave.functions.html import parsed
+    from quillweave.tables import BATCH, setting
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, taken in (("64m", str(BATCH)), ("1gb", str(BATCH)), ("5000000b", str(BATCH)), ("2m", "2m"), ("1000", "1000")):
+        with setting(spark, name, given):
+            parsed(spark.createDataFrame([("u", "<p>x</p>")], "url string, html string"))
+            assert spark.conf.get(name) == taken

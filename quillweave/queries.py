@@ -763,7 +763,8 @@ def streamed_hits(spark, d):
     pages = _pages(spark, d).select("url", "html")
     for i in range(5):
         later = F.pmod(F.xxhash64("url"), F.lit(5))
-        pages.where((later == 4 - i) | (later == (i + 2) % 5)).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
-    stream.follow(arriving, f"{home}/index", f"{home}/at", availableNow=True).awaitTermination()
+        # A batch is what has come since the stream stopped, in any number of files.
+        pages.where((later == 4 - i) | (later == (i + 2) % 5)).write.mode("append").parquet(f"{home}/in")
+        arriving = spark.readStream.schema(pages.schema).parquet(f"{home}/in")
+        stream.follow(arriving, f"{home}/index", f"{home}/at", availableNow=True).awaitTermination()
     return stream.counts(spark, f"{home}/index")

@@ -21,3 +21,17 @@ def test_five_batches_equal_the_whole(spark, tmp_path):
         want = crawl.hits(crawl.content_dedupe(crawl.normalized(so_far)).distinct()).groupBy("word", "url").count()
         assert sorted(map(tuple, stream.counts(spark, f"{home}/index").collect())) == sorted(map(tuple, want.collect()))
     assert sum(x.table == "counts" for x in segments.state(spark, f"{home}/index")) <= 3
+
+
+def test_batches_of_the_query_are_of_several_files(spark, tmp_path, monkeypatch):
+    from quillweave import queries
+
+    rows = [(i, f"http://h/{i:03d}", f"<p>red blue c{i % 40}</p>") for i in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    frames, old = [], stream.follow
+    monkeypatch.setattr(stream, "follow", lambda pages, *a, **b: frames.append(pages) or old(pages, *a, **b))
+    got = queries.QUERIES["streamed_hits"](spark, str(tmp_path))
+    pages = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    want = crawl.hits(crawl.content_dedupe(crawl.normalized(pages))).groupBy("word", "url").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(frames) == 5  # one for each batch, whose files no task has put together

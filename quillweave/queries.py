@@ -179,7 +179,8 @@ def idf_plus_one(spark, d):
 
 @query(f"WITH {DOC_TF} SELECT word, url, round(tf * ln(5000::DOUBLE / (1 + df) + 1), 6) AS tfidf FROM tf JOIN df USING (word)")
 def tfidf(spark, d):
-    t = scoring.term_frequency(crawl.hits(_documents(spark, d), text="text"))
+    # Used twice: words are taken from the texts once.
+    t = stored(scoring.term_frequency(crawl.hits(_documents(spark, d), text="text")), f"{workspace(spark, 'frequencies')}/tf")
     return scoring.tfidf(t, scoring.inverse_document_frequency(scoring.document_frequency(t))).withColumn("tfidf", F.round("tfidf", 6))
 
 

@@ -269,3 +269,10 @@ def test_workers_take_batches_of_bounded_bytes(spark):
         with setting(spark, name, given):
             parsed(spark.createDataFrame([("u", "<p>x</p>")], "url string, html string"))
             assert spark.conf.get(name) == taken
+
+
+def test_tfidf_takes_words_once(spark):
+    from quillweave.queries import QUERIES
+
+    plan = QUERIES["tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("FileScan") == 2
